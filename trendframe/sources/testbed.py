@@ -81,6 +81,13 @@ def discussion(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def discussion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Discussion messages with text: click events whose id has a document."""
+    disc = discussion(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), "text")
+    return disc.join(docs, "event_id", "inner")
+
+
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     ts = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).cast("timestamp_ntz")
@@ -165,6 +172,8 @@ SQL = {
                ts AS event_time,
                'reddit' AS source
         FROM events WHERE event_type = 'click'""",
+    "discussion_text": """
+        SELECT d.*, doc.text FROM discussion d JOIN documents doc ON doc.doc_id = d.event_id""",
     "reviews": """
         SELECT CAST(doc_id AS VARCHAR) AS review_id, doc_id, text, lang,
                source AS subreddit, CAST(n_chars AS DOUBLE) AS score, source AS author,
