@@ -16,3 +16,8 @@ def col_of(c) -> Column:
 def lit_array(values: Sequence[str]) -> Column:
     """A literal ``array<string>``."""
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
+
+
+def try_cast(c, dtype: str) -> Column:
+    """Cast that yields NULL instead of failing on bad input (ANSI mode)."""
+    return col_of(c).try_cast(dtype)

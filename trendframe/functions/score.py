@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_of
+from ._util import col_of, try_cast
 
 # ------------------------------------------------------------------ F2 / F3
 
@@ -95,7 +95,7 @@ def days_since(release_date, now) -> Column:
 
 def release_year(release_date) -> Column:
     """first four characters of the date as an int, NULL if not a number."""
-    return F.try_cast(F.substring(col_of(release_date), 1, 4), "int")
+    return try_cast(F.substring(col_of(release_date), 1, 4), "int")
 
 
 # --------------------------------------------------------------------- F21
@@ -124,7 +124,7 @@ def time_parts(ts) -> tuple[Column, Column]:
 def parse_basics_cols(start_year="startYear", runtime="runtimeMinutes", genres="genres"):
     """int year and runtime (NULL if not a number), genres as an array."""
     g = col_of(genres)
-    return (F.try_cast(col_of(start_year), "int"), F.try_cast(col_of(runtime), "int"),
+    return (try_cast(col_of(start_year), "int"), try_cast(col_of(runtime), "int"),
             F.when(g.isNotNull(), F.split(g, ",")).otherwise(F.array().cast("array<string>")))
 
 

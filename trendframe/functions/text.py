@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_of, lit_array
+from ._util import col_of, lit_array, try_cast
 
 # ----------------------------------------------------------------- fixed values
 # Fixed values that must equal the reference's for identical results, kept
@@ -200,7 +200,7 @@ def ellipsis(text, n: int, mark: str = "...") -> Column:
 def parse_votes(text) -> Column:
     """F16: ``1.2M`` / ``234K`` / ``987`` to an integer; NULL when no number."""
     c = col_of(text)
-    num = F.try_cast(F.regexp_extract(c, r"([\d.]+)([KM])?", 1), "double")
+    num = try_cast(F.regexp_extract(c, r"([\d.]+)([KM])?", 1), "double")
     suf = F.regexp_extract(c, r"([\d.]+)([KM])?", 2)
     mult = F.when(suf == "K", 1000.0).when(suf == "M", 1000000.0).otherwise(1.0)
     return (num * mult).cast("bigint")

@@ -110,7 +110,8 @@ def index_filter(df: DataFrame, text: str = "text", author: str = "author", min_
     """P5: text worth indexing - long enough, not a bot, not boilerplate."""
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
-    cond = (F.length(F.trim(t)) >= min_len) & \
+    stripped = F.regexp_replace(t, r"^\s+|\s+$", "")
+    cond = (F.length(stripped) >= min_len) & \
         ~F.lower(F.coalesce(F.col(author), F.lit(""))).isin(*authors)
     for p in phrases:
         cond = cond & ~low.contains(p)

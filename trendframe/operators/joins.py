@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions._util import try_cast
 from ..functions.text import match_any, norm_key, title_variants
 
 
@@ -153,7 +154,7 @@ def enrich_cascade(movies: DataFrame, catalogue: DataFrame, ratings: DataFrame)
                       .filter(F.col("query_title").isNotNull()), catalogue)
     r = ratings.select(F.col("tconst").alias("id"), "averageRating", "numVotes")
     c = catalogue.select(F.col("tconst").alias("id"), F.col("primaryTitle").alias("__t"),
-                         F.try_cast("startYear", "int").alias("__y"))
+                         try_cast("startYear", "int").alias("__y"))
     by_title = m1.join(r, "id", "left").join(c, "id", "left") \
         .select(F.col("query_title").alias("title"), F.struct(
             F.col("id").alias("tconst"), F.col("__t").alias("title"), F.col("__y").alias("year"),
@@ -164,7 +165,7 @@ def enrich_cascade(movies: DataFrame, catalogue: DataFrame, ratings: DataFrame)
             F.col("id").alias("tconst"), F.col("__t").alias("title"), F.col("__y").alias("year"),
             F.col("averageRating").alias("imdb_rating"), F.col("numVotes").cast("bigint").alias("imdb_votes"),
             F.lit("dataset").alias("source")).alias("m2"))
-    year = F.try_cast(F.substring(F.coalesce(F.col("release_date"), F.lit("")), 1, 4), "int")
+    year = try_cast(F.substring(F.coalesce(F.col("release_date"), F.lit("")), 1, 4), "int")
     fallback = F.struct(F.concat(F.lit("tmdb_"), F.col("movie_id").cast("string")).alias("tconst"),
                         F.col("title").alias("title"), year.alias("year"),
                         F.col("vote_average").cast("double").alias("imdb_rating"),

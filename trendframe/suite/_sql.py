@@ -50,3 +50,38 @@ def with_trends(select: str) -> str:
 def sround(x: str, n: int) -> str:
     """Half-up rounding of the shortest decimal form of a double (as Spark's ``round``)."""
     return f"CAST(round(CAST(CAST(({x}) AS VARCHAR) AS DECIMAL(38, 18)), {n}) AS DOUBLE)"
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(_q(v) for v in values) + "]"
+
+
+def _strip_class(chars: str) -> str:
+    return "[" + chars.replace("'", "''") + "]"
+
+
+def mentions_sql(text: str) -> str:
+    """F4 in DuckDB: capitalised word runs (RE2 has no look-behind: pad with a space)."""
+    from ..functions.text import MENTION_STRIP
+    cls = _strip_class(MENTION_STRIP)
+    runs = (f"regexp_extract_all(' ' || coalesce({text}, ''), "
+            r"'\s(\p{Lu}\S*(?:\s+\p{Lu}\S*)*)', 1)")
+    return (f"list_transform(list_transform({runs}, lambda r: regexp_replace(r, '\\s+', ' ', 'g')), "
+            f"lambda r: regexp_replace(r, '^{cls}+|{cls}+$', '', 'g'))")
+
+
+def clean_mentions_sql(mentions: str) -> str:
+    from ..functions.text import MENTION_STOP_WORDS, TITLE_STRIP
+    cls = _strip_class(TITLE_STRIP)
+    cleaned = f"list_transform({mentions}, lambda m: regexp_replace(m, '^{cls}+|{cls}+$', '', 'g'))"
+    return (f"list_filter({cleaned}, lambda m: NOT list_contains({_list(MENTION_STOP_WORDS)}, m) "
+            f"AND length(m) > 3 AND NOT ends_with(m, ':'))")
+
+
+def attribute_sql(source: str, movie_title: str, subreddit: str, mentions: str) -> str:
+    from ..functions.text import SUBREDDIT_TITLES
+    cases = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in SUBREDDIT_TITLES.items())
+    mapped = f"(CASE lower(coalesce({subreddit}, '')) {cases} END)"
+    own = f"(CASE WHEN {source} = 'tmdb' THEN coalesce({movie_title}, 'Unknown') END)"
+    first = f"({clean_mentions_sql(mentions)})[1]"
+    return f"coalesce({own}, {mapped}, {first}, 'general')"
