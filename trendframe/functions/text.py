@@ -169,7 +169,7 @@ def title_variants(title) -> Column:
 def match_any(text, variants) -> Column:
     """Does the lower-cased text contain any of the variants?"""
     low = F.lower(col_of(text))
-    return F.exists(col_of(variants), lambda v: F.locate(v, low) > 0)
+    return F.exists(col_of(variants), lambda v: low.contains(v))
 
 
 # ------------------------------------------------------------------------- F12

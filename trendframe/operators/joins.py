@@ -56,7 +56,7 @@ def _grams(col, n: int):
     """All character n-grams of a string column (empty array if shorter)."""
     s = F.col(col) if isinstance(col, str) else col
     return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))),
-                       lambda i: F.substring(s, i, n))
+                       lambda i: s.substr(i, F.lit(n)))
 
 
 def _all_short_grams(col: str):
@@ -104,7 +104,7 @@ def match_titles(queries: DataFrame, catalogue: DataFrame, q_col: str = "query_t
     qg = (qlong.select("query_title", "q", F.explode(F.array_distinct(_grams("q", 3))).alias("g"))
           .join(gfreq, "g", "left")
           .groupBy("query_title", "q").agg(F.min_by("g", F.coalesce("f", F.lit(0))).alias("g")))
-    in_t = qg.join(cgrams, "g").filter(F.locate(F.col("q"), F.col("t")) > 0)
+    in_t = qg.join(cgrams, "g").filter(F.col("t").contains(F.col("q")))
     # very short q inside t
     cshort = cat.select("t", "pos", "id", F.explode(_all_short_grams("t")).alias("g"))
     qshort = rest.filter(F.length("q") < 3).withColumn("g", F.col("q"))
@@ -117,7 +117,7 @@ def match_titles(queries: DataFrame, catalogue: DataFrame, q_col: str = "query_t
           .select("t", "pos", "id", F.explode(F.array_distinct(_grams("t", 3))).alias("g"))
           .join(qfreq, "g", "left")
           .groupBy("t", "pos", "id").agg(F.min_by("g", F.coalesce("f", F.lit(0))).alias("g")))
-    t_in = tg.join(qgrams, "g").filter(F.locate(F.col("t"), F.col("q")) > 0)
+    t_in = tg.join(qgrams, "g").filter(F.col("q").contains(F.col("t")))
     # very short t inside q (an empty t is inside every q)
     qshortg = rest.select("query_title", "q", F.explode(_all_short_grams("q")).alias("g"))
     tshort = cat.filter((F.length("t") < 3) & (F.length("t") > 0)).withColumn("g", F.col("t"))
@@ -149,9 +149,10 @@ def enrich_cascade(movies: DataFrame, catalogue: DataFrame, ratings: DataFrame)
     release_date``. Result: one ``imdb`` struct per movie with the matched
     id, rating and votes, ``source`` = ``dataset`` or ``tmdb_fallback``.
     """
-    m1 = match_titles(movies.select(F.col("title").alias("query_title")), catalogue)
-    m2 = match_titles(movies.select(F.col("original_title").alias("query_title"))
-                      .filter(F.col("query_title").isNotNull()), catalogue)
+    # One match over both spellings, used twice (one plan, one set of shuffles).
+    both = movies.select(F.col("title").alias("query_title")).unionByName(
+        movies.select(F.col("original_title").alias("query_title")).filter(F.col("query_title").isNotNull()))
+    m1 = m2 = match_titles(both, catalogue)
     r = ratings.select(F.col("tconst").alias("id"), "averageRating", "numVotes")
     c = catalogue.select(F.col("tconst").alias("id"), F.col("primaryTitle").alias("__t"),
                          try_cast("startYear", "int").alias("__y"))

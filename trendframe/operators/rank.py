@@ -96,9 +96,10 @@ def first_per_key(df: DataFrame, key: str, order: str, cap: int | None = None) -
     return first.orderBy(order).limit(cap) if cap else first
 
 
-def rank_top(df: DataFrame, score: str, n: int = 20, tie: str | None = None) -> DataFrame:
-    """Sort by ``score`` descending and keep ``n`` rows."""
-    return df.orderBy(F.col(score).desc(), *([F.col(tie)] if tie else [])).limit(n)
+def rank_top(df: DataFrame, score: str, n: int = 20, tie: str | Sequence[str] | None = None) -> DataFrame:
+    """Sort by ``score`` descending (ties by ``tie``) and keep ``n`` rows."""
+    ties = [tie] if isinstance(tie, str) else list(tie or [])
+    return df.orderBy(F.col(score).desc(), *[F.col(t) for t in ties]).limit(n)
 
 
 def first_sufficient(df: DataFrame, key: str, rank: str, min_results: int = 5) -> DataFrame:

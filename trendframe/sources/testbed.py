@@ -138,6 +138,22 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue feed to enrich: one movie per part, titled exactly, with
+    extra words (contains a dump title) or by its last word (contained)."""
+    p = table(spark, sf_dir, "part")
+    form = F.col("p_partkey") % 3
+    title = (F.when(form == 0, F.col("p_name"))
+             .when(form == 1, F.concat(F.lit("the "), F.col("p_name"), F.lit(" returns")))
+             .otherwise(F.element_at(F.split("p_name", " "), -1)))
+    return p.select(F.col("p_partkey").alias("movie_id"), title.alias("title"),
+                    F.upper("p_name").alias("original_title"),
+                    F.round(F.col("p_retailprice") / 200.0, 1).alias("vote_average"),
+                    F.col("p_size").alias("vote_count"),
+                    F.concat((F.lit(1950) + F.col("p_size")).cast("string"), F.lit("-06-15"))
+                    .alias("release_date"))
+
+
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     return s.select(F.concat(F.lit("nm"), F.col("s_suppkey").cast("string")).alias("nconst"),
@@ -200,6 +216,15 @@ SQL = {
                CASE WHEN l_returnflag = 'A' THEN 'actor'
                     WHEN l_returnflag = 'R' THEN 'director' ELSE 'writer' END AS category
         FROM lineitem""",
+    "movies": """
+        SELECT p_partkey AS movie_id,
+               CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'the ' || p_name || ' returns'
+                    ELSE string_split(p_name, ' ')[-1] END AS title,
+               upper(p_name) AS original_title,
+               CAST(round(CAST(CAST(p_retailprice / 200.0 AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE)
+                   AS vote_average,
+               p_size AS vote_count, CAST(1950 + p_size AS VARCHAR) || '-06-15' AS release_date
+        FROM part""",
     "names": """
         SELECT 'nm' || CAST(s_suppkey AS VARCHAR) AS nconst, s_name AS primaryName
         FROM supplier""",
