@@ -15,7 +15,7 @@ Mapping (fixed choices):
   title = ``k``; score = ``value``; sentiment a fixed function of
   ``event_id`` in -1..1 (the events carry no text).
 * reviews         = ``documents``; subreddit = ``source``; score =
-  ``n_chars``; one review per hour from 2024-01-01 by ``doc_id``.
+  ``n_chars``; review ``i`` was posted ``i`` hours before the fixed "now".
 * title basics    = ``part``; ratings = ``lineitem`` aggregated by part;
   principals = ``lineitem`` rows (person = supplier, role from the return
   flag); names = ``supplier``.
@@ -90,7 +90,7 @@ def discussion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    ts = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).cast("timestamp_ntz")
+    ts = F.timestamp_seconds(F.lit(1706659200) - F.col("doc_id") * 3600).cast("timestamp_ntz")
     return d.select(
         F.col("doc_id").cast("string").alias("review_id"),
         "doc_id", "text", "lang",
@@ -193,8 +193,8 @@ SQL = {
     "reviews": """
         SELECT CAST(doc_id AS VARCHAR) AS review_id, doc_id, text, lang,
                source AS subreddit, CAST(n_chars AS DOUBLE) AS score, source AS author,
-               TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id) AS event_time,
-               strftime(TIMESTAMP '2024-01-01 00:00:00' + to_hours(doc_id),
+               TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id) AS event_time,
+               strftime(TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id),
                         '%Y-%m-%dT%H:%M:%S') AS "timestamp"
         FROM documents""",
     "basics": """
