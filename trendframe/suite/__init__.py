@@ -27,8 +27,14 @@ def register(name: str, sql: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double column (both engines round the same way)."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
+    """Round every double column for comparison.
+
+    Computed as ``round(x * 10^d) / 10^d`` - the same arithmetic as the SQL
+    oracle's ``round(x, d)`` - so ties in the last digit cannot split the
+    two engines.
+    """
+    m = float(10 ** digits)
+    return df.select(*[(F.round(F.col(c) * m, 0) / m).alias(c) if t in ("double", "float") else F.col(c)
                        for c, t in df.dtypes])
 
 

@@ -1,3 +1,130 @@
-"""Registered queries."""
+"""Online-learning and keyed-state queries (W9-W11, F26, F27, A9, T5-T8 batch twins, C8, S12)."""
 
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.aggregate import regression_metrics
+from ..operators.learn import prequential_per_key, running_metrics
+from ..plans.learning import TREND_FEATURES, online_features, online_learning, rating_features
+from ..sources import testbed as tb
+from ..streaming.state import cooldown, first_seen
+from . import register, rounded
+from ._sql import sround, with_trends
+from .q_rank import trends
+
+_FEAT_SQL = with_trends("""
+SELECT movie_title, window_start, round(popularity, 6) AS popularity, mentions_count,
+       round(avg_sentiment, 6) AS avg_sentiment, CAST(hour(window_start) AS DOUBLE) AS hour,
+       CAST(isodow(window_start) - 1 AS DOUBLE) AS day_of_week,
+       CAST(CASE WHEN row_number() OVER w - 1 >= 2 THEN mentions_count - lag(mentions_count) OVER w ELSE 0 END
+            AS DOUBLE) AS delta_mentions,
+       round(CASE WHEN row_number() OVER w - 1 >= 2 THEN avg_sentiment - lag(avg_sentiment) OVER w ELSE 0.0 END, 6)
+           AS delta_sentiment,
+       round(CASE WHEN row_number() OVER w - 1 >= 2 THEN popularity - lag(popularity) OVER w ELSE 0.0 END, 6)
+           AS delta_popularity,
+       round(coalesce(avg(mentions_count) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), mentions_count), 6)
+           AS ma_mentions,
+       round(coalesce(avg(avg_sentiment) OVER (w ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), avg_sentiment), 6)
+           AS ma_sentiment
+FROM trends WINDOW w AS (PARTITION BY movie_title ORDER BY window_start)""")
+
+
+@register("online_features", _FEAT_SQL)
+def q_online_features(spark, d):
+    """F26 + W9 + W10: hour, weekday, deltas (0 unless 2 priors), trailing means."""
+    f = online_features(trends(spark, d))
+    return rounded(f.select("movie_title", "window_start", "popularity", "mentions_count", "avg_sentiment",
+                            "hour", "day_of_week", "delta_mentions", "delta_sentiment", "delta_popularity",
+                            "ma_mentions", "ma_sentiment"))
+
+
+def _enriched(spark, d):
+    return trends(spark, d).withColumn("imdb_rating", F.col("vote_average")) \
+        .withColumn("imdb_votes", (F.col("popularity") * 100).cast("bigint")) \
+        .withColumn("imdb_year", F.lit(None).cast("int")) \
+        .withColumn("vote_count", F.col("mentions_count"))
+
+
+@register("rating_features", with_trends("""
+SELECT movie_title, window_start, round(trend_score, 6) AS trend_score, round(r, 6) AS imdb_rating,
+       round(v, 6) AS imdb_votes, round(ln(1 + v), 6) AS imdb_votes_log, CAST(5.0 AS DOUBLE) AS movie_age,
+       round(p, 6) AS tmdb_popularity, round(r, 6) AS tmdb_vote_average, round(m, 6) AS tmdb_vote_count,
+       round(ln(1 + m), 6) AS tmdb_vote_count_log, round(m, 6) AS reddit_mentions,
+       round(ln(1 + m), 6) AS reddit_mentions_log, round(s, 6) AS sentiment_score,
+       CAST(CASE WHEN s > 0.2 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS sentiment_positive,
+       round(r / 10.0 * (1.0 + v / 100000.0), 6) AS quality_score, round(m / (v + 1), 6) AS engagement_rate,
+       round(mom, 6) AS trend_momentum, round(r * p / 100, 6) AS rating_popularity,
+       round(s * m, 6) AS sentiment_mentions
+FROM (SELECT *, vote_average AS r, CAST(trunc(popularity * 100) AS DOUBLE) AS v, popularity AS p,
+             CAST(mentions_count AS DOUBLE) AS m, avg_sentiment AS s,
+             coalesce(lag(trend_score, 1) OVER w - lag(trend_score, 2) OVER w, 0.0) AS mom
+      FROM trends WINDOW w AS (PARTITION BY movie_title ORDER BY window_start))"""))
+def q_rating_features(spark, d):
+    """F27 + W11: the rating-aware learner's features with trend momentum."""
+    return rounded(rating_features(_enriched(spark, d)))
+
+
+@register("regression_metrics", with_trends(f"""
+SELECT movie_title, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
+       round(1.0 - sum(e * e) / nullif(sum(y * y) - sum(y) * sum(y) / count(*), 0), 6) AS r2
+FROM (SELECT movie_title, trend_score AS y, trend_score - {sround('trend_score * 0.95', 2)} AS e FROM trends)
+GROUP BY movie_title"""))
+def q_regression_metrics(spark, d):
+    """MAE, RMSE, R2 per title of the 0.95 heuristic prediction."""
+    t = trends(spark, d).withColumn("prediction", F.round(F.col("trend_score") * 0.95, 2))
+    return rounded(regression_metrics(t, "trend_score", "prediction", ["movie_title"]))
+
+
+@register("running_metrics", with_trends(f"""
+SELECT movie_title, window_start,
+       round(avg(abs(e)) OVER w, 6) AS running_mae, round(sqrt(avg(e * e) OVER w), 6) AS running_rmse
+FROM (SELECT *, trend_score - {sround('trend_score * 0.95', 2)} AS e FROM trends)
+WINDOW w AS (PARTITION BY movie_title ORDER BY window_start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+def q_running_metrics(spark, d):
+    """A9 running form: cumulative MAE / RMSE per title."""
+    t = trends(spark, d).withColumn("prediction", F.round(F.col("trend_score") * 0.95, 2))
+    r = running_metrics(t, "movie_title", ["window_start"], "trend_score", "prediction")
+    return rounded(r.select("movie_title", "window_start", "running_mae", "running_rmse"))
+
+
+@register("prequential_per_title")
+def q_prequential(spark, d):
+    """T6 (b): per-title prequential scaler + SGD linear model (rows check; numpy test)."""
+    f = online_features(trends(spark, d))
+    return rounded(prequential_per_key(f, "movie_title", ["window_start"], TREND_FEATURES, "trend_score"))
+
+
+@register("online_learning")
+def q_online_learning(spark, d):
+    """C8 + S12: prediction rows with the feature map (rows check; numpy test)."""
+    out = online_learning(trends(spark, d))
+    return out.withColumn("features", F.to_json("features"))
+
+
+@register("first_seen", tb.with_ctes("""
+SELECT title, event_id, event_time FROM catalogue
+QUALIFY row_number() OVER (PARTITION BY title ORDER BY event_time) = 1""", "catalogue"))
+def q_first_seen(spark, d):
+    """T7 batch twin: the first appearance of every title."""
+    return first_seen(tb.catalogue(spark, d), "title", "event_time").select("title", "event_id", "event_time")
+
+
+@register("cooldown", tb.with_ctes("""
+SELECT title, event_id, event_time FROM (
+  WITH RECURSIVE ev AS (SELECT title, event_id, event_time,
+                               row_number() OVER (PARTITION BY title ORDER BY event_time, event_id) AS rn
+                        FROM catalogue),
+  chain(title, rn, pass_time) AS (
+    SELECT title, rn, event_time FROM ev WHERE rn = 1
+    UNION ALL
+    SELECT c.title, n.rn, n.event_time
+    FROM chain c JOIN LATERAL (SELECT min(e.rn) AS rn FROM ev e
+                               WHERE e.title = c.title AND e.event_time >= c.pass_time + INTERVAL 600 SECOND) m ON true
+    JOIN ev n ON n.title = c.title AND n.rn = m.rn)
+  SELECT e.title, e.event_id, e.event_time FROM chain c JOIN ev e ON e.title = c.title AND e.rn = c.rn)""",
+    "catalogue"))
+def q_cooldown(spark, d):
+    """T8 batch twin: a title passes again only 600 s after its last pass."""
+    c = tb.catalogue(spark, d).select("title", "event_id", "event_time")
+    return cooldown(c, "title", "event_time", 600, tie="event_id")
