@@ -40,6 +40,9 @@ DISCUSSION = T.StructType([
     _f("targeted_search", B), _f("created_at", S),
 ])
 
+# Discussion event that already carries a sentiment score.
+DISCUSSION_SCORED = T.StructType(DISCUSSION.fields + [_f("sentiment_score", D)])
+
 TREND_ROW = T.StructType([
     _f("window_start", TS), _f("window_end", TS), _f("movie_title", S),
     _f("movie_id", I), _f("popularity", D), _f("vote_average", D),
