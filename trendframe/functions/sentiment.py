@@ -70,33 +70,28 @@ def normalize(total: Column) -> Column:
     return F.round(total / F.sqrt(total * total + ALPHA), 4)
 
 
-def _prior_negation(neg: Column) -> Column:
-    """Flag per position: is any of the previous NEGATION_SPAN words a negator?
+def sentiment(text, lexicon: Mapping[str, float] = LEXICON) -> Column:
+    """Compound sentiment in -1..1 as a pure column expression.
 
-    Built from shifted copies of the negator flags, so the word array is
-    never referenced inside a per-element lambda (which would re-evaluate
-    the tokeniser for every word).
+    One left fold over the words (the text is tokenised once) carrying the
+    running sum and whether each of the last three words was a negator.
+    Membership tests are hash-set ``IN`` checks; the valence map is only
+    consulted for words that are in the lexicon.
     """
-    shifted = [F.concat(F.array_repeat(F.lit(False), k), neg) for k in range(1, NEGATION_SPAN + 1)]
-    flag = shifted[0]
-    for other in shifted[1:]:
-        flag = F.zip_with(flag, other, lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
-    return flag
-
-
-def sentiment(text, lexicon: Mapping[str, float] = LEXICON) -> Column:
-    """Compound sentiment in -1..1 as a pure column expression."""
     if len(lexicon) > MAP_MAX:
         raise ValueError("lexicon too large for the map plan; use sentiment_join")
+    words = list(lexicon)
     lex = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(float(v)))])
-    negs = lit_array(NEGATORS)
-    toks = tokens(text)
-    vals = F.transform(toks, lambda t: F.coalesce(F.try_element_at(lex, t), F.lit(0.0)))
-    neg = F.transform(toks, lambda t: F.array_contains(negs, t))
-    weighted = F.zip_with(vals, _prior_negation(neg),
-                          lambda v, f: v * F.when(F.coalesce(f, F.lit(False)), NEGATION_FACTOR)
-                          .otherwise(1.0))
-    total = F.aggregate(weighted, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    init = F.struct(F.lit(0.0).alias("s"), F.lit(False).alias("n1"), F.lit(False).alias("n2"),
+                    F.lit(False).alias("n3"))
+
+    def step(acc, t):
+        val = F.when(t.isin(*words), F.element_at(lex, t)).otherwise(F.lit(0.0))
+        neg = acc["n1"] | acc["n2"] | acc["n3"]
+        return F.struct((acc["s"] + val * F.when(neg, NEGATION_FACTOR).otherwise(1.0)).alias("s"),
+                        t.isin(*NEGATORS).alias("n1"), acc["n1"].alias("n2"), acc["n2"].alias("n3"))
+
+    total = F.aggregate(tokens(text), init, step, lambda acc: acc["s"])
     return normalize(total)
 
 

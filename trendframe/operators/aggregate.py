@@ -117,20 +117,22 @@ def discovery_counts(df: DataFrame, source: str = "discovery_source") -> DataFra
 
 def assemble_context(df: DataFrame, keys: Sequence[str], rank: str, text: str = "text",
                      sentiment: str = "sentiment", score: str = "score",
-                     subreddit: str = "subreddit", n: int = 50, cut: int = 500) -> DataFrame:
+                     subreddit: str = "subreddit", n: int = 50, cut: int = 500,
+                     extra: Sequence[Column] = ()) -> DataFrame:
     """Numbered, labelled, cut texts joined by blank lines, per key.
 
-    Only the first ``n`` rows per key (by ``rank``) enter the context, and the
-    per-key list is capped before it is collected.
+    Only the first ``n`` rows per key (by ``rank``, 1-based and dense) enter
+    the context; ``extra`` aggregates are computed in the same pass over
+    all rows of the key. Input rows per key must be bounded (they are the
+    top-n neighbours of one question).
     """
-    from .rank import top_per_key
-
-    top = top_per_key(df, list(keys), [F.col(rank)], n, rank_col="__i")
     lab = label(F.coalesce(F.col(sentiment), F.lit(0.0)), -0.1, 0.1)
-    piece = F.format_string("[Review %d] (%s, score: %s, from r/%s)\n%s", F.col("__i"), lab,
+    piece = F.format_string("[Review %d] (%s, score: %s, from r/%s)\n%s", F.col(rank), lab,
                             F.coalesce(F.col(score).cast("string"), F.lit("0")),
                             F.coalesce(F.col(subreddit), F.lit("")), ellipsis(text, cut))
-    agg = top.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__i"), piece.alias("p"))))
-                                 .alias("__l"))
+    agg = df.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.when(F.col(rank) <= n, F.struct(F.col(rank), piece.alias("p")))))
+        .alias("__l"), *extra)
+    extra_names = [c for c in agg.columns if c not in (*keys, "__l")]
     return agg.select(*keys, F.array_join(F.transform("__l", lambda s: s["p"]), "\n\n").alias("context"),
-                      F.size("__l").alias("n_reviews"))
+                      F.size("__l").alias("n_reviews"), *extra_names)

@@ -55,11 +55,11 @@ def knn(queries: DataFrame, collection: DataFrame, n: int, q_id: str = "qid", q_
 
     spark = queries.sparkSession
     qsel = queries.select(q_id, q_vec).filter(F.col(q_vec).isNotNull())
-    nq = qsel.count()
+    # size check of the side that is broadcast: one aggregate, no data moved
+    nq, dim = qsel.agg(F.count(F.lit(1)), F.max(F.size(q_vec))).first()
     if nq == 0:
         return spark.createDataFrame([], f"{q_id} {dict(queries.dtypes)[q_id]}, "
                                          f"{c_id} {dict(collection.dtypes)[c_id]}, similarity double, rank int")
-    dim = qsel.select(F.size(q_vec).alias("d")).agg(F.max("d")).first()[0]
     chunks = max(1, math.ceil(nq * dim / max_floats))
     id_type = collection.schema[c_id].dataType
     schema = T.StructType([queries.schema[q_id], T.StructField(c_id, id_type), T.StructField("similarity", T.DoubleType())])

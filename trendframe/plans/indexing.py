@@ -14,17 +14,19 @@ from ..functions.sentiment import LEXICON, sentiment
 from ..functions.text import attribute_title, csv_head, doc_id, extract_mentions, search_text
 from ..functions.vectors import embed_hashed
 from ..operators.clean import index_filter, require
+from ..operators.partitioning import spread
 from ..sources.io import insert_ignore, upsert_last
 
 
-def review_rows(feed: DataFrame, lexicon=LEXICON, embed: bool = True) -> DataFrame:
+def review_rows(feed: DataFrame, lexicon=LEXICON, embed: bool = True, keep=()) -> DataFrame:
     """C4 without the merge: the review documents that would be stored.
 
     ``feed`` columns: ``text, author, source, subreddit, score, timestamp``
-    and optionally ``comment_id, post_id, movie_title, movie_mentions``.
+    and optionally ``comment_id, post_id, movie_title, movie_mentions``;
+    ``keep`` lists further feed columns to carry through.
     """
     cols = set(feed.columns)
-    f = index_filter(feed)
+    f = index_filter(spread(feed))
     if "movie_mentions" not in cols:
         f = f.withColumn("movie_mentions", extract_mentions("text"))
     for c in ("comment_id", "post_id", "movie_title"):
@@ -41,6 +43,7 @@ def review_rows(feed: DataFrame, lexicon=LEXICON, embed: bool = True) -> DataFra
         F.coalesce("author", F.lit("")).alias("author"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
         F.size("movie_mentions").cast("bigint").alias("mentions"),
+        *keep,
     )
     return embed_hashed(rows, "text") if embed else rows
 

@@ -65,7 +65,8 @@ def select_relevant(rows: DataFrame, titles: DataFrame, min_strict: int = 10,
     mention = (F.when(F.col("strategy") == "all", F.col("__all"))
                .when(F.col("strategy") == "strict", F.col("__strict"))
                .otherwise(F.least(F.col("__all"), F.lit(fallback))))
-    kept = r.filter(keep).withColumn("mention_count", mention.cast("bigint"))
+    kept = r.filter(keep).withColumn("mention_count", mention.cast("bigint")) \
+        .withColumn("retrieved", F.col("__all").cast("bigint"))
     w = Window.partitionBy("question_id").orderBy("rank")
     return kept.withColumn("rank", F.row_number().over(w)).drop("__strict", "__all")
 
@@ -92,13 +93,12 @@ def retrieve(questions: DataFrame, reviews: DataFrame, n: int = 100, hours: floa
     titled = questions.withColumn("title", extract_title("question"))
     rows = nearest(titled, reviews, n, hours=hours, now=now)
     kept = select_relevant(rows, titled)
-    ctx = assemble_context(kept, ["question_id"], "rank", n=context_n)
-    stats = kept.groupBy("question_id").agg(F.first("strategy").alias("strategy"),
-                                            F.first("mention_count").alias("mention_count"),
-                                            F.count(F.lit(1)).alias("sources_count"))
-    retrieved = rows.groupBy("question_id").agg(F.count(F.lit(1)).alias("retrieved"))
-    summary = (titled.select("question_id", "title").join(retrieved, "question_id", "left")
-               .join(stats, "question_id", "left").join(ctx, "question_id", "left")
+    # one aggregation over the kept rows: context of the first ``context_n``,
+    # counts over all of them (the neighbour rows are computed once)
+    ctx = assemble_context(kept, ["question_id"], "rank", n=context_n, extra=[
+        F.first("strategy").alias("strategy"), F.first("mention_count").alias("mention_count"),
+        F.first("retrieved").alias("retrieved"), F.count(F.lit(1)).alias("sources_count")])
+    summary = (titled.select("question_id", "title").join(ctx, "question_id", "left")
                .withColumn("retrieved", F.coalesce("retrieved", F.lit(0)))
                .withColumn("sources_count", F.coalesce("sources_count", F.lit(0))))
     return summary, sample_sources(kept, samples)

@@ -17,6 +17,7 @@ from ..functions.score import rescale, trend_score_serving, trend_score_variant
 from ..functions.sentiment import LEXICON, sentiment
 from ..operators.aggregate import discussion_stats
 from ..operators.joins import enrich_left, known_only
+from ..operators.partitioning import spread
 from ..operators.rank import first_per_key, rank_top, tail_cap, top_comments
 
 
@@ -32,7 +33,7 @@ def trending_now(catalogue: DataFrame, discussion: DataFrame, n: int = 20,
     """
     cat = tail_cap(catalogue, "event_id", tail_catalogue)
     first = first_per_key(cat, "title", "event_id", max_titles)
-    disc = tail_cap(discussion, "event_id", tail_discussion)
+    disc = spread(tail_cap(discussion, "event_id", tail_discussion))
     disc = disc.filter(F.col("movie_title").isNotNull() & (F.col("movie_title") != "")
                        & F.col("text").isNotNull() & (F.col("text") != ""))
     disc = known_only(disc, first, "movie_title", "title")

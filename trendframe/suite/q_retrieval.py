@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.vectors import embed_hashed
 from ..operators.clean import title_contains
 from ..operators.knn import knn
+from ..operators.partitioning import spread
 from ..plans.indexing import metadata_rows
 from ..plans.retrieval import nearest, retrieve, retrieve_debug, select_relevant
 from ..sources import testbed as tb
@@ -86,7 +87,7 @@ SELECT qid, id, round(similarity, 6) AS similarity, rank FROM (
 WHERE rank <= 10""")
 def q_knn(spark, d):
     """The 10 nearest other vectors of every vector (exact, no pair table)."""
-    e = tb.table(spark, d, "embeddings")
+    e = spread(tb.table(spark, d, "embeddings"))
     out = knn(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")),
               e.select(F.col("vec_id").alias("id"), "embedding"), 10, exclude_self=True)
     return rounded(out.select("qid", "id", "similarity", "rank"))

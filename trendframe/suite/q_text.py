@@ -8,6 +8,7 @@ from ..functions import text as T
 from ..functions.sentiment import sentiment
 from ..operators import clean as C
 from ..operators.aggregate import distinct_titles, most_discussed
+from ..operators.partitioning import spread
 from ..plans.indexing import review_rows
 from ..sources import testbed as tb
 from ..sources.io import insert_ignore, upsert_last
@@ -23,9 +24,7 @@ def review_feed(spark, d):
 
 def index(spark, d):
     """C4 rows (without the vector) with the event time kept for ordering."""
-    feed = review_feed(spark, d)
-    rows = review_rows(feed, embed=False)
-    return rows.join(feed.select(F.col("comment_id").alias("review_id"), "event_time"), "review_id")
+    return review_rows(review_feed(spark, d), embed=False, keep=["event_time"])
 
 
 _EXCL = _list(T.INDEX_EXCLUDED_AUTHORS)
@@ -56,7 +55,7 @@ SELECT d.doc_id, s.compound AS sentiment FROM documents d JOIN sent s ON s.sid =
     extra=lexicon_cte() + "," + sentiment_ctes("documents", "doc_id", "text", "sent")))
 def q_sentiment(spark, d):
     """Lexicon compound sentiment of every document (whole texts)."""
-    return tb.table(spark, d, "documents").select("doc_id", sentiment("text").alias("sentiment"))
+    return spread(tb.table(spark, d, "documents")).select("doc_id", sentiment("text").alias("sentiment"))
 
 
 @register("extract_mentions", f"""
@@ -65,7 +64,7 @@ FROM (SELECT doc_id, {mentions_sql('text')} AS m FROM documents)""")
 def q_extract_mentions(spark, d):
     """capitalised word runs of every document."""
     m = T.extract_mentions("text")
-    return tb.table(spark, d, "documents").select(
+    return spread(tb.table(spark, d, "documents")).select(
         "doc_id", F.array_join(m, " | ").alias("mentions"), F.size(m).alias("n_mentions"))
 
 
