@@ -149,33 +149,30 @@ def enrich_cascade(movies: DataFrame, catalogue: DataFrame, ratings: DataFrame)
     release_date``. Result: one ``imdb`` struct per movie with the matched
     id, rating and votes, ``source`` = ``dataset`` or ``tmdb_fallback``.
     """
-    # One match over both spellings, used twice (one plan, one set of shuffles).
-    both = movies.select(F.col("title").alias("query_title")).unionByName(
-        movies.select(F.col("original_title").alias("query_title")).filter(F.col("query_title").isNotNull()))
-    m1 = m2 = match_titles(both, catalogue)
+    # Each movie asks with its title (priority 1) and, if different, its
+    # original title (priority 2); one match over all spellings, joined once,
+    # and the best priority per movie wins (an aggregate, map-side combined).
+    asks = movies.select("movie_id", F.col("title").alias("query_title"), F.lit(1).alias("__p")).unionByName(
+        movies.filter(F.col("original_title").isNotNull() & (F.col("original_title") != F.col("title")))
+        .select("movie_id", F.col("original_title").alias("query_title"), F.lit(2).alias("__p")))
+    m = match_titles(asks.select("query_title"), catalogue)
+    best = (asks.join(m, "query_title").groupBy("movie_id")
+            .agg(F.min_by("id", "__p").alias("id")))
     r = ratings.select(F.col("tconst").alias("id"), "averageRating", "numVotes")
     c = catalogue.select(F.col("tconst").alias("id"), F.col("primaryTitle").alias("__t"),
                          try_cast("startYear", "int").alias("__y"))
-    by_title = m1.join(r, "id", "left").join(c, "id", "left") \
-        .select(F.col("query_title").alias("title"), F.struct(
-            F.col("id").alias("tconst"), F.col("__t").alias("title"), F.col("__y").alias("year"),
-            F.col("averageRating").alias("imdb_rating"), F.col("numVotes").cast("bigint").alias("imdb_votes"),
-            F.lit("dataset").alias("source")).alias("m1"))
-    by_orig = m2.join(r, "id", "left").join(c, "id", "left") \
-        .select(F.col("query_title").alias("original_title"), F.struct(
-            F.col("id").alias("tconst"), F.col("__t").alias("title"), F.col("__y").alias("year"),
-            F.col("averageRating").alias("imdb_rating"), F.col("numVotes").cast("bigint").alias("imdb_votes"),
-            F.lit("dataset").alias("source")).alias("m2"))
+    found = best.join(r, "id", "left").join(c, "id", "left").select("movie_id", F.struct(
+        F.col("id").alias("tconst"), F.col("__t").alias("title"), F.col("__y").alias("year"),
+        F.col("averageRating").alias("imdb_rating"), F.col("numVotes").cast("bigint").alias("imdb_votes"),
+        F.lit("dataset").alias("source")).alias("__m"))
     year = try_cast(F.substring(F.coalesce(F.col("release_date"), F.lit("")), 1, 4), "int")
     fallback = F.struct(F.concat(F.lit("tmdb_"), F.col("movie_id").cast("string")).alias("tconst"),
                         F.col("title").alias("title"), year.alias("year"),
                         F.col("vote_average").cast("double").alias("imdb_rating"),
                         F.col("vote_count").cast("bigint").alias("imdb_votes"),
                         F.lit("tmdb_fallback").alias("source"))
-    use_orig = F.col("original_title").isNotNull() & (F.col("original_title") != F.col("title"))
-    j = movies.join(by_title, "title", "left").join(by_orig, "original_title", "left")
-    return j.withColumn("imdb_data", F.coalesce(F.col("m1"), F.when(use_orig, F.col("m2")), fallback)) \
-        .drop("m1", "m2")
+    j = movies.join(found, "movie_id", "left")
+    return j.withColumn("imdb_data", F.coalesce(F.col("__m"), fallback)).drop("__m")
 
 
 def attach_metadata(df: DataFrame, meta: DataFrame, key: str = "title") -> DataFrame:

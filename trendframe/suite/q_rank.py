@@ -266,3 +266,15 @@ def q_source_volume(spark, d):
 def q_collection_count(spark, d):
     """Size of the review collection."""
     return tb.table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total_reviews"))
+
+
+@register("latest_catalogue", tb.with_ctes("""
+SELECT event_id, title, popularity, popularity * 1.5 AS trendScore, release_date FROM catalogue
+ORDER BY event_time DESC, event_id DESC LIMIT 10""", "catalogue"))
+def q_latest_catalogue(spark, d):
+    """W13 + F24: the newest 10 catalogue records scored ``popularity * 1.5``."""
+    from ..functions.score import trend_score_variant
+    c = tb.catalogue(spark, d)
+    newest = c.orderBy(F.col("event_time").desc(), F.col("event_id").desc()).limit(10)
+    return newest.select("event_id", "title", "popularity",
+                         trend_score_variant("popularity", "catalogue").alias("trendScore"), "release_date")
