@@ -11,6 +11,7 @@ from trendframe.sources.io import write_keyed
 from trendframe.streaming.pipeline import read_feed, start_trend_job
 
 SF = "/root/testdata/sf0.001"
+ONE = {"maxFilesPerTrigger": "1"}  # several micro-batches
 
 
 def _write_parts(df, path, n_parts):
@@ -52,7 +53,8 @@ def test_stream_equals_batch_and_restart(spark, tmpdir_path):
     kw = dict(size="1 day", slide="6 hours", delay="10 minutes")
 
     def run():
-        q = start_trend_job(spark, read_feed(spark, cat_in, CATALOGUE), read_feed(spark, disc_in, DISCUSSION_SCORED),
+        q = start_trend_job(spark, read_feed(spark, cat_in, CATALOGUE, options=ONE),
+                            read_feed(spark, disc_in, DISCUSSION_SCORED, options=ONE),
                             out, name=name, **kw)
         q.awaitTermination(600)
         assert q.exception() is None

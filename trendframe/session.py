@@ -29,6 +29,8 @@ DEFAULTS = {
     # Keyed streaming state lives in RocksDB so it can exceed the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # commit only the changes of a micro-batch, not a full state snapshot
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.ui.enabled": "false",
 }
 

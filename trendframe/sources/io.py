@@ -37,8 +37,7 @@ def read_events(spark: SparkSession, source: str, schema: T.StructType | None =
         return df.select(F.col("value").cast("string").alias("value"),
                          "partition", "offset", "timestamp")
     reader = spark.readStream if stream else spark.read
-    if stream:
-        opts.setdefault("maxFilesPerTrigger", "1")
+    # micro-batch size: pass ``maxFilesPerTrigger`` in ``options`` to cap it
     return reader.format(fmt).schema(schema).options(**opts).load(source)
 
 
