@@ -53,3 +53,43 @@ def test_first_seen_stream(spark, tmpdir_path):
     want = sorted(r.id for r in first_seen(spark.createDataFrame(rows, SCHEMA), "key", "ts").collect())
     assert got == want == [0, 6]
     q.stop()
+
+
+def test_global_learner_stream_equals_batch_steps(spark, tmpdir_path):
+    import numpy as np
+
+    from trendframe.operators.learn import minibatch_step
+    from trendframe.streaming.learning import start_global_learner
+
+    schema = "k string, t int, a double, b double, y double"
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i % 3}", i, float(rng.normal()), float(rng.normal()), float(rng.normal() * 5 + 20))
+            for i in range(12)]
+    src = os.path.join(tmpdir_path, "trend_rows")
+    chunks = [rows[0:4], rows[4:8], rows[8:12]]
+    for i, c in enumerate(chunks):
+        spark.createDataFrame(c, schema).coalesce(1).write.parquet(os.path.join(src, f"p{i}"))
+        # flatten: one file per chunk directly under the source folder
+    flat = os.path.join(tmpdir_path, "flat")
+    os.makedirs(flat)
+    for i in range(3):
+        d = os.path.join(src, f"p{i}")
+        f = [x for x in os.listdir(d) if x.endswith(".parquet")][0]
+        os.link(os.path.join(d, f), os.path.join(flat, f"{i:03d}.parquet"))
+    out = {}
+
+    def sink(df, batch_id):
+        out[batch_id] = sorted((r.t, r.prediction) for r in df.collect())
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(flat)
+    q = start_global_learner(spark, stream, ["a", "b"], "y", sink, name="learn_" + os.path.basename(tmpdir_path))
+    q.awaitTermination(300)
+    state, want = None, []
+    for c in chunks:
+        o, state = minibatch_step(spark.createDataFrame(c, schema), ["a", "b"], "y", state)
+        want.append(sorted((r.t, r.prediction) for r in o.collect()))
+    got = [out[k] for k in sorted(out)]
+    assert len(got) == 3
+    for g, w in zip(got, want):
+        assert [t for t, _ in g] == [t for t, _ in w]
+        assert np.allclose([p for _, p in g], [p for _, p in w], atol=1e-9)
