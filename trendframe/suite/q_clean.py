@@ -106,7 +106,8 @@ def q_limit_rows(spark, d):
 
 
 @register("encode_json", """
-SELECT to_json({'event_id': event_id, 'event_type': event_type, 'value': value}) AS value FROM events""")
+SELECT CAST(to_json({'event_id': event_id, 'event_type': event_type, 'value': value}) AS VARCHAR) AS value
+FROM events""")
 def q_encode_json(spark, d):
     """Every row serialised as one JSON document."""
     return io.encode_json(tb.table(spark, d, "events").select("event_id", "event_type", "value"))

@@ -78,7 +78,7 @@ def q_trend_totals(spark, d):
 # ------------------------------------------------------------------ W4 - W7
 
 @register("top_comments", tb.with_ctes("""
-SELECT movie_title, rank, substr(text, 1, 200) AS text, score, event_id
+SELECT movie_title, CAST(rank AS INTEGER) AS rank, substr(text, 1, 200) AS text, score, event_id
 FROM (SELECT *, row_number() OVER (PARTITION BY movie_title ORDER BY score DESC, event_id) AS rank
       FROM (SELECT * FROM discussion_text
             QUALIFY row_number() OVER (PARTITION BY movie_title, lower(substr(text, 1, 50))

@@ -96,7 +96,7 @@ def q_knn(spark, d):
 @register("retrieve", _ret_sql("""
 SELECT q.question_id, q.title, coalesce(r.retrieved, 0) AS retrieved, s.strategy, s.mention_count,
        coalesce(s.sources_count, 0) AS sources_count, md5(ctx.context) AS context_md5,
-       length(ctx.context) AS context_chars, ctx.n_reviews
+       CAST(length(ctx.context) AS INTEGER) AS context_chars, CAST(ctx.n_reviews AS INTEGER) AS n_reviews
 FROM qs q
 LEFT JOIN (SELECT question_id, count(*) AS retrieved FROM tf GROUP BY 1) r ON r.question_id = q.question_id
 LEFT JOIN (SELECT question_id, any_value(strategy) AS strategy, any_value(mention_count) AS mention_count,
@@ -112,7 +112,7 @@ def q_retrieve(spark, d):
 
 
 @register("retrieve_samples", _ret_sql("""
-SELECT question_id, rank,
+SELECT question_id, CAST(rank AS INTEGER) AS rank,
        CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text,
        CASE WHEN coalesce(sentiment, 0.0) > 0.1 THEN 'positive'
             WHEN coalesce(sentiment, 0.0) < -0.1 THEN 'negative' ELSE 'neutral' END AS sentiment,
@@ -136,7 +136,7 @@ def q_variant_match(spark, d):
 
 
 @register("relevance", _ret_sql("""
-SELECT question_id, review_id, rank, strategy, mention_count FROM kept"""))
+SELECT question_id, review_id, CAST(rank AS INTEGER) AS rank, strategy, mention_count FROM kept"""))
 def q_relevance(spark, d):
     """Strict literal matches when there are >= 10, else the 25 most similar."""
     qs = questions(spark, d).withColumn("title", T.extract_title("question"))
@@ -146,7 +146,7 @@ def q_relevance(spark, d):
 
 
 @register("retrieve_debug", _ret_sql(f"""
-SELECT n.question_id, n.rank,
+SELECT n.question_id, CAST(n.rank AS INTEGER) AS rank,
        CASE WHEN length(n.text) > 300 THEN substr(n.text, 1, 300) || '...' ELSE n.text END AS text,
        round(1.0 - n.similarity, 6) AS distance, n.movie_title_original AS movie_title, n.subreddit,
        n.sentiment, n.score, c.full_context_length
@@ -234,8 +234,8 @@ def q_expand_query(spark, d):
 
 
 @register("embed", r"""
-SELECT doc_id, 256 AS dim,
-       CASE WHEN regexp_matches(coalesce(text, ''), '\p{L}') THEN 1.0 ELSE 0.0 END AS norm
+SELECT doc_id, CAST(256 AS INTEGER) AS dim,
+       CAST(CASE WHEN regexp_matches(coalesce(text, ''), '\p{L}') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm
 FROM documents""")
 def q_embed(spark, d):
     """Hashed n-gram encoder - every text gets a unit vector of 256 floats."""

@@ -258,7 +258,7 @@ def q_extract_title_id(spark, d):
 
 @register("index_reviews", _idx_sql("""
 SELECT review_id, movie_title, movie_title_original, "timestamp", sentiment, source, subreddit, author,
-       score, mentions, length(text) AS text_chars FROM idx"""))
+       score, mentions, CAST(length(text) AS INTEGER) AS text_chars FROM idx"""))
 def q_index_reviews(spark, d):
     """C4 (P5 F7 F5 F1 S14) without the vector column."""
     i = index(spark, d)
