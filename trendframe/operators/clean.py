@@ -104,14 +104,22 @@ def gate(df: DataFrame, mentions: str = "movie_mentions", text: str = "text",
                      | (F.coalesce(F.length(text), F.lit(0)) > min_len))
 
 
+# The characters Python's ``str.strip()`` removes (``str.isspace``), derived by rule.
+PY_WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def strip_ws(c) -> Column:
+    """Strip leading/trailing whitespace like ``str.strip()`` (no regex)."""
+    return F.btrim(col_of(c), F.lit(PY_WHITESPACE))
+
+
 def index_filter(df: DataFrame, text: str = "text", author: str = "author", min_len: int = 50,
                  authors: Sequence[str] = INDEX_EXCLUDED_AUTHORS,
                  phrases: Sequence[str] = INDEX_BOILERPLATE) -> DataFrame:
     """P5: text worth indexing - long enough, not a bot, not boilerplate."""
     t = F.coalesce(F.col(text), F.lit(""))
     low = F.lower(t)
-    stripped = F.regexp_replace(t, r"^\s+|\s+$", "")
-    cond = (F.length(stripped) >= min_len) & \
+    cond = (F.length(strip_ws(t)) >= min_len) & \
         ~F.lower(F.coalesce(F.col(author), F.lit(""))).isin(*authors)
     for p in phrases:
         cond = cond & ~low.contains(p)

@@ -85,3 +85,10 @@ def attribute_sql(source: str, movie_title: str, subreddit: str, mentions: str)
     own = f"(CASE WHEN {source} = 'tmdb' THEN coalesce({movie_title}, 'Unknown') END)"
     first = f"({clean_mentions_sql(mentions)})[1]"
     return f"coalesce({own}, {mapped}, {first}, 'general')"
+
+
+def strip_ws_sql(x: str) -> str:
+    """``str.strip()`` in DuckDB: trim the whitespace set given by code points."""
+    from ..operators.clean import PY_WHITESPACE
+    chars = " || ".join(f"chr({ord(c)})" for c in PY_WHITESPACE)
+    return f"trim({x}, {chars})"

@@ -13,7 +13,7 @@ from ..plans.indexing import review_rows
 from ..sources import testbed as tb
 from ..sources.io import insert_ignore, upsert_last
 from . import register, rounded
-from ._sql import (attribute_sql, lexicon_cte, mentions_sql, sentiment_ctes, sround, _list)
+from ._sql import (attribute_sql, lexicon_cte, mentions_sql, sentiment_ctes, sround, strip_ws_sql, _list)
 
 
 def review_feed(spark, d):
@@ -30,7 +30,7 @@ def index(spark, d):
 _EXCL = _list(T.INDEX_EXCLUDED_AUTHORS)
 _IDX_CTES = lexicon_cte() + f""",
 f AS (SELECT * FROM reviews
-      WHERE length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) >= 50
+      WHERE length({strip_ws_sql("coalesce(text, '')")}) >= 50
         AND NOT list_contains({_EXCL}, lower(coalesce(author, '')))
         AND NOT contains(lower(coalesce(text, '')), '{T.INDEX_BOILERPLATE[0]}')
         AND NOT contains(lower(coalesce(text, '')), '{T.INDEX_BOILERPLATE[1]}')),""" + \
@@ -113,7 +113,7 @@ def q_publish_gate(spark, d):
 
 @register("index_filter", tb.with_ctes(f"""
 SELECT review_id FROM reviews
-WHERE length(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')) >= 50
+WHERE length({strip_ws_sql("coalesce(text, '')")}) >= 50
   AND NOT list_contains({_EXCL}, lower(coalesce(author, '')))
   AND NOT contains(lower(coalesce(text, '')), '{T.INDEX_BOILERPLATE[0]}')
   AND NOT contains(lower(coalesce(text, '')), '{T.INDEX_BOILERPLATE[1]}')""", "reviews"))
