@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,8 +124,6 @@ def sentiment_udf(analyzer_factory: Callable[[], Callable[[str], float]]):
     row; it returns ``text -> compound``. Use only when the lexicon method
     above is not acceptable - it leaves whole-stage code generation.
     """
-    import pandas as pd
-
     cache: dict = {}
 
     @F.pandas_udf("double")

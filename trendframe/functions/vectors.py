@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def embed_pandas(encoder_factory: Callable[[], Callable[[list[str]], "list"]], d
     ``encoder_factory`` runs once per Python worker and returns a function
     mapping a list of texts to a list of vectors of length ``dim``.
     """
-    import pandas as pd
-
     cache: dict = {}
 
     @F.pandas_udf("array<float>")
