@@ -143,3 +143,12 @@ def test_keyed_stores(spark):
     assert ins == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
     up = rows(upsert_last(new, base, ["id"], "o"), "id", "v")
     assert up == [("a", 1.0), ("b", 9.0), ("c", 4.0)]
+
+
+def test_fuzzy_title_match_empty_catalogue_title(spark):
+    cat = spark.createDataFrame([("t0", 0, "  "), ("t1", 1, "Alpha"), ("t2", 2, "Beta")],
+                                "tconst string, pos int, primaryTitle string")
+    q = spark.createDataFrame([("alpha",), ("gamma",), ("bet",)], "query_title string")
+    got = dict(rows(match_titles(q, cat), "query_title", "id"))
+    # exact match wins; otherwise the empty title (position 0) is inside every query
+    assert got == {"alpha": "t1", "gamma": "t0", "bet": "t0"}

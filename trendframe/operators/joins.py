@@ -126,19 +126,27 @@ def match_titles(queries: DataFrame, catalogue: DataFrame, q_col: str = "query_t
     cols = ["query_title", "pos", "id"]
     cands = (in_t.select(*cols).unionByName(in_t_short.select(*cols))
              .unionByName(t_in.select(*cols)).unionByName(t_in_short.select(*cols)))
-    # An empty catalogue title is inside every query title, and an empty query
-    # title is inside every catalogue title: both are one-row sides joined on
-    # a constant key (never a product of the two sets).
-    one = F.lit(1).alias("__one")
-    empty_t = cat.filter(F.col("t") == "").select("pos", "id", one)
-    cands = cands.unionByName(rest.select("query_title", one).join(empty_t, "__one").select(*cols))
+    partial = cands.groupBy("query_title").agg(F.min("pos").alias("pos"), F.min_by("id", "pos").alias("id"))
+    # An empty catalogue title is inside every query title; with
+    # ``skip_empty=False`` an empty query title is inside every catalogue
+    # title. Each case contributes one catalogue row (the catalogue is grouped
+    # by title), fetched here and applied as literals - no product is formed.
+    special = []
+    empty_t = cat.filter(F.col("t") == "").select("pos", "id").limit(1).collect()
+    if empty_t:
+        special.append((F.col("q") != "", empty_t[0]["pos"], empty_t[0]["id"]))
     if not skip_empty:
-        first = cat.agg(F.min("pos").alias("pos"), F.min_by("id", "pos").alias("id")).select(
-            "pos", "id", one)
-        cands = cands.unionByName(rest.filter(F.col("q") == "").select("query_title", one)
-                                  .join(first, "__one").select(*cols))
-    partial = cands.groupBy("query_title").agg(F.min_by("id", "pos").alias("id")) \
-        .select("query_title", "id", F.lit("partial").alias("match"))
+        first = cat.orderBy("pos").select("pos", "id").limit(1).collect()
+        if first:
+            special.append((F.col("q") == "", first[0]["pos"], first[0]["id"]))
+    if special:
+        r = rest.select("query_title", "q").join(partial, "query_title", "left")
+        for cond, pos, idv in special:
+            better = cond & (F.col("pos").isNull() | (F.lit(pos) < F.col("pos")))
+            r = r.withColumn("id", F.when(better, F.lit(idv)).otherwise(F.col("id"))) \
+                 .withColumn("pos", F.when(better, F.lit(pos)).otherwise(F.col("pos")))
+        partial = r.filter(F.col("id").isNotNull())
+    partial = partial.select("query_title", "id", F.lit("partial").alias("match"))
     return exact.unionByName(partial)
 
 
