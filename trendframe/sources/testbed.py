@@ -37,8 +37,17 @@ NOW = "2024-01-31 00:00:00"
 TODAY = "2024-01-31"
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A supplied table, defined once per session (file listing and footer
+    reading are not repeated for every query that reads it)."""
+    key = (id(spark._jsparkSession), sf_dir, name)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df
 
 
 def _title(k):
