@@ -21,3 +21,23 @@ def lit_array(values: Sequence[str]) -> Column:
 def try_cast(c, dtype: str) -> Column:
     """Cast that yields NULL instead of failing on bad input (ANSI mode)."""
     return col_of(c).try_cast(dtype)
+
+
+_CONSTANTS: dict = {}
+
+
+def constant(key, build) -> Column:
+    """A constant expression (literal map or array) built once per Spark context.
+
+    Column objects are immutable expressions, so the same literal can be
+    shared by every query; this saves hundreds of driver round trips per
+    query for the fixed word lists and lexicon.
+    """
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    k = (id(sc), key)
+    c = _CONSTANTS.get(k)
+    if c is None:
+        c = _CONSTANTS[k] = build()
+    return c

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._util import col_of, lit_array
+from ._util import col_of, constant, lit_array
 
 # ----------------------------------------------------------------- fixed values
 # Fixed test lexicon (word -> valence on the -4..4 scale). The text in the
@@ -76,21 +76,23 @@ def sentiment(text, lexicon: Mapping[str, float] = LEXICON) -> Column:
 
     One left fold over the words (the text is tokenised once) carrying the
     running sum and whether each of the last three words was a negator.
-    Membership tests are hash-set ``IN`` checks; the valence map is only
-    consulted for words that are in the lexicon.
+    The lexicon map and the negator list are literals built once per Spark
+    context and shared by every query.
     """
     if len(lexicon) > MAP_MAX:
         raise ValueError("lexicon too large for the map plan; use sentiment_join")
-    words = list(lexicon)
-    lex = F.create_map(*[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(float(v)))])
+    key = tuple(sorted(lexicon.items()))
+    lex = constant(("lexicon", key), lambda: F.create_map(
+        *[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(float(v)))]))
+    negs = constant(("negators", NEGATORS), lambda: lit_array(NEGATORS))
     init = F.struct(F.lit(0.0).alias("s"), F.lit(False).alias("n1"), F.lit(False).alias("n2"),
                     F.lit(False).alias("n3"))
 
     def step(acc, t):
-        val = F.when(t.isin(*words), F.element_at(lex, t)).otherwise(F.lit(0.0))
+        val = F.coalesce(F.try_element_at(lex, t), F.lit(0.0))
         neg = acc["n1"] | acc["n2"] | acc["n3"]
         return F.struct((acc["s"] + val * F.when(neg, NEGATION_FACTOR).otherwise(1.0)).alias("s"),
-                        t.isin(*NEGATORS).alias("n1"), acc["n1"].alias("n2"), acc["n2"].alias("n3"))
+                        F.array_contains(negs, t).alias("n1"), acc["n1"].alias("n2"), acc["n2"].alias("n3"))
 
     total = F.aggregate(tokens(text), init, step, lambda acc: acc["s"])
     return normalize(total)

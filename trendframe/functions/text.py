@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._util import col_of, lit_array, try_cast
+from ._util import col_of, constant, lit_array, try_cast
 
 # ----------------------------------------------------------------- fixed values
 # Fixed values that must equal the reference's for identical results, kept
@@ -97,7 +97,7 @@ def extract_mentions(text) -> Column:
 
 def clean_mentions(mentions, stop_words: Sequence[str] = MENTION_STOP_WORDS) -> Column:
     """cleaned mentions that can be titles (stop words, <= 3 chars, ``:`` out)."""
-    stop = lit_array(stop_words)
+    stop = constant(("stop", tuple(stop_words)), lambda: lit_array(stop_words))
     cleaned = F.transform(F.coalesce(col_of(mentions), F.array().cast("array<string>")),
                           lambda m: _strip_chars(m, TITLE_STRIP))
     return F.filter(cleaned, lambda m: ~F.array_contains(stop, m) & (F.length(m) > 3)
@@ -106,7 +106,8 @@ def clean_mentions(mentions, stop_words: Sequence[str] = MENTION_STOP_WORDS) ->
 
 def map_values(col, mapping: Mapping[str, str]) -> Column:
     """Look a value up in a small fixed map (NULL when absent)."""
-    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    m = constant(("map", tuple(mapping.items())),
+                 lambda: F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]))
     return F.try_element_at(m, col_of(col))
 
 
