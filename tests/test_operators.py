@@ -3,7 +3,6 @@
 import datetime as dt
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from trendframe.operators import rank as R

@@ -3,7 +3,6 @@
 import datetime as dt
 import os
 
-from pyspark.sql import functions as F
 
 from trendframe.streaming.state import cooldown, cooldown_stream, first_seen, history_stream
 

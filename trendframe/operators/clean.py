@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions._util import col_of, lit_array
+from ..functions._util import col_of
 from ..functions.text import INDEX_BOILERPLATE, INDEX_EXCLUDED_AUTHORS
 
 
@@ -202,7 +202,3 @@ def require(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         cond = cond & F.col(c).isNotNull() & (F.col(c).cast("string") != "")
     return df.filter(cond)
-
-
-def lit_set(values: Sequence[str]) -> Column:
-    return lit_array(values)

@@ -12,7 +12,6 @@ from ..operators.joins import attach_metadata, attach_ratings, credits, match_ti
 from ..plans.catalogue import catalogue_enrich, discover, merge_feeds, title_catalogue
 from ..sources import testbed as tb
 from . import register, rounded
-from ._sql import sround
 
 TYPES = ("ECONOMY", "MEDIUM", "PROMO", "STANDARD")
 _TYPES_SQL = ", ".join(f"'{t}'" for t in TYPES)
@@ -330,5 +329,3 @@ def q_metadata_lookup(spark, d):
     out = attach_metadata(titles, meta, "title")
     return out.select("title", "releaseDate", "voteAverage", "imdbRating")
 
-
-__all__ = ["sround"]

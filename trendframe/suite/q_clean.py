@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from ..operators import clean as C
 from ..operators.drift import drift
 from ..sources import io
@@ -156,5 +155,3 @@ def q_drift(spark, d):
     cur = ev.filter(F.col("ts") >= now - day)
     return rounded(drift(ref, cur, "value", ["event_type"]))
 
-
-__all__ = ["T"]

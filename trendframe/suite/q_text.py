@@ -12,7 +12,7 @@ from ..operators.partitioning import spread
 from ..plans.indexing import review_rows
 from ..sources import testbed as tb
 from ..sources.io import insert_ignore, upsert_last
-from . import register, rounded
+from . import register
 from ._sql import (attribute_sql, lexicon_cte, mentions_sql, sentiment_ctes, sround, strip_ws_sql, _list)
 
 
@@ -342,5 +342,3 @@ def q_upsert_last(spark, d):
                     (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("ordering"))
     return upsert_last(new, base, ["tconst"], "ordering").select("tconst", "value", "src")
 
-
-__all__ = ["index", "review_feed", "rounded"]
