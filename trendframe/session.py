@@ -40,6 +40,9 @@ def get_spark(app: str = "trendframe", master: str | None = None,
               extra: dict | None = None) -> SparkSession:
     """Return the active session, creating a local one if none exists.
 
+    The library defaults are applied unless the cluster configuration sets
+    the same keys.
+
     ``master`` and ``shuffle_partitions`` are meant for tests and the bench;
     on a cluster leave them ``None``.
     """
@@ -51,9 +54,14 @@ def get_spark(app: str = "trendframe", master: str | None = None,
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
+    conf = spark.sparkContext.getConf()
     for k, v in DEFAULTS.items():
-        if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
+        # cluster-level settings (spark-defaults, submit options) win
+        if not conf.contains(k) and k not in (extra or {}):
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # static settings can only be given at start-up
+                pass
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
     return spark

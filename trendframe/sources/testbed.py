@@ -99,7 +99,8 @@ def discussion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    ts = F.timestamp_seconds(F.lit(1706659200) - F.col("doc_id") * 3600).cast("timestamp_ntz")
+    # wall-clock arithmetic on a zone-free timestamp (independent of the session zone)
+    ts = F.timestamp_add("HOUR", -F.col("doc_id"), F.lit(NOW).cast("timestamp_ntz"))
     return d.select(
         F.col("doc_id").cast("string").alias("review_id"),
         "doc_id", "text", "lang",
