@@ -55,3 +55,24 @@ def shipped(spark: SparkSession) -> SparkSession:
 def residue(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo ``n``; a null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: Rows of a key from which it is split, and the parts it is split into.
+HOT_ROWS = 1000
+SALTS = 64
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, salt: Column) -> DataFrame:
+    """Left join of ``rows`` with one row per group, where a group may hold most rows.
+
+    Groups of over ``HOT_ROWS`` rows (column ``size``) are copied to every
+    salt, so their rows are dealt over ``SALTS`` parts by ``salt``; all other
+    rows are joined by key.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
+    hot = groups.filter(F.col(size) > HOT_ROWS).withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cold = groups.filter(F.col(size) <= HOT_ROWS)
+    split = salted.join(hot, [key, "salt"])
+    rest = salted.join(hot.select(key, "salt"), [key, "salt"], "left_anti").join(cold, key, "left")
+    return split.drop("salt").unionByName(rest.drop("salt"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged
+from .common import ascii_lower, join_groups, staged
 
 MIN_CHUNK = 1024
 MAX_CHUNK = 8192
@@ -62,7 +62,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     recipes = staged(recipes, "recipes")
     groups = recipes.groupBy("recipe").agg(
         F.max(F.struct("id", "row")).alias("keep"), F.count("*").alias("n")).filter("n > 1")
-    joined = recipes.join(groups, "recipe", "left")
+    groups = staged(groups, "groups")
+    joined = join_groups(recipes, groups, "recipe", "n", F.col("row"))
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("n").isNull(), F.col("id")).otherwise(F.col("keep.id")).alias("keep_id"),

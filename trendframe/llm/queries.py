@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import decontaminate, exact_dedup, huffman, langid, packing, simhash_dedup, toxicity
 from .suite import register, table
 
 #: Lower-cases A-Z only.
@@ -17,3 +20,38 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)""")
 def op4_exact_dedup(spark, sf_dir):
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@register("op6_simhash_dedup")
+def op6_simhash_dedup(spark, sf_dir):
+    out = simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+                      "component_id")
+
+
+@register("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.train(docs))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op9_token_files")
+def op9_token_files(spark, sf_dir):
+    return huffman.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+@register("op10_best_fit_packing")
+def op10_best_fit_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  end_id=2, size=1024)
+
+
+@register("op3_decontamination")
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
