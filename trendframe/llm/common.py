@@ -39,7 +39,7 @@ def released(df: DataFrame) -> None:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; for files, from their length. No job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def ascii_lower(c: Column) -> Column:
