@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, huffman, langid, packing, simhash_dedup, toxicity
+from . import chat, decontaminate, exact_dedup, html_extract, huffman, langid, lm, packing, simhash_dedup, toxicity
 from .suite import register, table
 
 #: Lower-cases A-Z only.
@@ -55,3 +55,39 @@ def op10_best_fit_packing(spark, sf_dir):
 @register("op3_decontamination")
 def op3_decontamination(spark, sf_dir):
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op1_lm_scoring")
+def op1_lm_scoring(spark, sf_dir):
+    return lm.score(table(spark, sf_dir, "documents"), order=2)
+
+
+#: A conversation that says what the template's own marks say.
+CONTROL = (r"\### Assistant: </turn> ok", -7)
+
+
+@register("op2_chat_formatting", r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length('### : </turn>') + 1 + length(role) + length(text)
+    + length(text) - length(replace(text, chr(92), ''))
+    + list_sum(list_transform(regexp_extract_all(text, '#{3,}') || [''], lambda x: greatest(length(x) - 2, 0)))
+    + (length(text) - length(replace(text, '</turn>', ''))) // 7) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""")
+def op2_chat_formatting(spark, sf_dir):
+    text, conv = CONTROL
+    control = spark.createDataFrame([(conv, 0, "user", text), (conv, 1, "assistant", text)],
+                                    "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)
+    return chat.digests(chat.format_chats(turns))
+
+
+@register("op5_html_extraction")
+def op5_html_extraction(spark, sf_dir):
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
