@@ -29,11 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, residue, staged
+from .common import residue, staged
 
-#: Bytes of input in a block of documents, and in a range of n-gram hashes.
-BLOCK_BYTES = 8 << 20
-RANGE_BYTES = 8 << 20
+#: Bytes of text in a block of documents, and per range of n-gram hashes.
+BLOCK_BYTES = 14 << 20
+RANGE_BYTES = 14 << 20
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
 BUCKETS = 34
 STEPS = 60
@@ -264,15 +264,15 @@ def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK_BYTES, range
     and scored. An empty table gives an empty result; other columns are not
     read. Without training rows every token has probability 1.
     """
-    n_blocks = input_bytes(docs) // block_bytes + 1
-    n_ranges = input_bytes(docs) // range_bytes + 1
+    size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
+    if not rows:
+        return docs.sparkSession.createDataFrame([], _ddl(SCORES))
+    n_blocks, n_ranges = size // block_bytes + 1, size // range_bytes + 1
     r = residue(F.col("doc_id"), FOLDS)
     mixed = F.xxhash64("doc_id", "text")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", r.cast("int").alias("r")).withColumn(
         "block", F.when(F.col("r") == EM_FOLD, -1 - F.pmod(mixed, F.lit(n_blocks // 6 + 1)))
         .otherwise(F.pmod(mixed, F.lit(n_blocks))))
-    if src.isEmpty():
-        return docs.sparkSession.createDataFrame([], _ddl(SCORES))
     asked = src.groupBy("block").applyInArrow(_requests(order, n_ranges), _ddl(REQUEST))
     replies = staged(asked.groupBy("k", "r").applyInArrow(_reply, _ddl(REPLY)), "lm-counts")
     n, n_fold, types = (int(x or 0) for x in replies.filter("block IS NULL").agg(
