@@ -1,9 +1,9 @@
-"""Sources: TSV dumps with the null token, JSON decode with corrupt rows, scan cap."""
+"""Sources: TSV dumps with the null token, JSON decode with corrupt rows."""
 
 import os
 
 from trendframe.schemas import RATINGS_TSV
-from trendframe.sources.io import decode_json, limit_rows, read_tsv
+from trendframe.sources.io import decode_json, read_tsv
 
 
 def test_read_tsv_null_token(spark, tmpdir_path):
@@ -19,8 +19,3 @@ def test_decode_json_routes_corrupt_rows(spark):
     got = [tuple(r) for r in decode_json(df, "value", "k int", corrupt_col="_corrupt").collect()]
     assert got[0] == (1, None)
     assert got[1][0] is None
-
-
-def test_limit_rows(spark):
-    df = spark.range(100).withColumnRenamed("id", "k")
-    assert [r.k for r in limit_rows(df, 3, ["k"]).collect()] == [0, 1, 2]

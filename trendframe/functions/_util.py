@@ -36,7 +36,7 @@ def constant(key, build) -> Column:
     from pyspark import SparkContext
 
     sc = SparkContext._active_spark_context
-    k = (id(sc), key)
+    k = (sc.applicationId, key)
     c = _CONSTANTS.get(k)
     if c is None:
         c = _CONSTANTS[k] = build()

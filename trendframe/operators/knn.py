@@ -1,89 +1,116 @@
 """Exact top-n nearest neighbours by cosine similarity.
 
-Plan (no cross join, no pair table): the query vectors are broadcast in
-chunks whose size is checked against ``max_floats``; each collection
-partition scores its rows against the chunk with one matrix product
-(``mapInPandas``, Arrow batches) and emits only its local top ``n`` per
-query (plus rows tied with the n-th). A per-query ``row_number() <= n``
-(partial group limit before the shuffle) merges the partition winners, so
-the result is exact. Work is one pass over the collection per query chunk.
+Queries are dealt into blocks and the collection into slices of bounded size;
+every block meets every slice in one task (a block nested loop over equi-join
+keys: no product join, nothing through the driver, no broadcast). A task
+scores tiles of bounded size with one matrix product each and keeps a running
+top ``n`` per query, so it returns at most ``n`` rows per query, whatever the
+batch size. A per-query ``row_number() <= n`` (a partial group limit before
+the shuffle) merges the slices' winners; the result is exact.
+
+Similarities are rounded to 12 decimals, so equal vectors tie whatever tile
+they were scored in; ties go to the smaller id. A zero or null vector has no
+direction and takes no part, as a query or as a neighbour.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from ..shipping import ship
+from .partitioning import file_bytes
 from .rank import top_per_key
 
-MAX_FLOATS = 32_000_000  # 128 MB of float32 query vectors per broadcast chunk
+#: Bytes of input per query block and per collection slice.
+BLOCK_BYTES = 16 << 20
+SLICE_BYTES = 64 << 20
+#: Queries and collection rows whose scores are held at a time.
+TILE_QUERIES, TILE_ROWS = 256, 8192
+
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors; a zero vector becomes NaN."""
+    flat = column.combine_chunks()
+    m = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    norm = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(norm > 0, norm, np.nan)[:, None]
 
-def _local_topn(q_ids, qmat, n: int, c_id: str, c_vec: str, q_id: str, id_type):
-    import numpy as np
-    import pandas as pd
 
-    def run(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cm = np.stack(pdf[c_vec].to_numpy()).astype(np.float64)
-            cn = np.linalg.norm(cm, axis=1)
-            cn[cn == 0] = np.nan
-            sims = (cm @ qmat.T) / cn[:, None]          # rows: collection, cols: queries
-            k = min(n, sims.shape[0])
-            part = np.partition(np.nan_to_num(sims, nan=-np.inf), sims.shape[0] - k, axis=0)
-            thresh = part[sims.shape[0] - k, :]         # n-th largest per query
-            rows, cols = np.nonzero(np.nan_to_num(sims, nan=-np.inf) >= thresh[None, :])
-            yield pd.DataFrame({q_id: np.asarray(q_ids)[cols], c_id: pdf[c_id].to_numpy()[rows],
-                                "similarity": sims[rows, cols]})
-    return run
+def _best(query: np.ndarray, row: np.ndarray, sim: np.ndarray, n: int):
+    """The ``n`` best (query, row, sim) of each query; the smaller row wins a tie."""
+    order = np.lexsort((row, -sim, query))
+    query, row, sim = query[order], row[order], sim[order]
+    new = np.ones(len(query), bool)
+    new[1:] = query[1:] != query[:-1]
+    first = np.flatnonzero(new)
+    keep = np.arange(len(query)) - first[np.cumsum(new) - 1] < n
+    return query[keep], row[keep], sim[keep]
+
+
+def local_top(queries: np.ndarray, rows: np.ndarray, n: int, same: np.ndarray | None = None):
+    """(query, row, similarity) of the ``n`` most similar rows of each query.
+
+    ``same[q]`` is the row that is the query itself, -1 for none; it is left out.
+    """
+    out = []
+    for a in range(0, len(queries), TILE_QUERIES):
+        q = queries[a:a + TILE_QUERIES]
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for b in range(0, len(rows), TILE_ROWS):
+            sims = np.round(q @ rows[b:b + TILE_ROWS].T, 12)
+            sims[np.isnan(sims)] = -np.inf
+            if same is not None:
+                own = same[a:a + TILE_QUERIES] - b
+                hit = np.flatnonzero((own >= 0) & (own < sims.shape[1]))
+                sims[hit, own[hit]] = -np.inf
+            k = min(n, sims.shape[1])
+            least = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
+            i, j = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+            best = _best(*(np.concatenate(x) for x in zip(best, (i, j + b, sims[i, j]))), n)
+        out.append((best[0] + a, best[1], best[2]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
 def knn(queries: DataFrame, collection: DataFrame, n: int, q_id: str = "qid", q_vec: str = "qvec",
         c_id: str = "id", c_vec: str = "embedding", exclude_self: bool = False,
-        max_floats: int = MAX_FLOATS) -> DataFrame:
+        blocks: int | None = None, slices: int | None = None) -> DataFrame:
     """Top ``n`` collection rows per query by cosine similarity (ties: smaller id).
 
-    Returns ``q_id, c_id, similarity, rank``. ``exclude_self`` drops pairs
-    with equal ids (self-neighbours when both sides are the same table).
+    Returns ``q_id, c_id, similarity, rank``. ``exclude_self`` leaves out
+    pairs with equal ids (when both sides are the same table). ``blocks`` and
+    ``slices`` are derived from the size of the files if not given; planning
+    starts no job.
     """
-    import numpy as np
-
-    spark = queries.sparkSession
-    qsel = queries.select(q_id, q_vec).filter(F.col(q_vec).isNotNull())
-    # size check of the side that is broadcast: one aggregate, no data moved
-    nq, dim = qsel.agg(F.count(F.lit(1)), F.max(F.size(q_vec))).first()
-    if nq == 0:
-        return spark.createDataFrame([], f"{q_id} {dict(queries.dtypes)[q_id]}, "
-                                         f"{c_id} {dict(collection.dtypes)[c_id]}, similarity double, rank int")
-    chunks = max(1, math.ceil(nq * dim / max_floats))
-    id_type = collection.schema[c_id].dataType
-    schema = T.StructType([queries.schema[q_id], T.StructField(c_id, id_type), T.StructField("similarity", T.DoubleType())])
-    coll = collection.select(c_id, c_vec).filter(F.col(c_vec).isNotNull())
-    k = n + 1 if exclude_self else n
-    parts = []
-    for c in range(chunks):
-        qc = qsel if chunks == 1 else qsel.filter(F.pmod(F.hash(q_id), F.lit(chunks)) == c)
-        pdf = qc.toPandas()  # bounded: at most max_floats values per chunk
-        if pdf.empty:
-            continue
-        qm = np.stack(pdf[q_vec].to_numpy()).astype(np.float64)
-        qn = np.linalg.norm(qm, axis=1)
-        qn[qn == 0] = np.nan
-        qm = qm / qn[:, None]
-        bc = spark.sparkContext.broadcast((pdf[q_id].to_numpy(), qm))
-
-        def run(batches, bc=bc):
-            ids, mat = bc.value
-            yield from _local_topn(ids, mat, k, c_id, c_vec, q_id, id_type)(batches)
-        parts.append(coll.mapInPandas(run, schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    if exclude_self:
-        out = out.filter(F.col(q_id) != F.col(c_id))
+    ship(queries.sparkSession)
+    blocks = blocks or file_bytes(queries) // BLOCK_BYTES + 1
+    slices = slices or file_bytes(collection) // SLICE_BYTES + max(1, queries.sparkSession.sparkContext.defaultParallelism // blocks)
+
+    def dealt(df, ident, vec, own, parts, other, copies):
+        return (df.filter(F.col(vec).isNotNull()).select(F.col(ident).alias("id"), F.col(vec).alias("v"))
+                .withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))))
+
+    q = dealt(queries, q_id, q_vec, "block", blocks, "slice", slices)
+    c = dealt(collection, c_id, c_vec, "slice", slices, "block", blocks)
+    q_type, c_type = queries.schema[q_id].dataType.simpleString(), collection.schema[c_id].dataType.simpleString()
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["qid", "cid", "similarity"]
+        kinds = [left["id"].type, right["id"].type, pa.float64()]
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], k) for k in kinds], names)
+        right = right.sort_by("id")  # a smaller index is a smaller id
+        same = None
+        if exclude_self:
+            place = {x: k for k, x in enumerate(right["id"].to_pylist())}
+            same = np.array([place.get(x, -1) for x in left["id"].to_pylist()], np.int64)
+        i, j, sim = local_top(_matrix(left["v"]), _matrix(right["v"]), n, same)
+        return pa.table([left["id"].take(pa.array(i)), right["id"].take(pa.array(j)), pa.array(sim)], names)
+
+    pairs = q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice")).applyInArrow(
+        scored, f"qid {q_type}, cid {c_type}, similarity double")
+    out = pairs.select(F.col("qid").alias(q_id), F.col("cid").alias(c_id), "similarity")
     return top_per_key(out, [q_id], [F.col("similarity").desc(), F.col(c_id)], n, rank_col="rank")

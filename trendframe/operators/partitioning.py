@@ -1,12 +1,11 @@
-"""Parallelism guard for CPU-heavy per-row work.
+"""Layout of text scans.
 
 Text functions (tokenising, regex extraction, the encoder) cost far more per
-row than the scan. When a scan yields fewer splits than the cluster has
-task slots (few large files, one row group each), those functions would
-run on a handful of cores. :func:`spread` then redistributes the rows
-round-robin to the default parallelism. On a large input the scan already
-has at least that many splits and :func:`spread` does nothing, so no
-shuffle is added at scale.
+row than the scan. A table of few large row groups gives few splits, and
+those functions would run on a handful of cores. :func:`spread` then deals
+the rows out to the default parallelism. It decides by the length of the
+files under the plan, which Catalyst knows without running anything; files
+that fill every task slot are read as they are.
 """
 
 from __future__ import annotations
@@ -14,11 +13,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    target = min_partitions or sc.defaultParallelism
-    if df.isStreaming:
-        return df
-    if df.rdd.getNumPartitions() >= target:
+def file_bytes(df: DataFrame) -> int:
+    """Bytes of the sources under ``df``, by Catalyst's estimate. Starts no job."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+
+
+def spread(df: DataFrame, target: int | None = None) -> DataFrame:
+    """Deal the rows of a scan out to ``target`` partitions unless its files do so already."""
+    spark = df.sparkSession
+    target = target or spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if df.isStreaming or file_bytes(df) >= target * split:
         return df
     return df.repartition(target)

@@ -89,11 +89,9 @@ def top_rated(basics: DataFrame, ratings: DataFrame, min_votes: int = 10000, n:
     return j.orderBy(F.col("averageRating").desc(), F.col("pos")).limit(n)
 
 
-def first_per_key(df: DataFrame, key: str, order: str, cap: int | None = None) -> DataFrame:
-    """The first message per key in arrival order; optionally only the first
-    ``cap`` keys to appear."""
-    first = top_per_key(df, [key], [F.col(order)], 1)
-    return first.orderBy(order).limit(cap) if cap else first
+def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """The first message per key in arrival order."""
+    return top_per_key(df, [key], [F.col(order)], 1)
 
 
 def rank_top(df: DataFrame, score: str, n: int = 20, tie: str | Sequence[str] | None = None) -> DataFrame:
@@ -127,12 +125,3 @@ def sample_sources(df: DataFrame, n: int = 5, order: str = "rank", text: str = "
                       F.when(F.col(source) == "tmdb", F.lit("TMDB Review"))
                       .otherwise(F.coalesce(F.col(subreddit), F.lit("reddit"))).alias("source_label"),
                       F.col(source).alias("source_type"))
-
-
-def tail_cap(df: DataFrame, offset: str, n: int | None, part: str | None = None) -> DataFrame:
-    """S4 helper: keep the newest ``n`` rows (per ``part``) or everything when ``n`` is None."""
-    if not n:
-        return df
-    if part:
-        return top_per_key(df, [part], [F.col(offset).desc()], n)
-    return df.orderBy(F.col(offset).desc()).limit(n)

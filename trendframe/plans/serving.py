@@ -17,24 +17,19 @@ from ..functions.score import rescale, trend_score_serving, trend_score_variant
 from ..functions.sentiment import LEXICON, sentiment
 from ..operators.aggregate import discussion_stats
 from ..operators.joins import enrich_left, known_only
-from ..operators.partitioning import spread
-from ..operators.rank import first_per_key, rank_top, tail_cap, top_comments
+from ..operators.rank import first_per_key, rank_top, top_comments
 
 
 def trending_now(catalogue: DataFrame, discussion: DataFrame, n: int = 20,
-                 lexicon=LEXICON, tail_catalogue: int | None = None,
-                 tail_discussion: int | None = None, max_titles: int | None = None) -> DataFrame:
+                 lexicon=LEXICON) -> DataFrame:
     """Current titles ranked by the serving trend score.
 
     ``catalogue``: ``event_id, title, popularity, vote_average,
     release_date``; ``discussion``: ``event_id, movie_title, text, author,
-    score``. The ``tail_*`` and ``max_titles`` bounds reproduce the
-    reference's bounded scan when set; by default the whole feeds are used.
+    score``. The whole feeds are used.
     """
-    cat = tail_cap(catalogue, "event_id", tail_catalogue)
-    first = first_per_key(cat, "title", "event_id", max_titles)
-    disc = spread(tail_cap(discussion, "event_id", tail_discussion))
-    disc = disc.filter(F.col("movie_title").isNotNull() & (F.col("movie_title") != "")
+    first = first_per_key(catalogue, "title", "event_id")
+    disc = discussion.filter(F.col("movie_title").isNotNull() & (F.col("movie_title") != "")
                        & F.col("text").isNotNull() & (F.col("text") != ""))
     disc = known_only(disc, first, "movie_title", "title")
     disc = disc.withColumn("title_key", F.lower("movie_title")) \

@@ -81,11 +81,6 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool
             .csv(path))
 
 
-def limit_rows(df: DataFrame, n: int, order: Sequence[str | Column] | None = None) -> DataFrame:
-    """Cap a scan at ``n`` rows; deterministic when ``order`` is given."""
-    return (df.orderBy(*order) if order else df).limit(n)
-
-
 # --------------------------------------------------------------------- sinks
 
 def encode_json(df: DataFrame, key: str | None = None) -> DataFrame:

@@ -14,8 +14,11 @@ Mapping (fixed choices):
 * discussion feed = ``events`` with ``event_type = 'click'``; the mentioned
   title = ``k``; score = ``value``; sentiment a fixed function of
   ``event_id`` in -1..1 (the events carry no text).
+* the text of a click = the document with number ``event_id`` modulo the
+  number of documents, so every click has a text and every document is used.
 * reviews         = ``documents``; subreddit = ``source``; score =
-  ``n_chars``; review ``i`` was posted ``i`` hours before the fixed "now".
+  ``n_chars``; review ``i`` was posted ``i`` modulo ``REVIEW_HOURS`` hours
+  before the fixed "now", so a time filter keeps the same share at any size.
 * title basics    = ``part``; ratings = ``lineitem`` aggregated by part;
   principals = ``lineitem`` rows (person = supplier, role from the return
   flag); names = ``supplier``.
@@ -37,13 +40,16 @@ NOW = "2024-01-31 00:00:00"
 TODAY = "2024-01-31"
 
 
+#: Hours before "now" over which reviews are spread.
+REVIEW_HOURS = 336
+
 _TABLES: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A supplied table, defined once per session (file listing and footer
     reading are not repeated for every query that reads it)."""
-    key = (id(spark._jsparkSession), sf_dir, name)
+    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), sf_dir, name)
     df = _TABLES.get(key)
     if df is None:
         df = _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -91,16 +97,17 @@ def discussion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discussion_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Discussion messages with text: click events whose id has a document."""
-    disc = discussion(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("event_id"), "text")
-    return disc.join(docs, "event_id", "inner")
+    """Discussion messages with text: every click carries a document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs = docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    disc = discussion(spark, sf_dir).withColumn("doc_id", F.pmod(F.col("event_id"), n_docs))
+    return disc.join(docs, "doc_id", "inner").drop("doc_id")
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     # wall-clock arithmetic on a zone-free timestamp (independent of the session zone)
-    ts = F.timestamp_add("HOUR", -F.col("doc_id"), F.lit(NOW).cast("timestamp_ntz"))
+    ts = F.timestamp_add("HOUR", -F.pmod(F.col("doc_id"), F.lit(REVIEW_HOURS)), F.lit(NOW).cast("timestamp_ntz"))
     return d.select(
         F.col("doc_id").cast("string").alias("review_id"),
         "doc_id", "text", "lang",
@@ -199,12 +206,13 @@ SQL = {
                'reddit' AS source
         FROM events WHERE event_type = 'click'""",
     "discussion_text": """
-        SELECT d.*, doc.text FROM discussion d JOIN documents doc ON doc.doc_id = d.event_id""",
-    "reviews": """
+        SELECT d.*, doc.text FROM discussion d
+        JOIN documents doc ON doc.doc_id = d.event_id % (SELECT count(*) FROM documents)""",
+    "reviews": f"""
         SELECT CAST(doc_id AS VARCHAR) AS review_id, doc_id, text, lang,
                source AS subreddit, CAST(n_chars AS DOUBLE) AS score, source AS author,
-               TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id) AS event_time,
-               strftime(TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id),
+               TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id % {REVIEW_HOURS}) AS event_time,
+               strftime(TIMESTAMP '2024-01-31 00:00:00' - to_hours(doc_id % {REVIEW_HOURS}),
                         '%Y-%m-%dT%H:%M:%S') AS "timestamp"
         FROM documents""",
     "basics": """

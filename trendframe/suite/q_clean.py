@@ -1,4 +1,4 @@
-"""Projection / filter / source queries."""
+"""Projection / filter / source queries."""
 
 from __future__ import annotations
 
@@ -41,15 +41,15 @@ def q_coalesce_title(spark, d):
 
 def _conv_shapes(spark, d):
     c = tb.table(spark, d, "conversations")
-    comments = c.filter(F.col("role") == "assistant").select(
+    comments = c.filter(F.col("turn") > 0).select(
         F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("comment_id"),
         F.col("conv_id").cast("string").alias("post_id"), F.lit(None).cast("string").alias("post_title"),
         "text", F.lit(None).cast("string").alias("author"), F.col("turn").cast("double").alias("score"),
         F.lit(None).cast("string").alias("created_utc"), F.lit("conv").alias("subreddit"),
         F.lit(None).cast("string").alias("timestamp"))
-    posts = c.filter((F.col("role") == "user") & (F.col("turn") == 0)).select(
+    posts = c.filter(F.col("turn") == 0).select(
         F.col("conv_id").cast("string").alias("post_id"), F.substring("text", 1, 40).alias("title"),
-        F.substring("text", 41, 1000000).alias("text"),
+        F.expr("substring(text, 41)").alias("text"),
         F.concat(F.lit("u"), F.col("conv_id").cast("string")).alias("author"),
         F.lit(1.0).alias("score"), F.lit(0).alias("num_comments"), F.lit(1.0).alias("upvote_ratio"),
         F.lit(None).cast("string").alias("created_utc"), F.lit("conv").alias("subreddit"),
@@ -60,12 +60,12 @@ def _conv_shapes(spark, d):
 @register("normalize_discussion", f"""
 SELECT conv_id || '_' || turn AS id, 'comment' AS type, '[deleted]' AS author,
        CAST(len({mentions_sql('text')}) AS INTEGER) AS n_mentions, text
-FROM conversations WHERE role = 'assistant'
+FROM conversations WHERE turn > 0
 UNION ALL
 SELECT CAST(conv_id AS VARCHAR), 'post', 'u' || CAST(conv_id AS VARCHAR),
        CAST(len({mentions_sql("concat_ws(' ', substr(text, 1, 40), substr(text, 41))")}) AS INTEGER),
        substr(text, 41)
-FROM conversations WHERE role = 'user' AND turn = 0""")
+FROM conversations WHERE turn = 0""")
 def q_normalize_discussion(spark, d):
     """Comments and posts to one discussion shape (post mentions from title + body)."""
     comments, posts = _conv_shapes(spark, d)
@@ -97,13 +97,6 @@ def q_event_time(spark, d):
     return ntz(c.select("event_id", "event_time"), "event_time")
 
 
-@register("limit_rows", """
-SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000""")
-def q_limit_rows(spark, d):
-    """Scan capped at a number of rows (deterministic order)."""
-    return io.limit_rows(tb.table(spark, d, "orders").select("o_orderkey", "o_totalprice"), 1000, ["o_orderkey"])
-
-
 @register("encode_json", """
 SELECT CAST(to_json({'event_id': event_id, 'event_type': event_type, 'value': value}) AS VARCHAR) AS value
 FROM events""")

@@ -102,11 +102,10 @@ def q_top_rated(spark, d):
 
 @register("first_per_title", tb.with_ctes("""
 SELECT title, event_id, popularity FROM catalogue
-QUALIFY row_number() OVER (PARTITION BY title ORDER BY event_id) = 1
-ORDER BY event_id LIMIT 50""", "catalogue"))
+QUALIFY row_number() OVER (PARTITION BY title ORDER BY event_id) = 1""", "catalogue"))
 def q_first_per_title(spark, d):
-    """First message of each title, the first 50 titles to appear."""
-    out = R.first_per_key(tb.catalogue(spark, d), "title", "event_id", cap=50)
+    """First message of each title."""
+    out = R.first_per_key(tb.catalogue(spark, d), "title", "event_id")
     return out.select("title", "event_id", "popularity")
 
 

@@ -8,7 +8,6 @@ from ..functions import text as T
 from ..functions.vectors import embed_hashed
 from ..operators.clean import title_contains
 from ..operators.knn import knn
-from ..operators.partitioning import spread
 from ..plans.indexing import metadata_rows
 from ..plans.retrieval import nearest, retrieve, retrieve_debug, select_relevant
 from ..sources import testbed as tb
@@ -21,27 +20,35 @@ HOURS = 168
 
 
 def questions(spark, d):
-    """Questions: first user turns; their vector is the supplied embedding with the same id."""
-    c = tb.table(spark, d, "conversations").filter((F.col("role") == "user") & (F.col("turn") == 0))
-    e = tb.table(spark, d, "embeddings")
-    return c.join(e, c.conv_id == e.vec_id).select(F.col("conv_id").alias("question_id"),
-                                                   F.col("text").alias("question"),
-                                                   F.col("embedding").alias("qvec"))
+    """Questions: all user turns; the vectors are dealt out by number, so each question has one."""
+    c = tb.table(spark, d, "conversations").filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+    e, n = _vectors(spark, d)
+    return c.withColumn("vec_id", F.pmod("question_id", n)).join(e, "vec_id").select(
+        "question_id", "question", F.col("embedding").alias("qvec"))
 
 
 def review_index(spark, d):
-    """C4 review rows with the supplied vectors (same id)."""
-    e = tb.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("review_id"), "embedding")
-    return index(spark, d).join(e, "review_id")
+    """C4 review rows, each with one of the supplied vectors, dealt out by number."""
+    e, n = _vectors(spark, d)
+    return index(spark, d).withColumn("vec_id", F.pmod(F.col("review_id").cast("long"), n)).join(e, "vec_id").drop("vec_id")
+
+
+def _vectors(spark, d):
+    e = tb.table(spark, d, "embeddings").select("vec_id", "embedding")
+    return e, e.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
 _RET = _IDX_CTES + f""",
-coll AS (SELECT idx.*, e.embedding FROM idx JOIN embeddings e ON CAST(e.vec_id AS VARCHAR) = idx.review_id),
-qs AS (SELECT c.conv_id AS question_id, c.text AS question, {_extract_title_sql('c.text')} AS title,
+coll AS (SELECT idx.*, e.embedding FROM idx
+         JOIN embeddings e ON e.vec_id = CAST(idx.review_id AS BIGINT) % (SELECT count(*) FROM embeddings)),
+qs AS (SELECT c.conv_id * 1000 + c.turn AS question_id, c.text AS question, {_extract_title_sql('c.text')} AS title,
               e.embedding AS qvec
-       FROM conversations c JOIN embeddings e ON e.vec_id = c.conv_id WHERE c.role = 'user' AND c.turn = 0),
+       FROM conversations c JOIN embeddings e
+         ON e.vec_id = (c.conv_id * 1000 + c.turn) % (SELECT count(*) FROM embeddings)
+       WHERE c.role = 'user'),
 nn AS (SELECT q.question_id, q.title, co.*,
-              list_cosine_similarity(CAST(q.qvec AS DOUBLE[]), CAST(co.embedding AS DOUBLE[])) AS similarity
+              round(list_cosine_similarity(CAST(q.qvec AS DOUBLE[]), CAST(co.embedding AS DOUBLE[])), 12) AS similarity
        FROM qs q, coll co
        QUALIFY row_number() OVER (PARTITION BY q.question_id ORDER BY similarity DESC, co.review_id)
                <= {N_NEIGHBOURS}),
@@ -80,14 +87,14 @@ def _ret_sql(select: str) -> str:
 @register("knn", """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT qid, id, round(similarity, 6) AS similarity, rank FROM (
-  SELECT a.vec_id AS qid, b.vec_id AS id, list_cosine_similarity(a.v, b.v) AS similarity,
-         CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.v, b.v) DESC, b.vec_id)
+  SELECT a.vec_id AS qid, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 12) AS similarity,
+         CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.v, b.v), 12) DESC, b.vec_id)
               AS INTEGER) AS rank
   FROM e a, e b WHERE a.vec_id <> b.vec_id)
 WHERE rank <= 10""")
 def q_knn(spark, d):
     """The 10 nearest other vectors of every vector (exact, no pair table)."""
-    e = spread(tb.table(spark, d, "embeddings"))
+    e = tb.table(spark, d, "embeddings")
     out = knn(e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec")),
               e.select(F.col("vec_id").alias("id"), "embedding"), 10, exclude_self=True)
     return rounded(out.select("qid", "id", "similarity", "rank"))

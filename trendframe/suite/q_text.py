@@ -130,14 +130,12 @@ def q_quality_filter(spark, d):
 
 
 @register("topic_filter", f"""
-SELECT conv_id FROM conversations
-WHERE turn = 0 AND (contains(lower(substr(text, 1, 80)), 'movie') OR contains(lower(substr(text, 1, 80)), 'film')
-   OR contains(lower(substr(text, 1, 80)), 'watch') OR contains(lower(substr(text, 1, 80)), 'review'))""")
+SELECT conv_id, turn FROM conversations
+WHERE contains(lower(text), 'eredon') OR contains(lower(text), 'leau') OR contains(lower(text), 'movie')""")
 def q_topic_filter(spark, d):
-    """Posts (first turns, title = first 80 chars) about films."""
-    c = tb.table(spark, d, "conversations").filter(F.col("turn") == 0) \
-        .withColumn("title", F.substring("text", 1, 80))
-    return C.topic_filter(c, "title").select("conv_id")
+    """Turns that hold a topic word anywhere in their text (words of the invented prose)."""
+    c = tb.table(spark, d, "conversations")
+    return C.topic_filter(c, "text", ("eredon", "leau", "movie")).select("conv_id", "turn")
 
 
 @register("ellipsis", """
