@@ -9,12 +9,15 @@ unchanged.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpoint_dir
+
 
 # --------------------------------------------------------------------- reads
 
@@ -45,17 +48,17 @@ def decode_json(df: DataFrame, col: str, schema: T.StructType | str,
                 keep: Sequence[str] = (), corrupt_col: str | None = None) -> DataFrame:
     """Parse a JSON payload with a fixed schema and flatten it.
 
-    With ``corrupt_col`` the raw payload of rows that do not parse is kept in
-    that column (and all parsed fields are NULL), so bad input can be routed
-    instead of silently vanishing.
+    With ``corrupt_col`` the raw payload of rows that do not parse, or whose
+    fields have the wrong type, is kept in that column (NULL for good rows),
+    so bad input can be routed instead of silently vanishing.
     """
-    parsed = F.from_json(F.col(col), schema)
-    out = df.select(*keep, parsed.alias("__d"), F.col(col).alias("__raw"))
-    cols = [*keep, "__d.*"]
-    if corrupt_col:
-        out = out.withColumn(corrupt_col, F.when(F.col("__d").isNull(), F.col("__raw")))
-        cols.append(corrupt_col)
-    return out.select(*cols)
+    if not corrupt_col:
+        return df.select(*keep, F.from_json(F.col(col), schema).alias("__d")).select(*keep, "__d.*")
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    known = T.StructType([*schema.fields, T.StructField(corrupt_col, T.StringType())])
+    parsed = F.from_json(F.col(col), known, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt_col})
+    return df.select(*keep, parsed.alias("__d")).select(*keep, "__d.*")
 
 
 def with_event_time(df: DataFrame, col: str = "timestamp", out: str = "event_time") -> DataFrame:
@@ -91,34 +94,68 @@ def encode_json(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def write_keyed(df: DataFrame, path: str, keys: Sequence[str], order: str | None = None,
+def write_keyed(df: DataFrame, path: str, keys: Sequence[str], order: str | Sequence[str] | None = None,
                 partition_by: str | None = None) -> None:
     """Keyed upsert into a Parquet table, last write wins.
 
-    The new rows are merged with the stored rows of the partitions they touch
-    (``partition_by``, normally a day or the title hash bucket), then those
-    partitions are overwritten dynamically. Rewriting a batch twice gives the
-    same table, so the sink is idempotent under micro-batch replay.
+    The batch is reduced to its last row per key. With ``partition_by``
+    (normally a day) only the partitions it touches are read and written:
+    those of its rows and those that hold one of its keys now, so a key whose
+    partition changes moves. Columns are matched by name; a column that the
+    batch lacks keeps its stored values for other keys and is NULL for the
+    batch's. Writing a batch twice gives the same table. Any error while
+    reading the stored table is raised and leaves it as it was.
     """
     spark = df.sparkSession
-    try:
-        base = spark.read.parquet(path)
-    except Exception:  # first write: the table does not exist yet
-        base = None
-    merged = df if base is None else upsert_last(df, base.select(*df.columns), keys, order)
-    if partition_by and base is not None:
-        touched = df.select(partition_by).distinct()
-        merged = merged.join(touched, partition_by, "left_semi")
-    if base is not None:
-        # The source and the target are the same files: cut the lineage with
-        # a reliable checkpoint in the shared checkpoint folder first.
-        merged = merged.checkpoint(eager=True)
-    writer = merged.write.mode("overwrite")
+    new = _last_per_key(df, keys, order)
+    if not _has_table(spark, path):
+        _write(new, path, partition_by)
+        return
+    base = spark.read.parquet(path)
+    if partition_by:
+        held = base.join(new.select(*keys), list(keys), "left_semi").select(partition_by)
+        touched = [r[0] for r in held.union(new.select(partition_by)).distinct().collect()]  # one value a partition
+        inside = F.col(partition_by).isin([v for v in touched if v is not None])
+        base = base.filter(inside | F.col(partition_by).isNull() if None in touched else inside)
+    merged = base.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+    # source and target are the same files: the merged rows are written apart first
+    aside = f"{checkpoint_dir(spark)}/merged/{uuid.uuid4().hex}"
+    merged.write.parquet(aside)
+    merged = spark.read.schema(merged.schema).parquet(aside)
+    _write(merged, path, partition_by)
+    if partition_by:
+        # a partition all of whose keys moved away gets no rows, so overwriting leaves it
+        filled = {r[0] for r in merged.select(partition_by).distinct().collect()}
+        utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for value in set(touched) - filled:
+            text = None if value is None else str(value)
+            _delete(spark, f"{path}/{utils.getPartitionPathString(partition_by, text)}")
+    _delete(spark, aside)
+
+
+def _write(df: DataFrame, path: str, partition_by: str | None) -> None:
+    writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _has_table(spark: SparkSession, path: str) -> bool:
+    """Whether the folder exists and holds anything but marker files."""
+    fs, p = _file_system(spark, path)
+    return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _file_system(spark, path)
+    fs.delete(p, True)
+
+
 def debug_sink(df: DataFrame, name: str, truncate: bool = False):
     """Print a stream (console) - for interactive debugging only."""
     return (df.writeStream.format("console").outputMode("append")
@@ -144,22 +181,26 @@ def fan_out(sinks: Sequence[Callable[[DataFrame, int], None]]) -> Callable[[Data
 
 # ------------------------------------------------------------- keyed stores
 
+def _last_per_key(df: DataFrame, keys: Sequence[str], order: str | Sequence[str] | None) -> DataFrame:
+    """The row with the greatest ``order`` per key; ties go to the greatest row content."""
+    columns = [order] if isinstance(order, str) else list(order or [])
+    tie = F.xxhash64(*[F.col(c) for c in df.columns if dict(df.dtypes)[c][:3] != "map"])
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in columns], tie.desc())
+    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
+
+
 def upsert_last(new: DataFrame, base: DataFrame, keys: Sequence[str],
-                order: str | None = None) -> DataFrame:
+                order: str | Sequence[str] | None = None) -> DataFrame:
     """Upsert by key, last write wins.
 
     A new row replaces the stored row with the same key. Among several new
     rows for one key the one with the greatest ``order`` wins (arrival order
-    must be explicit). Implemented as a union and a per-key arg-max, which
-    is one aggregation with map-side combine (skew-safe).
+    must be explicit). Only the batch is ranked (with a group limit before
+    the shuffle); the stored rows are kept by an anti join on the keys, which
+    adaptive execution turns into a broadcast where the batch is small.
     """
-    prio = F.struct(F.col("__src"), *( [F.col(order)] if order else []))
-    both = (base.withColumn("__src", F.lit(0))
-            .unionByName(new.withColumn("__src", F.lit(1)), allowMissingColumns=True))
-    cols = [c for c in both.columns if c != "__src"]
-    payload = F.struct(*[F.col(c) for c in cols if c not in keys])
-    agg = both.groupBy(*keys).agg(F.max_by(payload, prio).alias("__v"))
-    return agg.select(*keys, "__v.*").select(*cols)
+    last = _last_per_key(new, keys, order)
+    return base.join(last.select(*keys), list(keys), "left_anti").unionByName(last, allowMissingColumns=True)
 
 
 def insert_ignore(new: DataFrame, base: DataFrame, key: str, order: str | None = None) -> DataFrame:

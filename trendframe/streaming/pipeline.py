@@ -60,7 +60,8 @@ def keyed_sink(path: str, keys=("movie_title", "window_start"), partition_by: st
     """``foreachBatch`` writer into a keyed Parquet table (idempotent)."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         b = batch.withColumn("day", F.to_date("window_start")) if partition_by == "day" else batch
-        write_keyed(b, path, list(keys), order="processed_time", partition_by=partition_by)
+        # rows of one batch share processed_time: the larger score wins between two ids of a title
+        write_keyed(b, path, list(keys), order=["processed_time", "trend_score"], partition_by=partition_by)
     return sink
 
 

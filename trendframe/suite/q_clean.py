@@ -83,10 +83,14 @@ def q_require_id(spark, d):
 
 
 @register("decode_json", """
-SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events""")
+SELECT event_id, CASE WHEN json_valid(p) THEN CAST(json_extract_string(p, '$.k') AS INTEGER) END AS k,
+       CASE WHEN NOT json_valid(p) THEN p END AS corrupt
+FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substr(props, 2) ELSE props END AS p FROM events)""")
 def q_decode_json(spark, d):
-    """JSON payload decoded with a fixed schema and flattened."""
-    return io.decode_json(tb.table(spark, d, "events"), "props", "k int", keep=["event_id"])
+    """JSON payload decoded with a fixed schema and flattened; every seventh payload is broken."""
+    ev = tb.table(spark, d, "events").withColumn(
+        "p", F.when(F.col("event_id") % 7 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props")))
+    return io.decode_json(ev, "p", "k int", keep=["event_id"], corrupt_col="corrupt")
 
 
 @register("event_time", tb.with_ctes("""
