@@ -106,11 +106,34 @@ def test_knn_exact_and_chunked(spark):
     qn, cn = qv / np.linalg.norm(qv, axis=1)[:, None], cv / np.linalg.norm(cv, axis=1)[:, None]
     sims = qn @ cn.T
     expect = sorted((i, int(j)) for i in range(13) for j in np.argsort(-sims[i])[:5])
-    for max_floats in (10 ** 9, 30):  # one chunk; several chunks
-        got = rows(knn(q, c.repartition(3), 5, max_floats=max_floats), "qid", "id")
+    for blocks, slices in ((1, 1), (1, 4), (3, 2), (20, 9)):
+        got = rows(knn(q, c.repartition(3), 5, blocks=blocks, slices=slices), "qid", "id")
         assert got == expect
 
 
+def test_knn_ties_zero_vectors_and_small_batches(spark, monkeypatch):
+    from trendframe.operators import knn as K
+
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "qid int, qvec array<double>")
+    same = [(k, [2.0, 0.0]) for k in range(40, 0, -1)]
+    c = spark.createDataFrame(same + [(99, [0.0, 0.0]), (98, None), (97, [0.0, 1.0])], "id int, embedding array<double>")
+    # 40 equal rows: the smaller ids win; a zero or missing vector has no neighbours and is none
+    want = [(1, 1, 1), (1, 2, 2), (1, 3, 3)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        assert rows(knn(q, c, 3, blocks=2, slices=3), "qid", "id", "rank") == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert rows(knn(q, c, 50, blocks=1, slices=1), "qid", "id")[-1] == (1, 97)
+    # a task returns at most n rows per query, whatever the tiles
+    monkeypatch.setattr(K, "TILE_ROWS", 4)
+    i, j, sim = K.local_top(np.array([[1.0, 0.0]] * 3), np.array([[1.0, 0.0]] * 41), 3)
+    assert i.tolist() == [0] * 3 + [1] * 3 + [2] * 3 and j.tolist() == [0, 1, 2] * 3
+    own = knn(c.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec")), c, 1, exclude_self=True, blocks=2, slices=2)
+    assert dict(rows(own, "qid", "id"))[1] == 2 and dict(rows(own, "qid", "id"))[40] == 1
+
+
 def test_prequential_matches_numpy(spark):
     rng = np.random.default_rng(3)
     X, y = rng.normal(size=(40, 3)), rng.normal(size=40) * 10 + 50
@@ -151,3 +174,38 @@ def test_fuzzy_title_match_empty_catalogue_title(spark):
     got = dict(rows(match_titles(q, cat), "query_title", "id"))
     # exact match wins; otherwise the empty title (position 0) is inside every query
     assert got == {"alpha": "t1", "gamma": "t0", "bet": "t0"}
+
+
+def test_running_r2_and_two_ids_per_title(spark):
+    from trendframe.operators.aggregate import regression_metrics
+    from trendframe.operators.learn import running_metrics
+    from trendframe.plans.learning import online_learning
+
+    y, p = [1e9 + v for v in (1.0, 2.0, 4.0, 4.0)], [1e9 + v for v in (1.5, 2.0, 3.0, 5.0)]
+    df = spark.createDataFrame(list(zip(range(4), y, p)), "t int, y double, p double")
+    got = [r.running_r2 for r in running_metrics(df, None, ["t"], "y", "p").orderBy("t").collect()]
+    assert got[0] is None and np.allclose(got[1:], [1 - 0.25 / 0.5, 1 - 1.25 / (14 / 3), 1 - 2.25 / 6.75])
+    assert np.isclose(regression_metrics(df, "y", "p").first()["r2"], 1 - 2.25 / 6.75)
+
+    rows = [("a", i, dt.datetime(2024, 1, 1 + k), 1.0, 5.0, 3, 0.1, 2.0, 1.0, 10.0 * i + k) for k in range(3) for i in (1, 2)]
+    trends = spark.createDataFrame(rows, "movie_title string, movie_id int, window_start timestamp, popularity double, "
+                                         "vote_average double, mentions_count long, avg_sentiment double, "
+                                         "avg_reddit_score double, mentions_rate double, trend_score double")
+    out = online_learning(trends).collect()
+    assert sorted(r.actual_trend_score for r in out) == sorted(r[-1] for r in rows)
+    assert all(r.features["popularity"] == 1.0 for r in out)
+
+
+def test_cooldown_of_a_hot_key_equals_a_plain_loop(spark):
+    import random
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", i, t0 + dt.timedelta(seconds=s)) for i, s in enumerate(sorted(rng.randrange(200_000) for _ in range(3000)))]
+    rng.shuffle(rows)
+    want, last = [], None
+    for r in sorted(rows, key=lambda r: (r[2], r[1])):
+        if last is None or r[2] - last >= dt.timedelta(seconds=600):
+            want.append(r[1])
+            last = r[2]
+    df = spark.createDataFrame(rows, "key string, id int, ts timestamp")
+    assert sorted(r.id for r in cooldown(df, "key", "ts", 600, tie="id").collect()) == sorted(want)

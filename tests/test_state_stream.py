@@ -45,6 +45,37 @@ def test_history_stream(spark, tmpdir_path):
     q.stop()
 
 
+def test_state_does_not_depend_on_how_arrow_cuts_a_batch(spark, tmpdir_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", i, t0 + dt.timedelta(seconds=600 * i), float(i)) for i in (5, 2, 0, 4, 1, 3)]
+    rows += [("b", i, t0 + dt.timedelta(seconds=299 * i), float(i)) for i in (9, 6, 8, 7)]
+    src = os.path.join(tmpdir_path, "src")
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(src)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        read = spark.readStream.schema(SCHEMA).parquet(src)
+        q = _collect(cooldown_stream(read, "key", "ts", 600), "cool_cut")
+        q2 = _collect(history_stream(read, "key", "ts", ["x"], n=2), "hist_cut")
+        want = sorted((r.key, r.id) for r in cooldown(spark.createDataFrame(rows, SCHEMA), "key", "ts", 600).collect())
+        assert sorted((r.key, r.id) for r in spark.table("cool_cut").collect()) == want
+        assert want == [("a", i) for i in range(6)] + [("b", 6), ("b", 9)]
+        assert {(r.key, r.id): r.prior_x for r in spark.table("hist_cut").collect()}[("a", 5)] == [3.0, 4.0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    q.stop()
+    q2.stop()
+
+
+def test_first_seen_emits_a_key_once_for_good(spark, tmpdir_path):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", 0, t0, 0.0), ("b", 1, t0 + dt.timedelta(hours=9), 0.0), ("c", 2, t0 + dt.timedelta(hours=18), 0.0),
+            ("a", 3, t0 + dt.timedelta(days=2), 0.0), ("a", 4, t0 + dt.timedelta(days=3), 0.0), ("b", 5, t0 + dt.timedelta(days=4), 0.0)]
+    q = _collect(first_seen(_stream(spark, tmpdir_path, rows), "key", "ts"), "first_once")
+    assert sorted(r.id for r in spark.table("first_once").collect()) == [0, 1, 2]
+    q.stop()
+
+
 def test_first_seen_stream(spark, tmpdir_path):
     rows = _rows(dt.datetime(2024, 1, 1))
     q = _collect(first_seen(_stream(spark, tmpdir_path, rows), "key", "ts"), "first_s")

@@ -85,13 +85,15 @@ def credits_pivot(df: DataFrame, key: str = "tconst", name: str = "primaryName",
 
 
 def regression_metrics(df: DataFrame, y: str, yhat: str, keys: Sequence[str] = ()) -> DataFrame:
-    """MAE, RMSE and R2 (batch form; grouped by ``keys`` if given)."""
+    """MAE, RMSE and R2 (batch form; grouped by ``keys`` if given).
+
+    R2 compares mean squares, so large targets lose no digits; it is NULL
+    where the target does not vary.
+    """
     err = F.col(y) - F.col(yhat)
     aggs = [F.count(F.lit(1)).alias("n"), F.avg(F.abs(err)).alias("mae"),
             F.sqrt(F.avg(err * err)).alias("rmse"),
-            (F.lit(1.0) - F.try_divide(F.sum(err * err),
-                                       F.sum(F.pow(F.col(y), 2)) - F.pow(F.sum(y), 2) / F.count(F.lit(1))))
-            .alias("r2")]
+            (F.lit(1.0) - F.try_divide(F.avg(err * err), F.var_pop(y))).alias("r2")]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
@@ -104,10 +106,20 @@ def chart_metrics(df: DataFrame, actual: str = "actual", predicted: str = "predi
                   F.count(F.lit(1)).alias("n"))
 
 
-def source_volume(df: DataFrame, source: str, ts: str) -> DataFrame:
-    """Messages and newest message per source, with an active/idle flag."""
-    return (df.groupBy(source).agg(F.count(F.lit(1)).alias("messages"), F.max(ts).alias("last_message"))
-            .withColumn("status", F.when(F.col("messages") > 0, "active").otherwise("idle")))
+def source_volume(df: DataFrame, source: str, ts: str, expected: Sequence[str] = ()) -> DataFrame:
+    """Messages and newest message per source, with an active/idle flag, and their total.
+
+    ``expected`` names sources that are listed even when nothing came from
+    them; these are idle. The total has source NULL.
+    """
+    counts = df.groupBy(source).agg(F.count(F.lit(1)).alias("messages"), F.max(ts).alias("last_message"))
+    quiet = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in expected]).cast("array<string>")).alias(source))
+    both = counts.unionByName(quiet.join(counts, source, "left_anti").withColumn("messages", F.lit(0).cast("bigint")),
+                              allowMissingColumns=True)
+    total = both.agg(F.lit(None).cast("string").alias(source), F.coalesce(F.sum("messages"), F.lit(0)).alias("messages"),
+                     F.max("last_message").alias("last_message"))
+    return both.unionByName(total).withColumn(
+        "status", F.when(F.col("messages") > 0, "active").otherwise("idle"))
 
 
 def discovery_counts(df: DataFrame, source: str = "discovery_source") -> DataFrame:

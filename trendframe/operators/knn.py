@@ -81,8 +81,8 @@ def knn(queries: DataFrame, collection: DataFrame, n: int, q_id: str = "qid", q_
 
     Returns ``q_id, c_id, similarity, rank``. ``exclude_self`` leaves out
     pairs with equal ids (when both sides are the same table). ``blocks`` and
-    ``slices`` are derived from the size of the files if not given; planning
-    starts no job.
+    ``slices`` are derived from the size of the files under the plan if not
+    given (give them for rows that come from no file); planning starts no job.
     """
     ship(queries.sparkSession)
     blocks = blocks or file_bytes(queries) // BLOCK_BYTES + 1

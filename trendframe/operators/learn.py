@@ -91,14 +91,17 @@ def scan_sorted(df: DataFrame, key: str, order: Sequence[str], step, schema: T.S
 
 
 def prequential_per_key(df: DataFrame, key: str, order: Sequence[str], features: Sequence[str],
-                        target: str, lr: float = LR, l2: float = L2) -> DataFrame:
+                        target: str, lr: float = LR, l2: float = L2, carry: Sequence[str] = ()) -> DataFrame:
     """T6 (b): one prequential model per key; returns the key/order columns
     with ``actual``, ``prediction``, ``error`` and the running ``mae``, ``rmse``.
 
+    ``carry`` lists further columns that go through with their row, so nothing
+    has to be joined back. ``order`` should name a row within its key.
+
     Runs as a sorted scan (:func:`scan_sorted`), the model state of one key
     at a time (``O(features)``)."""
     feats, order = list(features), list(order)
-    keep = [key, *order]
+    keep = list(dict.fromkeys([key, *order, *carry]))
     k = len(feats)
     schema = T.StructType([df.schema[c] for c in keep] + [
         T.StructField(c, T.DoubleType()) for c in ("actual", "prediction", "error", "mae", "rmse")])
@@ -132,13 +135,18 @@ def prequential_per_key(df: DataFrame, key: str, order: Sequence[str], features:
 
 
 def running_metrics(df: DataFrame, key: str | None, order: Sequence[str], y: str, yhat: str) -> DataFrame:
-    """A9 running form: cumulative MAE and RMSE in ``order`` (per ``key`` if given)."""
+    """A9 running form: cumulative MAE, RMSE and R2 in ``order`` (per ``key`` if given).
+
+    R2 is NULL while the target has not varied.
+    """
     from pyspark.sql import Window
     w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, 0)
     e = F.col(y) - F.col(yhat)
+    spread = F.var_pop(y).over(w)
     return df.withColumn("running_mae", F.avg(F.abs(e)).over(w)) \
-             .withColumn("running_rmse", F.sqrt(F.avg(e * e).over(w)))
+             .withColumn("running_rmse", F.sqrt(F.avg(e * e).over(w))) \
+             .withColumn("running_r2", F.when(spread > 0, 1.0 - F.avg(e * e).over(w) / spread))
 
 
 # ------------------------------------------------------------ global model
@@ -158,7 +166,10 @@ def minibatch_step(batch: DataFrame, features: Sequence[str], target: str, state
     sd = np.sqrt(m2 / n0) if n0 > 0 else np.zeros(k)
 
     def scaled(c, i, mu, s):
-        return ((F.col(c).cast("double") - float(mu[i])) / float(s[i])) if s[i] > 0 else F.lit(0.0)
+        return ((value(c) - float(mu[i])) / float(s[i])) if s[i] > 0 else F.lit(0.0)
+
+    def value(c):  # a missing feature counts as 0
+        return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
 
     pred = F.lit(float(st["b"]))
     for i, c in enumerate(features):
@@ -168,8 +179,9 @@ def minibatch_step(batch: DataFrame, features: Sequence[str], target: str, state
     # moments of the batch, merged into the running moments (Chan et al.)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(features):
-        aggs += [F.avg(F.col(c).cast("double")).alias(f"m{i}"),
-                 F.coalesce(F.var_pop(F.col(c).cast("double")), F.lit(0.0)).alias(f"v{i}")]
+        aggs += [F.avg(value(c)).alias(f"m{i}"), F.coalesce(F.var_pop(value(c)), F.lit(0.0)).alias(f"v{i}")]
+    # rows without a target are predicted but teach nothing
+    batch = batch.filter(F.col(target).isNotNull())
     row = batch.agg(*aggs).first()
     nb = row["n"]
     if nb == 0:

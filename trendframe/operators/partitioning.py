@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame
 
 
 def file_bytes(df: DataFrame) -> int:
-    """Bytes of the sources under ``df``, by Catalyst's estimate. Starts no job."""
+    """Bytes of the sources under ``df``, by Catalyst's estimate. Starts no job.
+
+    Sources of unknown size (rows of an RDD) count as nothing.
+    """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    return sum(n for n in sizes if n < 1 << 60)
 
 
 def spread(df: DataFrame, target: int | None = None) -> DataFrame:

@@ -20,12 +20,16 @@ TREND_FEATURES = ("popularity", "mentions_count", "mentions_rate", "avg_sentimen
                   "delta_popularity", "ma_mentions", "ma_sentiment")
 
 
-def online_features(trends: DataFrame, key: str = "movie_title", ts: str = "window_start") -> DataFrame:
-    """F26 + W9 + W10: the trend learner's features (history excludes the current row)."""
+def online_features(trends: DataFrame, key: str = "movie_title", ts: str = "window_start",
+                    ident: str = "movie_id") -> DataFrame:
+    """F26 + W9 + W10: the trend learner's features (history excludes the current row).
+
+    Rows of one title and window are ordered by ``ident``.
+    """
     h, dow = time_parts(ts)
     t = trends.withColumn("hour", h).withColumn("day_of_week", dow)
-    t = delta_features(t, key, [ts], ["mentions_count", "avg_sentiment", "popularity"])
-    t = trailing_mean(t, key, [ts], ["mentions_count", "avg_sentiment"], n=5)
+    t = delta_features(t, key, [ts, ident], ["mentions_count", "avg_sentiment", "popularity"])
+    t = trailing_mean(t, key, [ts, ident], ["mentions_count", "avg_sentiment"], n=5)
     return (t.withColumnRenamed("delta_mentions_count", "delta_mentions")
              .withColumnRenamed("delta_avg_sentiment", "delta_sentiment")
              .withColumnRenamed("ma_mentions_count", "ma_mentions")
@@ -44,13 +48,16 @@ def rating_features(trends: DataFrame, key: str = "movie_title", ts: str = "wind
 
 
 def online_learning(trends: DataFrame, key: str = "movie_title", ts: str = "window_start",
-                    model_version: str = "v1") -> DataFrame:
-    """Prequential predictions per title with running metrics and a feature map."""
-    f = online_features(trends, key, ts)
-    preds = prequential_per_key(f, key, [ts], TREND_FEATURES, "trend_score")
+                    ident: str = "movie_id", model_version: str = "v1") -> DataFrame:
+    """Prequential predictions per title with running metrics and a feature map.
+
+    One row per trend row: a title with two ids in a window has two, in the
+    order of ``ident``. The features go through the scan with their row.
+    """
+    f = online_features(trends, key, ts, ident)
+    preds = prequential_per_key(f, key, [ts, ident], TREND_FEATURES, "trend_score", carry=TREND_FEATURES)
     fmap = F.create_map(*[x for c in TREND_FEATURES for x in (F.lit(c), F.col(c).cast("double"))])
-    feats = f.select(key, ts, fmap.alias("features"))
-    return preds.join(feats, [key, ts]).select(
+    return preds.select(
         key, F.col(ts).alias("timestamp"), F.col("actual").alias("actual_trend_score"),
         F.col("prediction").alias("predicted_trend_score"), F.col("error").alias("prediction_error"),
-        F.lit(model_version).alias("model_version"), "features", "mae", "rmse")
+        F.lit(model_version).alias("model_version"), fmap.alias("features"), "mae", "rmse")

@@ -108,7 +108,7 @@ def write_keyed(df: DataFrame, path: str, keys: Sequence[str], order: str | Sequ
     """
     spark = df.sparkSession
     new = _last_per_key(df, keys, order)
-    if not _has_table(spark, path):
+    if not has_table(spark, path):
         _write(new, path, partition_by)
         return
     base = spark.read.parquet(path)
@@ -129,8 +129,8 @@ def write_keyed(df: DataFrame, path: str, keys: Sequence[str], order: str | Sequ
         utils = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
         for value in set(touched) - filled:
             text = None if value is None else str(value)
-            _delete(spark, f"{path}/{utils.getPartitionPathString(partition_by, text)}")
-    _delete(spark, aside)
+            delete_table(spark, f"{path}/{utils.getPartitionPathString(partition_by, text)}")
+    delete_table(spark, aside)
 
 
 def _write(df: DataFrame, path: str, partition_by: str | None) -> None:
@@ -145,13 +145,14 @@ def _file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _has_table(spark: SparkSession, path: str) -> bool:
+def has_table(spark: SparkSession, path: str) -> bool:
     """Whether the folder exists and holds anything but marker files."""
     fs, p = _file_system(spark, path)
     return fs.exists(p) and any(not f.getPath().getName().startswith(("_", ".")) for f in fs.listStatus(p))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Delete a folder this library has written, if it is there."""
     fs, p = _file_system(spark, path)
     fs.delete(p, True)
 

@@ -19,14 +19,14 @@ from pyspark.sql import functions as F
 
 from ..operators.learn import minibatch_step
 from ..session import stream_checkpoint
+from ..sources.io import delete_table, has_table
 
 
 def _load(spark: SparkSession, folder: str, before: int):
     """Latest stored state of a batch before ``before`` (None if there is none)."""
-    try:
-        st = spark.read.text(folder)  # partitioned by ``batch``
-    except Exception:  # nothing stored yet
+    if not has_table(spark, folder):
         return None
+    st = spark.read.text(folder)  # partitioned by ``batch``
     row = (st.filter(F.col("batch") < before).orderBy(F.col("batch").desc()).limit(1).collect())
     return json.loads(row[0]["value"]) if row else None
 
@@ -44,10 +44,16 @@ def global_learner(features, target: str, state_dir: str, sink):
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         state = _load(spark, state_dir, batch_id)
-        out, new_state = minibatch_step(batch, features, target, state)
-        sink(out, batch_id)
+        batch.persist()  # predicted, summed up twice and written
+        try:
+            out, new_state = minibatch_step(batch, features, target, state)
+            sink(out, batch_id)
+        finally:
+            batch.unpersist()
         (spark.createDataFrame([(json.dumps(new_state),)], "value string").coalesce(1)
          .write.mode("overwrite").text(f"{state_dir}/batch={batch_id}"))
+        # the state before this batch is needed for a replay of it, older ones for nothing
+        delete_table(spark, f"{state_dir}/batch={batch_id - 2}")
     return run
 
 

@@ -1,114 +1,171 @@
 """Keyed state operators (T5, T7, T8) - streaming form and batch twin.
 
-Streaming forms use Structured Streaming's own state: ``dropDuplicates``
-with a watermark for first-seen, and ``applyInPandasWithState`` (state in
-the configured state store, RocksDB by default here) for the bounded
-history and the cooldown. Batch twins give the same rows for a whole table
-and are what the SQL oracle checks.
+Streaming forms use Structured Streaming's own state: ``dropDuplicates`` for
+first-seen, and ``applyInPandasWithState`` (state in the configured state
+store, RocksDB by default here) for the bounded history and the cooldown. A
+key's rows of one micro-batch are put in time order before they are used,
+however Arrow has cut them, and state expires by event time. Batch twins give
+the same rows for a whole table and are what the SQL oracle checks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.learn import scan_sorted
 from ..operators.rank import top_per_key
 
 
 # ----------------------------------------------------------------------- T7
 
-def first_seen(df: DataFrame, key: str, ts: str, delay: str = "10 minutes") -> DataFrame:
-    """Emit a key the first time it appears.
+def first_seen(df: DataFrame, key: str, ts: str, delay: str | None = None) -> DataFrame:
+    """Emit a key the first time it appears, and never again.
 
-    Streaming: deduplicate on the key within the watermark (state per key is
-    dropped once the watermark passes it). Batch: the earliest row per key.
+    Streaming: the set of keys is kept for good; with ``delay`` a key is
+    forgotten once the watermark has passed it by that much, and may then be
+    emitted again. Batch: the earliest row per key.
     """
     if df.isStreaming:
-        return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+        return df.dropDuplicates([key]) if delay is None else df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
     return top_per_key(df, [key], [F.col(ts)], 1)
 
 
 # ----------------------------------------------------------------------- T8
 
+def passes(times: np.ndarray, gap: int) -> np.ndarray:
+    """Indices that pass a cooldown of ``gap`` in sorted times; the first one passes."""
+    out, k = [], 0
+    while k < len(times):
+        out.append(k)
+        k = int(np.searchsorted(times, times[k] + gap, "left"))
+    return np.array(out, np.int64)
+
+
 def cooldown(df: DataFrame, key: str, ts: str, seconds: int = 600,
              tie: str | None = None) -> DataFrame:
     """T8 batch twin: pass a key's row when at least ``seconds`` have passed
     since the key's last *passed* row (the clock restarts only on a pass).
 
-    A sorted scan per key with one timestamp of state (no group is
-    materialised, so a hot key is only long, never large).
+    After a gap of ``seconds`` the next row passes whatever came before, so a
+    key's rows are cut there and its stretches are dealt out separately. Each
+    is scanned in order with one timestamp of state, from pass to pass. Rows
+    without a time are left out.
+    """
+    gap = seconds * 1_000_000
+    order = [F.col(ts)] + ([F.col(tie)] if tie else [])
+    w = Window.partitionBy(key).orderBy(*order)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    cut = df.filter(F.col(ts).isNotNull()).withColumn("__t", micros)
+    cut = cut.withColumn("__new", (F.coalesce(F.col("__t") - F.lag("__t").over(w), F.lit(gap)) >= gap).cast("int"))
+    cut = cut.withColumn("__part", F.sum("__new").over(w))
+    dealt = cut.repartition(F.col(key), F.col("__part")).sortWithinPartitions(key, "__part", *order)
+
+    def run(batches):
+        stretch, last = object(), None
+        for b in batches:
+            t = b.column(b.schema.get_field_index("__t")).to_numpy()
+            keys = list(zip(b.column(b.schema.get_field_index(key)).to_pylist(),
+                            b.column(b.schema.get_field_index("__part")).to_pylist()))
+            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]] + [len(keys)]
+            kept = []
+            for a, z in zip(starts, starts[1:]):
+                if keys[a] != stretch:
+                    stretch, last = keys[a], None
+                first = a if last is None else a + int(np.searchsorted(t[a:z], last + gap, "left"))
+                found = first + passes(t[first:z], gap)
+                if len(found):
+                    last = t[found[-1]]
+                    kept.append(found)
+            rows = b.take(pa.array(np.concatenate(kept) if kept else np.zeros(0, np.int64)))
+            yield rows.select(names)
+
+    names = df.columns
+    return dealt.mapInArrow(run, df.schema)
+
+
+def _in_order(pdfs, order: Sequence[str]) -> pd.DataFrame:
+    """All of a key's rows of a micro-batch, by time."""
+    return pd.concat(list(pdfs)).sort_values(list(order), kind="mergesort")
+
+
+def cooldown_stream(df: DataFrame, key: str, ts: str, seconds: int = 600, delay: str = "1 hour",
+                    tie: str | None = None) -> DataFrame:
+    """T8 streaming: the same rule with the last pass time held as keyed state.
+
+    Rows later than ``delay`` are dropped by the watermark; a key's state goes
+    when the watermark has passed the end of its cooldown.
     """
-    order = [ts] + ([tie] if tie else [])
-    schema = T.StructType([df.schema[c] for c in df.columns])
-    cols = df.columns
-    limit = pd.Timedelta(seconds=seconds)
-
-    def step(last, r):
-        t = pd.Timestamp(r[ts])
-        if last is None or t - last >= limit:
-            return t, [r[c] for c in cols]
-        return last, None
-    return scan_sorted(df, key, order, step, schema)
-
-
-def cooldown_stream(df: DataFrame, key: str, ts: str, seconds: int = 600) -> DataFrame:
-    """T8 streaming: the same rule with the last pass time held as keyed state."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     schema = df.schema
     limit = pd.Timedelta(seconds=seconds)
+    order = [ts] + ([tie] if tie else [])
 
     def fn(k, pdfs, state):
-        last = pd.Timestamp(state.get[0]) if state.exists else None
-        out = []
-        for pdf in pdfs:
-            for _, r in pdf.sort_values(ts, kind="mergesort").iterrows():
-                t = pd.Timestamp(r[ts])
-                if last is None or t - last >= limit:
-                    last = t
-                    out.append(r)
-        if last is not None:
-            state.update((last.to_pydatetime(),))
-        yield pd.DataFrame(out, columns=schema.fieldNames())
-
-    return df.groupBy(key).applyInPandasWithState(
-        fn, schema, T.StructType([T.StructField("last", T.TimestampType())]), "append",
-        GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _in_order(pdfs, order)
+        times = rows[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
+        first = int(np.searchsorted(times, state.get[0] + seconds * 1_000_000, "left")) if state.exists else 0
+        found = first + passes(times[first:], seconds * 1_000_000)
+        if len(found):
+            state.update((int(times[found[-1]]),))
+        until = state.get[0] // 1000 + int(limit.total_seconds() * 1000)
+        if until > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(until)
+        else:
+            state.remove()
+        yield rows.iloc[found][schema.fieldNames()]
+
+    return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
+        fn, schema, T.StructType([T.StructField("last", T.LongType())]), "append",
+        GroupStateTimeout.EventTimeTimeout)
 
 
 # ----------------------------------------------------------------------- T5
 
-def history_stream(df: DataFrame, key: str, ts: str, cols: Sequence[str], n: int = 5) -> DataFrame:
+def history_stream(df: DataFrame, key: str, ts: str, cols: Sequence[str], n: int = 5,
+                   keep_days: int = 30, delay: str = "1 hour", tie: str | None = None) -> DataFrame:
     """T5 streaming: per key, the previous ``n`` rows' values (oldest first)
     attached to each new row, from keyed state bounded to ``n`` entries.
 
     Output adds ``prior_<col>`` arrays; the batch twin is a window frame
-    ``rowsBetween(-n, -1)`` (see :mod:`trendframe.operators.windows`).
+    ``rowsBetween(-n, -1)`` (see :mod:`trendframe.operators.windows`). Rows
+    later than ``delay`` are dropped; the history of a key that has been quiet
+    for ``keep_days`` is forgotten.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     cols = list(cols)
+    order = [ts] + ([tie] if tie else [])
     out_schema = T.StructType(list(df.schema.fields) +
                               [T.StructField(f"prior_{c}", T.ArrayType(T.DoubleType())) for c in cols])
-    st_schema = T.StructType([T.StructField(f"h_{c}", T.ArrayType(T.DoubleType())) for c in cols])
+    st_schema = T.StructType([T.StructField(f"h_{c}", T.ArrayType(T.DoubleType())) for c in cols] +
+                             [T.StructField("last", T.LongType())])
 
     def fn(k, pdfs, state):
-        hist = {c: list(state.get[i]) for i, c in enumerate(cols)} if state.exists else {c: [] for c in cols}
-        rows = []
-        for pdf in pdfs:
-            for _, r in pdf.sort_values(ts, kind="mergesort").iterrows():
-                d = r.to_dict()
-                for c in cols:
-                    d[f"prior_{c}"] = list(hist[c])
-                    hist[c] = (hist[c] + [float(r[c])])[-n:]
-                rows.append(d)
-        state.update(tuple(hist[c] for c in cols))
-        yield pd.DataFrame(rows, columns=out_schema.fieldNames())
-
-    return df.groupBy(key).applyInPandasWithState(fn, out_schema, st_schema, "append",
-                                                  GroupStateTimeout.NoTimeout)
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = _in_order(pdfs, order)
+        last = int(rows[ts].to_numpy().astype("datetime64[ms]").astype(np.int64)[-1])
+        kept = []
+        for i, c in enumerate(cols):
+            seen = (list(state.get[i]) if state.exists else []) + rows[c].astype(float).tolist()
+            old = len(seen) - len(rows)
+            rows[f"prior_{c}"] = [seen[max(0, old + r - n):old + r] for r in range(len(rows))]
+            kept.append(seen[-n:])
+        state.update((*kept, max(last, state.get[-1] if state.exists else last)))
+        until = state.get[-1] + keep_days * 86_400_000
+        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+        yield rows[out_schema.fieldNames()]
+
+    return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
+        fn, out_schema, st_schema, "append", GroupStateTimeout.EventTimeTimeout)

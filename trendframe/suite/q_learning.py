@@ -67,7 +67,7 @@ def q_rating_features(spark, d):
 
 @register("regression_metrics", with_trends(f"""
 SELECT movie_title, count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e * e)), 6) AS rmse,
-       round(1.0 - sum(e * e) / nullif(sum(y * y) - sum(y) * sum(y) / count(*), 0), 6) AS r2
+       round(1.0 - avg(e * e) / nullif(var_pop(y), 0), 6) AS r2
 FROM (SELECT movie_title, trend_score AS y, trend_score - {sround('trend_score * 0.95', 2)} AS e FROM trends)
 GROUP BY movie_title"""))
 def q_regression_metrics(spark, d):
@@ -92,7 +92,7 @@ def q_running_metrics(spark, d):
 def q_prequential(spark, d):
     """T6 (b): per-title prequential scaler + SGD linear model (rows check; numpy test)."""
     f = online_features(trends(spark, d))
-    return rounded(prequential_per_key(f, "movie_title", ["window_start"], TREND_FEATURES, "trend_score"))
+    return rounded(prequential_per_key(f, "movie_title", ["window_start", "movie_id"], TREND_FEATURES, "trend_score"))
 
 
 @register("online_learning")

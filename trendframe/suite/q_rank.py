@@ -253,12 +253,17 @@ def q_accuracy(spark, d):
 
 
 @register("source_volume", """
-SELECT event_type, count(*) AS messages, max(ts) AS last_message,
-       CASE WHEN count(*) > 0 THEN 'active' ELSE 'idle' END AS status
-FROM events GROUP BY event_type""")
+WITH known AS (SELECT event_type, count(*) AS messages, max(ts) AS last_message FROM events GROUP BY event_type),
+     every AS (SELECT * FROM known
+               UNION ALL SELECT x, 0, NULL FROM (SELECT unnest(['click', 'share']) AS x) q
+               WHERE x NOT IN (SELECT event_type FROM known)),
+     summed AS (SELECT * FROM every
+                UNION ALL SELECT NULL, CAST(sum(messages) AS BIGINT), max(last_message) FROM every)
+SELECT event_type, CAST(messages AS BIGINT) AS messages, last_message,
+       CASE WHEN messages > 0 THEN 'active' ELSE 'idle' END AS status FROM summed""")
 def q_source_volume(spark, d):
-    """Messages and newest message per source topic."""
-    return source_volume(tb.table(spark, d, "events"), "event_type", "ts")
+    """Messages and newest message per source topic, quiet topics included, and in all."""
+    return source_volume(tb.table(spark, d, "events"), "event_type", "ts", expected=["click", "share"])
 
 
 @register("collection_count", "SELECT count(*) AS total_reviews FROM documents")
