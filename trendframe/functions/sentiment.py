@@ -5,14 +5,17 @@ the words of a text (a word within three words after a negator counts with
 factor -0.74), then squash the sum into -1..1 with ``s / sqrt(s*s + 15)``.
 Empty text scores 0.0.
 
-Two plans, chosen by the size of the lexicon:
-
-* lexicon of at most ``MAP_MAX`` entries: it becomes a literal map inside the
-  expression; each row is scored by array functions in the same task that
-  reads it (no shuffle, no Python);
-* larger lexicon (a DataFrame of any size): words are exploded with their
-  position, joined to the lexicon (a regular join; adaptive execution may
-  broadcast it after measuring it), and summed back per row id.
+Two forms:
+
+* :func:`sentiment`, a column expression for a fixed word list given in code,
+  of any length: a literal map; each row is scored by array functions in the
+  same task that reads it (no shuffle, no Python);
+* :func:`sentiment_join` for a lexicon that is a table: words are exploded
+  with their position, joined to the lexicon (a regular join; adaptive
+  execution may broadcast it after measuring it), and summed back per row id.
+
+A contraction counts as one word, so ``don't`` negates. The valences and the
+negation rule follow the published VADER lexicon method (MIT licence).
 """
 
 from __future__ import annotations
@@ -45,20 +48,22 @@ LEXICON = {
     "disappointed": -1.9, "scam": -2.6, "fake": -2.1, "kill": -3.7, "dead": -3.3,
 }
 NEGATORS = ("not", "no", "never", "none", "nobody", "nothing", "neither", "nor",
-            "nowhere", "cannot", "without", "isnt", "dont", "doesnt", "didnt", "wont")
+            "nowhere", "cannot", "without", "isnt", "dont", "doesnt", "didnt", "wont",
+            "aint", "arent", "cant", "couldnt", "darent", "hadnt", "hasnt", "havent", "mightnt",
+            "mustnt", "neednt", "oughtnt", "shant", "shouldnt", "uhuh", "wasnt", "werent", "wouldnt")
 NEGATION_FACTOR = -0.74
 NEGATION_SPAN = 3
 ALPHA = 15.0
 TOKEN_PATTERN = r"\p{L}+"
+# an apostrophe inside a word is left out, so contractions are one word: don't -> dont
+APOSTROPHE = r"(\p{L})['\x{2019}](\p{L})"
 # ------------------------------------------------------------------------------
 
-MAP_MAX = 50_000  # literal-map plan up to this many lexicon entries
-
 
 def tokens(text) -> Column:
     """Lower-cased letter runs of a text (the sentiment tokeniser)."""
-    return F.regexp_extract_all(F.lower(F.coalesce(col_of(text), F.lit(""))),
-                                F.lit(TOKEN_PATTERN), 0)
+    joined = F.regexp_replace(F.coalesce(col_of(text), F.lit("")), F.lit(APOSTROPHE), F.lit("$1$2"))
+    return F.regexp_extract_all(F.lower(joined), F.lit(TOKEN_PATTERN), 0)
 
 
 def _negated(toks: Column, i: Column) -> Column:
@@ -79,8 +84,6 @@ def sentiment(text, lexicon: Mapping[str, float] = LEXICON) -> Column:
     The lexicon map and the negator list are literals built once per Spark
     context and shared by every query.
     """
-    if len(lexicon) > MAP_MAX:
-        raise ValueError("lexicon too large for the map plan; use sentiment_join")
     key = tuple(sorted(lexicon.items()))
     lex = constant(("lexicon", key), lambda: F.create_map(
         *[x for k, v in lexicon.items() for x in (F.lit(k), F.lit(float(v)))]))
@@ -144,7 +147,7 @@ def compound_reference(text: str | None, lexicon: Mapping[str, float] = LEXICON)
 
     if not text:
         return 0.0
-    toks = regex.findall(r"\p{L}+", text.lower())
+    toks = regex.findall(r"\p{L}+", regex.sub(r"(\p{L})['\u2019](\p{L})", r"\1\2", text).lower())
     total = 0.0
     for i, t in enumerate(toks):
         v = lexicon.get(t, 0.0)

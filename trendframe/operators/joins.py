@@ -78,8 +78,8 @@ def match_titles(queries: DataFrame, catalogue: DataFrame, q_col: str = "query_t
     Tier 2 is an n-gram blocked join, exact and product-free: if ``q`` is a
     substring of ``t`` then every 3-gram of ``q`` occurs in ``t``, so
     ``q`` only needs to meet the titles holding its *rarest* 3-gram (and
-    symmetrically). Strings under 3 characters block on their whole value
-    against all 1-/2-grams. Every candidate is re-checked with ``contains``
+    symmetrically). A ``q`` of up to 3 characters looks up the first title of
+    that gram; a ``t`` under 3 characters blocks on its whole value. Every candidate is re-checked with ``contains``
     and the earliest catalogue position wins per query (an aggregate, so
     map-side combined).
     """
@@ -100,15 +100,17 @@ def match_titles(queries: DataFrame, catalogue: DataFrame, q_col: str = "query_t
     cgrams = cat.select("t", "pos", "id", F.explode(F.array_distinct(_grams("t", 3))).alias("g")) \
         .filter(F.length("g") == 3)
     gfreq = cgrams.groupBy("g").agg(F.count(F.lit(1)).alias("f"))
-    qlong = rest.filter(F.length("q") >= 3)
+    qlong = rest.filter(F.length("q") > 3)
     qg = (qlong.select("query_title", "q", F.explode(F.array_distinct(_grams("q", 3))).alias("g"))
           .join(gfreq, "g", "left")
           .groupBy("query_title", "q").agg(F.min_by("g", F.coalesce("f", F.lit(0))).alias("g")))
     in_t = qg.join(cgrams, "g").filter(F.col("t").contains(F.col("q")))
-    # very short q inside t
-    cshort = cat.select("t", "pos", "id", F.explode(_all_short_grams("t")).alias("g"))
-    qshort = rest.filter(F.length("q") < 3).withColumn("g", F.col("q"))
-    in_t_short = qshort.join(cshort, "g")
+    # a q of up to three characters is a gram itself: the first title of each gram
+    # is found before the join, so a common gram is one row
+    cshort = cat.select("pos", "id", F.explode(F.array_distinct(F.concat(_all_short_grams("t"), _grams("t", 3)))).alias("g"))
+    first_of = cshort.groupBy("g").agg(F.min("pos").alias("pos"), F.min_by("id", "pos").alias("id"))
+    qshort = rest.filter(F.length("q") <= 3).withColumn("g", F.col("q"))
+    in_t_short = qshort.join(first_of, "g")
     # t inside q: block on t's rarest 3-gram (frequency among query titles)
     qgrams = rest.select("query_title", "q", F.explode(F.array_distinct(_grams("q", 3))).alias("g")) \
         .filter(F.length("g") == 3)
@@ -130,22 +132,17 @@ def match_titles(queries: DataFrame, catalogue: DataFrame, q_col: str = "query_t
     # An empty catalogue title is inside every query title; with
     # ``skip_empty=False`` an empty query title is inside every catalogue
     # title. Each case contributes one catalogue row (the catalogue is grouped
-    # by title), fetched here and applied as literals - no product is formed.
-    special = []
-    empty_t = cat.filter(F.col("t") == "").select("pos", "id").limit(1).collect()
-    if empty_t:
-        special.append((F.col("q") != "", empty_t[0]["pos"], empty_t[0]["id"]))
+    # by title), a scalar subquery of the plan - no product, and no job here.
+    one = F.min_by(F.struct("pos", "id"), "pos").alias("one")
+    special = [(F.col("q") != "", cat.filter(F.col("t") == "").agg(one).scalar())]
     if not skip_empty:
-        first = cat.orderBy("pos").select("pos", "id").limit(1).collect()
-        if first:
-            special.append((F.col("q") == "", first[0]["pos"], first[0]["id"]))
-    if special:
-        r = rest.select("query_title", "q").join(partial, "query_title", "left")
-        for cond, pos, idv in special:
-            better = cond & (F.col("pos").isNull() | (F.lit(pos) < F.col("pos")))
-            r = r.withColumn("id", F.when(better, F.lit(idv)).otherwise(F.col("id"))) \
-                 .withColumn("pos", F.when(better, F.lit(pos)).otherwise(F.col("pos")))
-        partial = r.filter(F.col("id").isNotNull())
+        special.append((F.col("q") == "", cat.agg(one).scalar()))
+    r = rest.select("query_title", "q").join(partial, "query_title", "left")
+    for cond, found in special:
+        better = cond & found["pos"].isNotNull() & (F.col("pos").isNull() | (found["pos"] < F.col("pos")))
+        r = r.withColumn("id", F.when(better, found["id"]).otherwise(F.col("id"))) \
+             .withColumn("pos", F.when(better, found["pos"]).otherwise(F.col("pos")))
+    partial = r.filter(F.col("id").isNotNull())
     partial = partial.select("query_title", "id", F.lit("partial").alias("match"))
     return exact.unionByName(partial)
 
@@ -189,8 +186,9 @@ def attach_metadata(df: DataFrame, meta: DataFrame, key: str = "title") -> DataF
     m = meta.select(F.col("title").alias(key), F.col("release_date").alias("__rd"),
                     F.col("vote_average").alias("__va"), F.col("imdb_rating").alias("__ir"),
                     F.col("overview").alias("__ov"))
-    # Upstream looks the title up with limit 1: keep one metadata row per title.
-    m = m.groupBy(key).agg(F.first(F.struct("__rd", "__va", "__ir", "__ov")).alias("__m")) \
+    # Upstream looks the title up with limit 1: keep one metadata row per title, the
+    # one with the newest release date, then the best rating (the same on every run).
+    m = m.groupBy(key).agg(F.max(F.struct("__rd", "__ir", "__va", "__ov")).alias("__m")) \
         .select(key, "__m.*")
     return (df.join(m, key, "left")
             .withColumn("releaseDate", F.coalesce(F.col("__rd"), F.lit("N/A")))

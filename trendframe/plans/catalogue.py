@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.score import composite_rating, freshness_score, parse_basics_cols
@@ -65,25 +65,26 @@ def catalogue_enrich(basics: DataFrame, ratings: DataFrame, principals: DataFram
 
 
 def discover(sources: Sequence[tuple[str, str, DataFrame, int | None]], now,
-             n: int | None = 20) -> DataFrame:
+             n: int | None = 20, order: Sequence[Column | str] = ("rank",)) -> DataFrame:
     """U1 + F21 + W8: union ranked sources, dedupe, rank by freshness.
 
     ``sources``: ``(name, media_type, df, top)`` in priority order; each
-    ``df`` has ``id, title, popularity, release_date`` and a ``rank``
-    column (position in that source's list); ``top`` keeps only the first
-    rows of a source (``None`` = all). Dedupe key: (media type, id); the
-    earlier source, then the better rank, wins.
+    ``df`` has ``id, title, popularity, release_date`` and the columns of
+    ``order``, by which its list is sorted; ``top`` keeps only the first rows
+    of a source (``None`` = all; the list is then never ranked as a whole).
+    Dedupe key: (media type, id); the earlier source, then the better place
+    in its list, wins.
     """
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
     parts = []
     for prio, (name, media, df, top) in enumerate(sources):
-        d = df if top is None else df.filter(F.col("rank") <= top)
-        parts.append(d.select("id", "title", "popularity", "release_date", "rank",
-                              F.lit(name).alias("discovery_source"), F.lit(media).alias("media_type"),
-                              F.lit(prio).alias("__prio")))
+        d = df if top is None else df.orderBy(*by).limit(top)
+        parts.append(d.withColumns({"discovery_source": F.lit(name), "media_type": F.lit(media),
+                                    "__prio": F.lit(prio)}))
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
-    dedup = top_per_key(u, ["media_type", "id"], [F.col("__prio"), F.col("rank")], 1).drop("__prio")
+    dedup = top_per_key(u, ["media_type", "id"], [F.col("__prio"), *by], 1).drop("__prio")
     scored = dedup.withColumn("freshness", freshness_score("release_date", "popularity",
                                                            "discovery_source", now))
     return rank_top(scored, "freshness", n, tie=["discovery_source", "id"]) if n else scored

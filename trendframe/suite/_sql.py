@@ -20,7 +20,8 @@ def sentiment_ctes(src: str, id_col: str, text_col: str, out: str) -> str:
     neg = "[" + ", ".join(_q(n) for n in NEGATORS) + "]"
     return f"""
 {out}_tok AS (SELECT {id_col} AS sid,
-                     regexp_extract_all(lower(coalesce({text_col}, '')), '\\p{{L}}+') AS toks FROM {src}),
+                     regexp_extract_all(lower(regexp_replace(coalesce({text_col}, ''),
+                         '(\\p{{L}})[''\\x{{2019}}](\\p{{L}})', '\\1\\2', 'g')), '\\p{{L}}+') AS toks FROM {src}),
 {out}_pos AS (SELECT sid, toks, generate_subscripts(toks, 1) AS i FROM {out}_tok),
 {out}_val AS (SELECT p.sid,
                      sum(l.valence * CASE WHEN list_has_any(p.toks[greatest(p.i - 3, 1):p.i - 1], {neg})

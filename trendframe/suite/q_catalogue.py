@@ -169,17 +169,15 @@ def _source(spark, d, event_type, media):
     ev = tb.table(spark, d, "events").filter(F.col("event_type") == event_type)
     ev = ev.withColumn("id", F.get_json_object("props", "$.k").cast("int"))
     rd = F.date_format(F.date_add(F.lit("2023-10-01").cast("date"), F.col("id") * 2), "yyyy-MM-dd")
-    from pyspark.sql import Window
-    w = Window.partitionBy("event_type").orderBy(F.col("value").desc(), F.col("event_id"))
     return ev.select("id", F.concat(F.lit("Title "), F.col("id").cast("string")).alias("title"),
                      F.col("value").alias("popularity"),
                      (rd if media == "movie" else F.lit(None).cast("string")).alias("release_date"),
-                     F.row_number().over(w).alias("rank"))
+                     "event_id")
 
 
 def _discover(spark, d, n=20):
     srcs = [(name, media, _source(spark, d, et, media), top) for name, et, media, top in _SOURCES]
-    return discover(srcs, F.lit(tb.TODAY).cast("timestamp"), n)
+    return discover(srcs, F.lit(tb.TODAY).cast("timestamp"), n, order=[F.col("popularity").desc(), F.col("event_id")])
 
 
 def _discover_sql(select: str) -> str:
