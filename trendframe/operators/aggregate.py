@@ -42,6 +42,19 @@ def most_discussed(df: DataFrame, title: str = "movie_title", ts: str = "event_t
     return agg.withColumn("trend_score", F.col("discussions") * 10).drop("__k")
 
 
+def most_discussed_served(df: DataFrame, now, hours: float = 24, n: int = 10, metadata: DataFrame | None = None,
+                          title: str = "movie_title", ts: str = "event_time", **kw) -> DataFrame:
+    """A4 as it is served: the last ``hours`` only, most discussions first
+    (then title), ``n`` titles, with the release date, votes and overview of
+    the title's metadata (J9) or their defaults."""
+    from .clean import recent
+    from .joins import attach_metadata
+
+    top = (most_discussed(recent(df, ts, hours, now), title=title, ts=ts, **kw)
+           .orderBy(F.col("discussions").desc(), "title").limit(n))
+    return top if metadata is None else attach_metadata(top, metadata, "title")
+
+
 def trend_totals(df: DataFrame, key: str = "movie_title", sentiment: str = "avg_sentiment") -> DataFrame:
     """A5: row count (named 'movies tracked' upstream), distinct titles, mean sentiment."""
     return df.agg(F.count(F.lit(1)).alias("total_rows"),

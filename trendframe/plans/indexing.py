@@ -57,12 +57,12 @@ def index_reviews(feed: DataFrame, base: DataFrame | None = None, embed: bool =
     return insert_ignore(rows, base.select(*rows.columns), "review_id", order)
 
 
-def metadata_rows(titles: DataFrame, embed: bool = True) -> DataFrame:
+def metadata_rows(titles: DataFrame, embed: bool = True, keep=()) -> DataFrame:
     """C5 without the merge: one metadata document per title.
 
     ``titles``: ``id, title, overview, release_date, vote_average,
     popularity, media_type, genres (array), cast (array), keywords (array),
-    imdb_rating``.
+    imdb_rating``; ``keep`` lists further columns to carry through.
     """
     t = require(titles, ["id"])
     rows = t.select(
@@ -78,18 +78,19 @@ def metadata_rows(titles: DataFrame, embed: bool = True) -> DataFrame:
         csv_head("genres").alias("genres"), csv_head("cast", 10).alias("cast"),
         F.col("imdb_rating").cast("double").alias("imdb_rating"),
         csv_head("keywords", 10).alias("keywords"),
+        *keep,
     )
     return embed_hashed(rows, "document") if embed else rows
 
 
 def index_metadata(titles: DataFrame, base: DataFrame | None = None, order: str | None = None,
                    embed: bool = True) -> DataFrame:
-    """Titles -> metadata collection, upsert by id (last write wins)."""
-    rows = metadata_rows(titles, embed=embed)
-    if order and order in titles.columns:
-        rows = rows.join(titles.select(F.concat(F.lit("tmdb_"), F.col("id").cast("string")).alias("meta_id"),
-                                       order), "meta_id")
-    if base is None:
-        base = rows.limit(0)
-    out = upsert_last(rows, base.select(*rows.columns), ["meta_id"], order)
-    return out.drop(order) if order else out
+    """Titles -> metadata collection, upsert by id (last write wins).
+
+    ``order``: the column of ``titles`` by which the last of repeated ids is
+    told; it is not stored.
+    """
+    rows = metadata_rows(titles, embed=embed, keep=[order] if order else [])
+    stored = [c for c in rows.columns if c != order]
+    base = rows.limit(0) if base is None else base
+    return upsert_last(rows, base.select(*stored), ["meta_id"], order).select(*stored)

@@ -83,14 +83,22 @@ def expand_questions(questions: DataFrame, metadata: DataFrame, title_vec: str =
 
 
 def retrieve(questions: DataFrame, reviews: DataFrame, n: int = 100, hours: float = 168, now=None,
-             context_n: int = 50, samples: int = 5):
+             context_n: int = 50, samples: int = 5, metadata: DataFrame | None = None, encode=None):
     """Returns ``(summary, samples)``.
 
     ``questions``: ``question_id, question, qvec`` (the question's vector,
     from the encoder or a supplied table). ``reviews``: the review index
-    (C4) with ``embedding``.
+    (C4) with ``embedding``. With ``metadata`` (C5, with ``embedding``) and
+    ``encode(df, text_col, out_col)`` every question with a title is expanded
+    by its nearest title's metadata, and the expanded text is what is encoded
+    and searched for; the summary then has ``meta_id`` and ``expanded``.
     """
     titled = questions.withColumn("title", extract_title("question"))
+    extra = []
+    if metadata is not None:
+        titled = expand_questions(encode(titled.drop("qvec"), "title", "tvec"), metadata)
+        titled = encode(titled.drop("tvec"), "expanded", "qvec")
+        extra = ["meta_id", "expanded"]
     rows = nearest(titled, reviews, n, hours=hours, now=now)
     kept = select_relevant(rows, titled)
     # one aggregation over the kept rows: context of the first ``context_n``,
@@ -98,7 +106,7 @@ def retrieve(questions: DataFrame, reviews: DataFrame, n: int = 100, hours: floa
     ctx = assemble_context(kept, ["question_id"], "rank", n=context_n, extra=[
         F.first("strategy").alias("strategy"), F.first("mention_count").alias("mention_count"),
         F.first("retrieved").alias("retrieved"), F.count(F.lit(1)).alias("sources_count")])
-    summary = (titled.select("question_id", "title").join(ctx, "question_id", "left")
+    summary = (titled.select("question_id", "title", *extra).join(ctx, "question_id", "left")
                .withColumn("retrieved", F.coalesce("retrieved", F.lit(0)))
                .withColumn("sources_count", F.coalesce("sources_count", F.lit(0))))
     return summary, sample_sources(kept, samples)

@@ -8,12 +8,12 @@ from ..functions import text as T
 from ..functions.vectors import embed_hashed
 from ..operators.clean import title_contains
 from ..operators.knn import knn
-from ..plans.indexing import metadata_rows
+from ..plans.indexing import index_metadata, index_reviews, metadata_rows, review_rows
 from ..plans.retrieval import nearest, retrieve, retrieve_debug, select_relevant
 from ..sources import testbed as tb
 from . import register, rounded
 from .q_catalogue import _CREDITS
-from .q_text import _IDX_CTES, _extract_title_sql, _variants_sql, index
+from .q_text import _IDX_CTES, _extract_title_sql, _variants_sql, index, review_feed
 
 N_NEIGHBOURS = 100
 HOURS = 168
@@ -34,6 +34,16 @@ def review_index(spark, d):
     return index(spark, d).withColumn("vec_id", F.pmod(F.col("review_id").cast("long"), n)).join(e, "vec_id").drop("vec_id")
 
 
+def by_length(spark, d):
+    """A stand-in encoder that SQL can follow: a text's vector is the supplied one numbered by its length."""
+    e, n = _vectors(spark, d)
+
+    def encode(df, text, out):
+        return (df.withColumn("vec_id", F.pmod(F.length(text), n).cast("long"))
+                .join(e.withColumnRenamed("embedding", out), "vec_id", "left").drop("vec_id"))
+    return encode
+
+
 def _vectors(spark, d):
     e = tb.table(spark, d, "embeddings").select("vec_id", "embedding")
     return e, e.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -118,6 +128,21 @@ def q_retrieve(spark, d):
                           "n_reviews")
 
 
+def metadata_index(spark, d):
+    """C5 metadata documents, each with one of the supplied vectors, dealt out by number."""
+    e, n = _vectors(spark, d)
+    m = metadata_rows(meta_titles(spark, d), embed=False)
+    return m.withColumn("vec_id", F.pmod(F.col("tmdb_id").cast("long"), n)).join(e, "vec_id").drop("vec_id")
+
+
+def q_retrieve_expanded(spark, d):
+    """C6 with F12: questions expanded by their nearest title metadata before the search."""
+    summary, _ = retrieve(questions(spark, d), review_index(spark, d), N_NEIGHBOURS, HOURS, F.lit(tb.NOW),
+                          metadata=metadata_index(spark, d), encode=by_length(spark, d))
+    return summary.select("question_id", "title", "meta_id", F.md5("expanded").alias("expanded_md5"), "retrieved",
+                          "strategy", F.md5("context").alias("context_md5"), "n_reviews")
+
+
 @register("retrieve_samples", _ret_sql("""
 SELECT question_id, CAST(rank AS INTEGER) AS rank,
        CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text,
@@ -249,3 +274,70 @@ def q_embed(spark, d):
     e = embed_hashed(tb.table(spark, d, "documents").select("doc_id", "text"), "text")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     return e.select("doc_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+# ------------------------------------------------ C6 with expansion, C4 and C5 with their merge
+
+_QS = _RET[_RET.index("qs AS ("):_RET.index("nn AS (")]
+_EXPANDED_QS = f"""
+q0 AS (SELECT c.conv_id * 1000 + c.turn AS question_id, c.text AS question, {_extract_title_sql('c.text')} AS title
+       FROM conversations c WHERE c.role = 'user'),
+nv AS (SELECT count(*) AS n FROM embeddings),
+qt AS (SELECT q0.*, e.embedding AS tvec FROM q0 LEFT JOIN embeddings e ON e.vec_id = length(q0.title) % (SELECT n FROM nv)),
+mv AS (SELECT meta.*, e.embedding AS mvec FROM meta
+       JOIN embeddings e ON e.vec_id = CAST(meta.tmdb_id AS BIGINT) % (SELECT n FROM nv)),
+n1 AS (SELECT question_id, meta_id, "cast" AS mcast, genres AS mgenres, keywords AS mkeywords FROM qt, mv
+       WHERE tvec IS NOT NULL
+       QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(list_cosine_similarity(
+           CAST(tvec AS DOUBLE[]), CAST(mvec AS DOUBLE[])), 12) DESC, meta_id) = 1),
+qx AS (SELECT qt.question_id, qt.question, qt.title, n1.meta_id,
+              CASE WHEN n1.meta_id IS NULL THEN qt.question ELSE concat_ws(' ', list_concat([qt.question],
+                CASE WHEN mcast IS NOT NULL AND mcast <> '' THEN string_split(mcast, ',')[1:3] ELSE [] END,
+                CASE WHEN mgenres IS NOT NULL AND mgenres <> '' THEN string_split(mgenres, ',') ELSE [] END,
+                CASE WHEN mkeywords IS NOT NULL AND mkeywords <> '' THEN string_split(mkeywords, ',')[1:3] ELSE [] END))
+              END AS expanded
+       FROM qt LEFT JOIN n1 ON n1.question_id = qt.question_id),
+qs AS (SELECT qx.*, e.embedding AS qvec FROM qx JOIN embeddings e ON e.vec_id = length(qx.expanded) % (SELECT n FROM nv)),
+"""
+_EXPANDED = _RET.replace(_QS, _EXPANDED_QS.lstrip())
+
+register("retrieve_expanded", tb.with_ctes("""
+SELECT q.question_id, q.title, q.meta_id, md5(q.expanded) AS expanded_md5, coalesce(r.retrieved, 0) AS retrieved,
+       s.strategy, md5(ctx.context) AS context_md5, CAST(ctx.n_reviews AS INTEGER) AS n_reviews
+FROM qs q
+LEFT JOIN (SELECT question_id, count(*) AS retrieved FROM tf GROUP BY 1) r ON r.question_id = q.question_id
+LEFT JOIN (SELECT question_id, any_value(strategy) AS strategy FROM kept GROUP BY 1) s ON s.question_id = q.question_id
+LEFT JOIN ctx ON ctx.question_id = q.question_id""", "reviews", "basics", "ratings", "principals", "names",
+    extra=_META.strip().rstrip(",") + ",\n" + _EXPANDED))(q_retrieve_expanded)
+
+
+@register("index_reviews_merge", tb.with_ctes("""
+SELECT review_id, score, 256 AS dim,
+       CAST(CASE WHEN regexp_matches(text, '\\p{L}') THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm
+FROM (SELECT review_id, -1.0 AS score, text FROM idx WHERE CAST(review_id AS BIGINT) % 3 = 0
+      UNION ALL
+      SELECT review_id, score, text FROM idx WHERE CAST(review_id AS BIGINT) % 3 <> 0)""", "reviews", extra=_IDX_CTES))
+def q_index_reviews_merge(spark, d):
+    """C4 as one call: rows with their vector, merged; stored ids are skipped, of repeats the oldest is kept."""
+    feed = review_feed(spark, d)
+    later = feed.withColumns({"score": F.col("score") + 1000, "timestamp": F.lit("2024-02-01T00:00:00")})
+    base = review_rows(feed.filter(F.col("doc_id") % 3 == 0)).withColumn("score", F.lit(-1.0))
+    out = index_reviews(later.unionByName(feed), base, order="timestamp")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return out.select("review_id", "score", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+
+
+@register("index_metadata_merge", tb.with_ctes("""
+SELECT meta_id, title, popularity, 256 AS dim FROM (
+  SELECT meta_id, title, popularity FROM meta
+  UNION ALL SELECT 'tmdb_' || CAST(-id - 1 AS VARCHAR), 'old', 0.0 FROM mt0 WHERE id % 5 = 0)""",
+    "basics", "ratings", "principals", "names", extra=_META))
+def q_index_metadata_merge(spark, d):
+    """C5 as one call: documents with their vector, the newest of repeats wins over stored ones."""
+    titles = meta_titles(spark, d).withColumn("seen", F.lit(2))
+    older = titles.withColumns({"title": F.lit("older"), "seen": F.lit(1)})
+    gone = titles.filter(F.col("id") % 5 == 0).withColumns({"id": -F.col("id") - 1, "title": F.lit("old")})
+    kept = metadata_rows(gone).withColumn("popularity", F.lit(0.0))
+    stored = kept.unionByName(metadata_rows(titles.filter(F.col("id") % 2 == 0).withColumn("title", F.lit("stored"))))
+    out = index_metadata(older.unionByName(titles), stored, order="seen")
+    return out.select("meta_id", "title", "popularity", F.size("embedding").alias("dim"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.sentiment import sentiment
 from ..operators import clean as C
-from ..operators.aggregate import distinct_titles, most_discussed
+from ..operators.aggregate import distinct_titles, most_discussed, most_discussed_served
 from ..operators.partitioning import spread
 from ..plans.indexing import review_rows
 from ..sources import testbed as tb
@@ -276,6 +276,31 @@ def q_most_discussed(spark, d):
     return most_discussed(index(spark, d), title="movie_title", ts="event_time", order="review_id")
 
 
+@register("most_discussed_served", _idx_sql(f"""
+SELECT t.title, t.discussions, t.mentions, t.sentiment, t.trend_score,
+       coalesce(m.release_date, 'N/A') AS "releaseDate", coalesce(m.vote_average, 0.0) AS "voteAverage"
+FROM (SELECT arg_max(movie_title, (event_time, review_id)) AS title, count(*) AS discussions,
+             CAST(sum(coalesce(mentions, 0)) AS BIGINT) AS mentions,
+             {sround('avg(coalesce(sentiment, 0.5))', 2)} AS sentiment, count(*) * 10 AS trend_score
+      FROM idx WHERE lower(trim(movie_title)) NOT IN ('', 'unknown') AND movie_title IS NOT NULL
+        AND event_time > TIMESTAMP '{tb.NOW}' - INTERVAL 100 HOUR
+      GROUP BY lower(trim(movie_title)) ORDER BY discussions DESC, title LIMIT 20) t
+LEFT JOIN (SELECT lower(source) AS title, '20' || min(substr(source, 4)) AS release_date,
+                  CAST(max(length(source)) AS DOUBLE) AS vote_average
+           FROM documents GROUP BY 1
+           UNION ALL SELECT 'the', '2020', 8.0) m ON m.title = t.title"""))
+def q_most_discussed_served(spark, d):
+    """A4 as served: last 100 h, most discussed first, 20 titles, with metadata or defaults."""
+    meta = tb.table(spark, d, "documents").groupBy(F.lower("source").alias("title")).agg(
+        F.concat(F.lit("20"), F.min(F.expr("substring(source, 4)"))).alias("release_date"),
+        F.max(F.length("source")).cast("double").alias("vote_average"))
+    meta = meta.unionByName(spark.range(1).select(F.lit("the").alias("title"), F.lit("2020").alias("release_date"),
+                                                  F.lit(8.0).alias("vote_average")))
+    meta = meta.withColumns({"imdb_rating": F.lit(0.0), "overview": F.lit("")})
+    out = most_discussed_served(index(spark, d), F.lit(tb.NOW), 100, 20, meta, order="review_id")
+    return out.select("title", "discussions", "mentions", "sentiment", "trend_score", "releaseDate", "voteAverage")
+
+
 @register("distinct_titles", _idx_sql("""
 SELECT DISTINCT movie_title_original FROM idx WHERE movie_title_original IS NOT NULL"""))
 def q_distinct_titles(spark, d):
