@@ -157,14 +157,18 @@ def principals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue feed to enrich: one movie per part, titled exactly, with
-    extra words (contains a dump title) or by its last word (contained)."""
+    extra words (contains a dump title) or by its last word (contained);
+    every tenth has titles that no dump knows."""
     p = table(spark, sf_dir, "part")
     form = F.col("p_partkey") % 3
-    title = (F.when(form == 0, F.col("p_name"))
+    unknown = F.col("p_partkey") % 10 == 9
+    title = (F.when(unknown, F.concat(F.lit("zzqx "), F.col("p_partkey").cast("string")))
+             .when(form == 0, F.col("p_name"))
              .when(form == 1, F.concat(F.lit("the "), F.col("p_name"), F.lit(" returns")))
              .otherwise(F.element_at(F.split("p_name", " "), -1)))
     return p.select(F.col("p_partkey").alias("movie_id"), title.alias("title"),
-                    F.upper("p_name").alias("original_title"),
+                    F.when(unknown, F.concat(F.lit("qqzx "), F.col("p_partkey").cast("string")))
+                    .otherwise(F.upper("p_name")).alias("original_title"),
                     F.round(F.col("p_retailprice") / 200.0, 1).alias("vote_average"),
                     F.col("p_size").alias("vote_count"),
                     F.concat((F.lit(1950) + F.col("p_size")).cast("string"), F.lit("-06-15"))
@@ -236,9 +240,10 @@ SQL = {
         FROM lineitem""",
     "movies": """
         SELECT p_partkey AS movie_id,
-               CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'the ' || p_name || ' returns'
+               CASE WHEN p_partkey % 10 = 9 THEN 'zzqx ' || p_partkey
+                    WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN 'the ' || p_name || ' returns'
                     ELSE string_split(p_name, ' ')[-1] END AS title,
-               upper(p_name) AS original_title,
+               CASE WHEN p_partkey % 10 = 9 THEN 'qqzx ' || p_partkey ELSE upper(p_name) END AS original_title,
                CAST(round(CAST(CAST(p_retailprice / 200.0 AS VARCHAR) AS DECIMAL(38, 18)), 1) AS DOUBLE)
                    AS vote_average,
                p_size AS vote_count, CAST(1950 + p_size AS VARCHAR) || '-06-15' AS release_date

@@ -165,9 +165,10 @@ _SOURCES = (("trending_movie", "view", "movie", None), ("trending_tv", "click",
             ("popular", "error", "movie", 5))
 
 
-def _source(spark, d, event_type, media):
+def _source(spark, d, event_type, media, prio):
     ev = tb.table(spark, d, "events").filter(F.col("event_type") == event_type)
-    ev = ev.withColumn("id", F.get_json_object("props", "$.k").cast("int"))
+    # the lists overlap in part: each later one has ids of its own
+    ev = ev.withColumn("id", F.get_json_object("props", "$.k").cast("int") + 40 * prio)
     rd = F.date_format(F.date_add(F.lit("2023-10-01").cast("date"), F.col("id") * 2), "yyyy-MM-dd")
     return ev.select("id", F.concat(F.lit("Title "), F.col("id").cast("string")).alias("title"),
                      F.col("value").alias("popularity"),
@@ -176,7 +177,8 @@ def _source(spark, d, event_type, media):
 
 
 def _discover(spark, d, n=20):
-    srcs = [(name, media, _source(spark, d, et, media), top) for name, et, media, top in _SOURCES]
+    srcs = [(name, media, _source(spark, d, et, media, prio), top)
+            for prio, (name, et, media, top) in enumerate(_SOURCES)]
     return discover(srcs, F.lit(tb.TODAY).cast("timestamp"), n, order=[F.col("popularity").desc(), F.col("event_id")])
 
 
@@ -187,7 +189,7 @@ def _discover_sql(select: str) -> str:
         lim = f"WHERE rank <= {top}" if top else ""
         parts.append(f"""SELECT id, 'Title ' || CAST(id AS VARCHAR) AS title, popularity, {rd} AS release_date, rank,
                '{name}' AS discovery_source, '{media}' AS media_type, {prio} AS prio
-        FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS id, value AS popularity,
+        FROM (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) + {40 * prio} AS id, value AS popularity,
                      row_number() OVER (ORDER BY value DESC, event_id) AS rank
               FROM events WHERE event_type = '{et}') {lim}""")
     union = "\n        UNION ALL ".join(parts)

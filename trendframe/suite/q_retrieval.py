@@ -22,7 +22,10 @@ HOURS = 168
 def questions(spark, d):
     """Questions: all user turns; the vectors are dealt out by number, so each question has one."""
     c = tb.table(spark, d, "conversations").filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+        # some questions name a word that occurs, some no title at all
+        F.when(F.col("conv_id") % 5 == 0, "Tell me about tion").when(F.col("conv_id") % 5 == 1, "movie?")
+        .otherwise(F.col("text")).alias("question"))
     e, n = _vectors(spark, d)
     return c.withColumn("vec_id", F.pmod("question_id", n)).join(e, "vec_id").select(
         "question_id", "question", F.col("embedding").alias("qvec"))
@@ -52,11 +55,12 @@ def _vectors(spark, d):
 _RET = _IDX_CTES + f""",
 coll AS (SELECT idx.*, e.embedding FROM idx
          JOIN embeddings e ON e.vec_id = CAST(idx.review_id AS BIGINT) % (SELECT count(*) FROM embeddings)),
+uq AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Tell me about tion' WHEN 1 THEN 'movie?' ELSE text END AS text
+       FROM conversations WHERE role = 'user'),
 qs AS (SELECT c.conv_id * 1000 + c.turn AS question_id, c.text AS question, {_extract_title_sql('c.text')} AS title,
               e.embedding AS qvec
-       FROM conversations c JOIN embeddings e
-         ON e.vec_id = (c.conv_id * 1000 + c.turn) % (SELECT count(*) FROM embeddings)
-       WHERE c.role = 'user'),
+       FROM uq c JOIN embeddings e
+         ON e.vec_id = (c.conv_id * 1000 + c.turn) % (SELECT count(*) FROM embeddings)),
 nn AS (SELECT q.question_id, q.title, co.*,
               round(list_cosine_similarity(CAST(q.qvec AS DOUBLE[]), CAST(co.embedding AS DOUBLE[])), 12) AS similarity
        FROM qs q, coll co
@@ -281,7 +285,7 @@ def q_embed(spark, d):
 _QS = _RET[_RET.index("qs AS ("):_RET.index("nn AS (")]
 _EXPANDED_QS = f"""
 q0 AS (SELECT c.conv_id * 1000 + c.turn AS question_id, c.text AS question, {_extract_title_sql('c.text')} AS title
-       FROM conversations c WHERE c.role = 'user'),
+       FROM uq c),
 nv AS (SELECT count(*) AS n FROM embeddings),
 qt AS (SELECT q0.*, e.embedding AS tvec FROM q0 LEFT JOIN embeddings e ON e.vec_id = length(q0.title) % (SELECT n FROM nv)),
 mv AS (SELECT meta.*, e.embedding AS mvec FROM meta

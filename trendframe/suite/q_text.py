@@ -78,13 +78,20 @@ def q_explode_mentions(spark, d):
 
 
 @register("attribute_title", tb.with_ctes(f"""
-SELECT review_id, {attribute_sql("'reddit'", 'NULL', 'subreddit', 'mm')} AS title
-FROM (SELECT *, {mentions_sql('text')} AS mm FROM reviews)""", "reviews"))
+SELECT review_id, {attribute_sql("src", 'own', 'sub', 'mm')} AS title
+FROM (SELECT *, {mentions_sql('text')} AS mm,
+             CASE WHEN doc_id % 5 = 0 THEN 'tmdb' ELSE 'reddit' END AS src,
+             CASE WHEN doc_id % 10 = 0 THEN 'Review Title' END AS own,
+             CASE doc_id % 4 WHEN 0 THEN 'StarWars' WHEN 1 THEN 'netflix' ELSE subreddit END AS sub
+      FROM reviews)""", "reviews"))
 def q_attribute_title(spark, d):
-    """F5 + F6 + J10: the title each review is about."""
-    r = tb.reviews(spark, d).withColumn("mm", T.extract_mentions("text"))
-    return r.select("review_id", T.attribute_title(F.lit("reddit"), F.lit(None).cast("string"),
-                                                    "subreddit", "mm").alias("title"))
+    """F5 + F6 + J10: the title each review is about - its own, its group's, or its first mention."""
+    n = F.col("doc_id")
+    r = tb.reviews(spark, d).withColumns({
+        "mm": T.extract_mentions("text"), "src": F.when(n % 5 == 0, "tmdb").otherwise("reddit"),
+        "own": F.when(n % 10 == 0, "Review Title"),
+        "sub": F.when(n % 4 == 0, "StarWars").when(n % 4 == 1, "netflix").otherwise(F.col("subreddit"))})
+    return r.select("review_id", T.attribute_title("src", "own", "sub", "mm").alias("title"))
 
 
 @register("doc_id", """
@@ -101,32 +108,49 @@ def q_doc_id(spark, d):
 
 
 @register("publish_gate", f"""
-SELECT doc_id FROM documents
+SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lower(substr(text, 1, 20 + doc_id % 60)) ELSE text END
+                    AS text FROM documents)
 WHERE len({mentions_sql('text')}) > 0 OR length(coalesce(text, '')) > 50""")
 def q_publish_gate(spark, d):
-    """Publish messages that mention a title or are longer than 50 chars."""
-    docs = tb.table(spark, d, "documents").withColumn("m", T.extract_mentions("text"))
+    """Publish messages that mention a title or are longer than 50 chars (every fifth is short and mentions none)."""
+    docs = tb.table(spark, d, "documents").withColumn(
+        "text", F.when(F.col("doc_id") % 5 == 0, F.expr("lower(substr(text, 1, int(20 + doc_id % 60)))")).otherwise(F.col("text")))
+    docs = docs.withColumn("m", T.extract_mentions("text"))
     return C.gate(docs, "m", "text").select("doc_id")
 
 
 # --------------------------------------------------------------- P5-P7, F13
 
 @register("index_filter", tb.with_ctes(f"""
-SELECT review_id FROM reviews
+SELECT review_id FROM (
+  SELECT review_id, CASE WHEN doc_id % 7 = 0 THEN 'AutoModerator' ELSE author END AS author,
+         CASE doc_id % 11 WHEN 0 THEN text || ' Please make sure there are NO spoilers'
+              WHEN 1 THEN 'This post has been removed. ' || text ELSE text END AS text FROM reviews)
 WHERE length({strip_ws_sql("coalesce(text, '')")}) >= 50
   AND NOT list_contains({_EXCL}, lower(coalesce(author, '')))
   AND NOT contains(lower(coalesce(text, '')), '{T.INDEX_BOILERPLATE[0]}')
   AND NOT contains(lower(coalesce(text, '')), '{T.INDEX_BOILERPLATE[1]}')""", "reviews"))
 def q_index_filter(spark, d):
-    """P5: texts worth indexing."""
-    return C.index_filter(tb.reviews(spark, d)).select("review_id")
-
-
-@register("quality_filter", "SELECT doc_id FROM documents WHERE length(text) BETWEEN 50 AND 1000 AND "
+    """P5: texts worth indexing; some rows come from a bot or hold boilerplate."""
+    n, text = F.col("doc_id"), F.col("text")
+    r = tb.reviews(spark, d).withColumns({
+        "author": F.when(n % 7 == 0, "AutoModerator").otherwise(F.col("author")),
+        "text": F.when(n % 11 == 0, F.concat(text, F.lit(" Please make sure there are NO spoilers")))
+        .when(n % 11 == 1, F.concat(F.lit("This post has been removed. "), text)).otherwise(text)})
+    return C.index_filter(r).select("review_id")
+
+
+@register("quality_filter", "SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 9 < 4 THEN text || ["
+          + ", ".join(f"'{m}'" for m in C.QUALITY_MARKERS) + "][doc_id % 9 + 1] ELSE text END AS text FROM documents) "
+          "WHERE length(text) BETWEEN 50 AND 1000 AND "
           + " AND ".join(f"NOT contains(text, '{m}')" for m in C.QUALITY_MARKERS))
 def q_quality_filter(spark, d):
-    """50..1000 characters, no bot markers."""
-    return C.quality_filter(tb.table(spark, d, "documents")).select("doc_id")
+    """50..1000 characters, no bot markers (four in nine texts hold one)."""
+    k = (F.col("doc_id") % 9).cast("int")
+    marker = F.element_at(F.array(*[F.lit(m) for m in C.QUALITY_MARKERS]), F.least(k + 1, F.lit(4)))
+    docs = tb.table(spark, d, "documents").withColumn(
+        "text", F.when(k < 4, F.concat(F.col("text"), marker)).otherwise(F.col("text")))
+    return C.quality_filter(docs).select("doc_id")
 
 
 @register("topic_filter", f"""
@@ -244,10 +268,16 @@ def q_votes(spark, d):
 @register("extract_title_id", r"""
 SELECT page_id, nullif(regexp_extract(url, '/(tt\d+)/', 1), '') AS from_url,
        nullif(regexp_extract(html, '/(tt\d+)/', 1), '') AS from_html
-FROM pages""")
+FROM (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url || '/title/tt' || page_id || '/x' ELSE url END AS url,
+             CASE WHEN page_id % 3 = 0 THEN html || '<a href="/title/tt0' || page_id || '/">' ELSE html END AS html
+      FROM pages)""")
 def q_extract_title_id(spark, d):
-    """``tt`` ids in page URLs and bodies."""
-    p = tb.table(spark, d, "pages")
+    """``tt`` ids in page URLs and bodies (in every second and every third)."""
+    n = F.col("page_id").cast("string")
+    p = tb.table(spark, d, "pages").withColumns({
+        "url": F.when(F.col("page_id") % 2 == 0, F.concat("url", F.lit("/title/tt"), n, F.lit("/x"))).otherwise(F.col("url")),
+        "html": F.when(F.col("page_id") % 3 == 0, F.concat("html", F.lit('<a href="/title/tt0'), n, F.lit('/">')))
+        .otherwise(F.col("html"))})
     return p.select("page_id", T.extract_title_id("url").alias("from_url"),
                     T.extract_title_id("html").alias("from_html"))
 
@@ -309,11 +339,16 @@ def q_distinct_titles(spark, d):
 
 
 @register("drop_unknown", _idx_sql("""
-SELECT review_id, movie_title FROM idx
+SELECT review_id, movie_title FROM (
+  SELECT review_id, CASE CAST(review_id AS BIGINT) % 6 WHEN 0 THEN ' Unknown ' WHEN 1 THEN '  ' WHEN 2 THEN NULL
+                         ELSE movie_title END AS movie_title FROM idx)
 WHERE lower(trim(movie_title)) IS NOT NULL AND lower(trim(movie_title)) NOT IN ('', 'unknown')"""))
 def q_drop_unknown(spark, d):
-    """P13 + F33: drop blank or unknown titles."""
-    return C.drop_unknown(index(spark, d), "movie_title").select("review_id", "movie_title")
+    """P13 + F33: drop blank or unknown titles (half of them are)."""
+    k = F.col("review_id").cast("long") % 6
+    r = index(spark, d).withColumn("movie_title", F.when(k == 0, " Unknown ").when(k == 1, "  ")
+                                   .when(k == 2, F.lit(None)).otherwise(F.col("movie_title")))
+    return C.drop_unknown(r, "movie_title").select("review_id", "movie_title")
 
 
 @register("time_filter_lenient", tb.with_ctes(f"""
