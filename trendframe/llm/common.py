@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,28 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
+_FOLDERS: set[str] = set()
+
+
+def _folder(spark: SparkSession) -> str:
+    """The application's folder of staged tables; it goes when the driver ends."""
+    path = f"{checkpoint_dir(spark)}/llm/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        _FOLDERS.add(path)
+        atexit.register(_end, spark, path)
+    return path
+
+
+def _end(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # a stopped session can delete nothing; the folder's name tells whose it was
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it.
 
@@ -21,7 +44,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     files outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
@@ -32,9 +55,7 @@ def released(df: DataFrame) -> None:
     """Delete the files of a staged table that nothing reads any more."""
     path = getattr(df, "staged_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def input_bytes(df: DataFrame) -> int:
