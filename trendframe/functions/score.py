@@ -88,6 +88,7 @@ def release_status(release_date, now) -> Column:
 
 
 def days_since(release_date, now) -> Column:
+    """whole days from the release midnight to ``now``; negative before it, NULL for a bad date."""
     rd = F.try_to_timestamp(col_of(release_date), F.lit("yyyy-MM-dd"))
     return F.floor((F.unix_micros(col_of(now).cast("timestamp")) - F.unix_micros(rd))
                    / 86400000000).cast("int")

@@ -245,9 +245,11 @@ def norm_key(col, trim: bool = True) -> Column:
 # -------------------------------------------------------------------- F8, F9
 
 def search_text(title="title", overview="overview", genres="genres", cast="cast",
-                keywords="keywords", n_cast: int = 5) -> Column:
+                keywords="keywords", n_cast: int = 5, fallback_cast=None) -> Column:
     """F8: title, overview, genre names, top cast, keywords - one search text.
 
+    ``fallback_cast`` (an array of names) is used where ``cast`` is empty.
+
     ``genres``/``keywords`` are arrays of names; ``cast`` an array of names.
     Empty parts are skipped exactly like falsy values are skipped upstream,
     except the title which is always present.
@@ -261,7 +263,8 @@ def search_text(title="title", overview="overview", genres="genres", cast="cast"
         return F.when(F.size(a) > 0, F.array_join(a, " "))
 
     parts = [F.coalesce(col_of(title), F.lit("")), nonempty(col_of(overview)), joined(genres),
-             joined(cast, n_cast), joined(keywords)]
+             joined(cast, n_cast) if fallback_cast is None else F.coalesce(joined(cast, n_cast), joined(fallback_cast, n_cast)),
+             joined(keywords)]
     return F.concat_ws(" ", *parts)
 
 

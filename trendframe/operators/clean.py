@@ -61,12 +61,14 @@ def coalesce_cols(*cols) -> Column:
     return F.coalesce(*[F.nullif(col_of(c), F.lit("")) for c in cols])
 
 
-def normalize_discussion(df: DataFrame, kind: str) -> DataFrame:
+def normalize_discussion(df: DataFrame, kind: str, title_as_mention: bool = False) -> DataFrame:
     """One discussion shape from a comment, post or targeted record.
 
     * ``comment``: text = body; id = comment id.
     * ``post``: mentions come from title + body while ``text`` is the body.
-    * ``targeted``: id = post id for posts, else comment id.
+    * ``targeted``: id = post id for posts, else comment id. Such records name
+      their title but mention none, so the trend job would drop them; with
+      ``title_as_mention`` their title is their mention.
     Missing author becomes ``[deleted]``. Output columns are the canonical
     discussion columns; use ``unionByName(allowMissingColumns=True)`` to
     merge kinds.
@@ -91,7 +93,9 @@ def normalize_discussion(df: DataFrame, kind: str) -> DataFrame:
             F.when(F.col("type") == "post", F.col("post_id")).otherwise(F.col("comment_id")).alias("id"),
             "type", "movie_id", "movie_title", "movie_year", "search_query", "text",
             author.alias("author"), "score", "subreddit", "timestamp",
-            F.lit("reddit").alias("source"), F.lit(True).alias("targeted_search"))
+            (F.when(F.col("movie_title").isNotNull(), F.array("movie_title")) if title_as_mention
+             else F.lit(None).cast("array<string>")).alias("movie_mentions"),
+            F.lit("reddit_targeted").alias("source"), F.lit(True).alias("targeted_search"))
     raise ValueError(kind)
 
 

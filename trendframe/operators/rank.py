@@ -38,16 +38,20 @@ def latest_per_key(df: DataFrame, key: str, ts: str, order: str = "trend_score",
     return ranked.limit(limit) if limit else ranked
 
 
-def with_change(df: DataFrame, key: str, ts: str, value: str, lookback_s: int = 86400,
-                out: str = "change_24h") -> DataFrame:
-    """``value`` minus the value of the newest row at least ``lookback_s`` older.
+def with_change(latest: DataFrame, hist: DataFrame, key: str, ts: str, value: str,
+                lookback_s: int = 86400, out: str = "change_24h") -> DataFrame:
+    """``value`` minus the value of the key's newest row at least ``lookback_s`` older.
 
-    A range frame over the key's history (an as-of lookup within the key);
-    NULL when there is no such older row.
+    ``latest`` has one row per key. Only those keys' history is read, and the
+    older row is an arg-max (combined map-side), not a window over the whole
+    history. NULL when there is no such older row.
     """
-    w = (Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp")))
-         .rangeBetween(Window.unboundedPreceding, -lookback_s * 1_000_000))
-    return df.withColumn(out, F.col(value) - F.last(value, ignorenulls=True).over(w))
+    until = latest.select(F.col(key).alias("__k"), (F.col(ts) - F.make_dt_interval(secs=F.lit(lookback_s))).alias("__until"))
+    older = (hist.filter(F.col(value).isNotNull())
+             .join(until, (F.col(key) == F.col("__k")) & (F.col(ts) <= F.col("__until")))
+             .groupBy("__k").agg(F.max_by(value, ts).alias("__old")))
+    return (latest.join(older, F.col(key) == F.col("__k"), "left")
+            .withColumn(out, F.col(value) - F.col("__old")).drop("__k", "__old"))
 
 
 def top_trending(df: DataFrame, now, hours: float = 1.0, k: int = 5, key: str = "movie_title",
@@ -56,8 +60,8 @@ def top_trending(df: DataFrame, now, hours: float = 1.0, k: int = 5, key: str =
     top ``k`` by score, with a sentiment label (+-0.2) and the 24 h change."""
     from .clean import recent
 
-    hist = with_change(df, key, ts, "trend_score")
-    latest = top_per_key(recent(hist, ts, hours, now), [key], [F.col(ts).desc()], 1)
+    latest = top_per_key(recent(df, ts, hours, now), [key], [F.col(ts).desc()], 1)
+    latest = with_change(latest, df, key, ts, "trend_score")
     return (latest.select(key, "trend_score", "change_24h",
                           label("avg_sentiment", -0.2, 0.2).alias("sentiment"))
             .orderBy(F.col("trend_score").desc(), F.col(key)).limit(k))

@@ -55,7 +55,7 @@ def sql_windows(ts: str, size_s: int, slide_s: int) -> tuple[str, str, str]:
 
 def _load_all():
     from . import (  # noqa: F401
-        q_trend, q_clean, q_text, q_rank, q_catalogue, q_retrieval, q_learning,
+        q_trend, q_clean, q_text, q_rank, q_catalogue, q_retrieval, q_learning, q_stream,
     )
 
 

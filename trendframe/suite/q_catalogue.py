@@ -288,14 +288,16 @@ SELECT event_id, TRY_CAST(substr(release_date, 1, 4) AS INTEGER) AS release_year
             WHEN try_strptime(release_date, '%Y-%m-%d') > TIMESTAMP '{tb.TODAY}' THEN 'upcoming'
             WHEN date_diff('day', try_strptime(release_date, '%Y-%m-%d'), TIMESTAMP '{tb.TODAY}') <= 7
                 THEN 'just released'
-            ELSE 'released' END AS status
+            ELSE 'released' END AS status,
+       CAST(date_diff('day', try_strptime(release_date, '%Y-%m-%d'), TIMESTAMP '{tb.TODAY}') AS INTEGER) AS days_since
 FROM catalogue""", "catalogue"))
 def q_release_dates(spark, d):
     """F14 + F15: release year and status relative to a fixed day."""
     c = tb.catalogue(spark, d)
     now = F.lit(tb.TODAY).cast("timestamp")
     return c.select("event_id", S.release_year("release_date").alias("release_year"),
-                    S.release_status("release_date", now).alias("status"))
+                    S.release_status("release_date", now).alias("status"),
+                    S.days_since("release_date", now).alias("days_since"))
 
 
 @register("time_parts", """

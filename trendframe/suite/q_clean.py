@@ -75,6 +75,26 @@ def q_normalize_discussion(spark, d):
                     F.size("movie_mentions").alias("n_mentions"), "text")
 
 
+@register("normalize_targeted", """
+SELECT CASE WHEN turn = 0 THEN 'p' || conv_id ELSE 'c' || conv_id || '_' || turn END AS id,
+       CASE WHEN turn = 0 THEN 'post' ELSE 'comment' END AS type,
+       CASE WHEN conv_id % 3 = 0 THEN '[deleted]' ELSE 'u' || conv_id END AS author, 'reddit_targeted' AS source,
+       CASE WHEN conv_id % 4 <> 0 THEN 'Title ' || conv_id END AS mention, text
+FROM conversations""")
+def q_normalize_targeted(spark, d):
+    """Targeted search records, their title taken as their mention."""
+    n = F.col("conv_id").cast("string")
+    c = tb.table(spark, d, "conversations").select(
+        F.when(F.col("turn") == 0, "post").otherwise("comment").alias("type"), F.concat(F.lit("p"), n).alias("post_id"),
+        F.concat(F.lit("c"), n, F.lit("_"), F.col("turn").cast("string")).alias("comment_id"),
+        F.col("conv_id").cast("int").alias("movie_id"), F.when(F.col("conv_id") % 4 != 0, F.concat(F.lit("Title "), n)).alias("movie_title"),
+        F.lit("2024").alias("movie_year"), F.lit("q").alias("search_query"), "text",
+        F.when(F.col("conv_id") % 3 == 0, "").otherwise(F.concat(F.lit("u"), n)).alias("author"),
+        F.lit(1.0).alias("score"), F.lit("conv").alias("subreddit"), F.lit(None).cast("string").alias("timestamp"))
+    out = C.normalize_discussion(c, "targeted", title_as_mention=True)
+    return out.select("id", "type", "author", "source", F.try_element_at("movie_mentions", F.lit(1)).alias("mention"), "text")
+
+
 @register("require_id", """
 SELECT page_id FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE url END AS url FROM pages)
 WHERE page_id IS NOT NULL AND url IS NOT NULL AND url <> ''""")
