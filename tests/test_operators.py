@@ -209,3 +209,20 @@ def test_cooldown_of_a_hot_key_equals_a_plain_loop(spark):
             last = r[2]
     df = spark.createDataFrame(rows, "key string, id int, ts timestamp")
     assert sorted(r.id for r in cooldown(df, "key", "ts", 600, tie="id").collect()) == sorted(want)
+
+
+def test_minibatch_history_equals_single_steps(spark):
+    from trendframe.operators.learn import minibatch_history
+
+    rng = np.random.default_rng(11)
+    data = [(int(t), float(rng.normal(5, 2)), None if k % 9 == 0 else float(rng.normal()), None if k % 7 == 0 else float(rng.normal(20, 4)))
+            for k, t in enumerate(np.repeat(np.arange(6), 8))]
+    df = spark.createDataFrame(data, "t int, a double, b double, y double")
+    got = sorted((r.t, r.a, r.prediction) for r in minibatch_history(df, "t", ["a", "b"], "y").collect())
+    want, state = [], None
+    for t in range(6):
+        out, state = minibatch_step(df.filter(F.col("t") == t), ["a", "b"], "y", state)
+        want += [(r.t, r.a, r.prediction) for r in out.collect()]
+    want = sorted(want)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2] for g in got], [w[2] for w in want], atol=1e-9)

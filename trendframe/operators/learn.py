@@ -206,3 +206,57 @@ def minibatch_step(batch: DataFrame, features: Sequence[str], target: str, state
     w1 = w - lr * (gw + l2 * w)
     b1 = b - lr * g["gb"]
     return out, {"n": n1, "mean": mean1.tolist(), "m2": m21.tolist(), "w": w1.tolist(), "b": b1}
+
+
+def minibatch_history(df: DataFrame, batch: str, features: Sequence[str], target: str,
+                      lr: float = LR, l2: float = L2) -> DataFrame:
+    """T6 (a) over a whole table: ``prediction`` of each row by the global model
+    as it stood before the row's batch, batches in the order of ``batch``.
+
+    Equal to calling :func:`minibatch_step` batch by batch, but every batch
+    enters an update only through its means and covariances, so one
+    aggregation (combined map-side) gives all that the updates need: one row
+    per batch with ``O(features^2)`` numbers. The states, one per batch, are
+    joined back to the rows. A missing feature counts as 0; rows without a
+    target are predicted but teach nothing.
+    """
+    spark, k = df.sparkSession, len(features)
+    x = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
+    y = F.col(target).cast("double")
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(y).alias("y")]
+    aggs += [F.avg(a).alias(f"m{i}") for i, a in enumerate(x)]
+    aggs += [F.covar_pop(x[i], x[j]).alias(f"c{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs += [F.covar_pop(x[i], y).alias(f"y{i}") for i in range(k)]
+    moments = df.filter(F.col(target).isNotNull()).groupBy(batch).agg(*aggs).orderBy(batch).collect()
+    every = df.select(batch).distinct().orderBy(batch).collect()
+    known = {r[batch]: r for r in moments}
+    n, mean, m2, w, b = 0, np.zeros(k), np.zeros(k), np.zeros(k), 0.0
+    states = []
+    for r in every:
+        sd = np.sqrt(m2 / n) if n else np.zeros(k)
+        states.append((r[batch], float(b), w.tolist(), mean.tolist(), sd.tolist()))
+        got = known.get(r[batch])
+        if got is None:
+            continue
+        m = np.array([got[f"m{i}"] for i in range(k)])
+        cov = np.array([[got[f"c{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]).reshape(k, k)
+        nb, total = got["n"], n + got["n"]
+        m2 = m2 + np.diag(cov) * nb + (m - mean) ** 2 * n * nb / total
+        mean = mean + (m - mean) * nb / total
+        n = total
+        sd = np.sqrt(m2 / n)
+        inv = np.divide(1.0, sd, out=np.zeros(k), where=sd > 0)
+        off = m - mean
+        second = (cov + np.outer(off, off)) * np.outer(inv, inv)           # mean of xs_i * xs_j
+        with_y = (np.array([got[f"y{i}"] for i in range(k)]) + got["y"] * off) * inv
+        grad = b * off * inv + second @ w - with_y
+        err = b + float(w @ (off * inv)) - got["y"]
+        w, b = w - lr * (grad + l2 * w), b - lr * err
+    kind = df.schema[batch].dataType.simpleString()
+    state = spark.createDataFrame(states, f"__batch {kind}, __b double, __w array<double>, __mean array<double>, __sd array<double>")
+    joined = df.join(state, F.col(batch) == F.col("__batch"))
+    pred = F.col("__b")
+    for i, a in enumerate(x):
+        scale = F.element_at("__sd", i + 1)
+        pred = pred + F.when(scale > 0, F.element_at("__w", i + 1) * (a - F.element_at("__mean", i + 1)) / scale).otherwise(0.0)
+    return joined.withColumn("prediction", pred).select(*df.columns, "prediction")

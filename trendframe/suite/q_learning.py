@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import regression_metrics
-from ..operators.learn import prequential_per_key, running_metrics
+from ..operators.learn import minibatch_history, prequential_per_key, running_metrics
 from ..plans.learning import TREND_FEATURES, online_features, online_learning, rating_features
 from ..sources import testbed as tb
 from ..streaming.state import cooldown, first_seen
@@ -102,6 +102,42 @@ def q_online_learning(spark, d):
     return out.withColumn("features", F.to_json("features"))
 
 
+@register("global_learner", with_trends("""
+SELECT movie_title, movie_id, window_start, round(trend_score, 6) AS actual, round(prediction, 6) AS prediction
+FROM (
+  WITH RECURSIVE tr AS (SELECT *, CAST(window_start AS DATE) AS day, popularity AS x1,
+                               CAST(mentions_count AS DOUBLE) AS x2, trend_score AS y FROM trends),
+  mo AS (SELECT day, row_number() OVER (ORDER BY day) AS i, count(*) AS nb, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my,
+                covar_pop(x1, x1) AS c11, covar_pop(x1, x2) AS c12, covar_pop(x2, x2) AS c22,
+                covar_pop(x1, y) AS c1y, covar_pop(x2, y) AS c2y FROM tr GROUP BY day),
+  st(i, n, u1, u2, s1, s2, w1, w2, b) AS (
+    SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE),
+           CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+    UNION ALL
+    SELECT i, nn, a1, a2, q1, q2, w1 - 0.01 * (g1 + 0.001 * w1), w2 - 0.01 * (g2 + 0.001 * w2), b - 0.01 * gb
+    FROM (SELECT *, b + w1 * e1 + w2 * e2 - my AS gb, b * e1 + w1 * e11 + w2 * e12 - y1 AS g1,
+                 b * e2 + w1 * e12 + w2 * e22 - y2 AS g2
+      FROM (SELECT *, CASE WHEN d1 > 0 THEN (m1 - a1) / d1 ELSE 0 END AS e1, CASE WHEN d2 > 0 THEN (m2 - a2) / d2 ELSE 0 END AS e2,
+                   CASE WHEN d1 > 0 THEN (c11 + (m1 - a1) * (m1 - a1)) / (d1 * d1) ELSE 0 END AS e11,
+                   CASE WHEN d2 > 0 THEN (c22 + (m2 - a2) * (m2 - a2)) / (d2 * d2) ELSE 0 END AS e22,
+                   CASE WHEN d1 > 0 AND d2 > 0 THEN (c12 + (m1 - a1) * (m2 - a2)) / (d1 * d2) ELSE 0 END AS e12,
+                   CASE WHEN d1 > 0 THEN (c1y + my * (m1 - a1)) / d1 ELSE 0 END AS y1,
+                   CASE WHEN d2 > 0 THEN (c2y + my * (m2 - a2)) / d2 ELSE 0 END AS y2
+        FROM (SELECT *, sqrt(q1 / nn) AS d1, sqrt(q2 / nn) AS d2
+          FROM (SELECT mo.*, st.n + nb AS nn, u1 + (m1 - u1) * nb / (st.n + nb) AS a1, u2 + (m2 - u2) * nb / (st.n + nb) AS a2,
+                       s1 + c11 * nb + (m1 - u1) * (m1 - u1) * st.n * nb / (st.n + nb) AS q1,
+                       s2 + c22 * nb + (m2 - u2) * (m2 - u2) * st.n * nb / (st.n + nb) AS q2, w1, w2, b
+                FROM st JOIN mo ON mo.i = st.i + 1) z1) z2) z3) z4)
+  SELECT tr.*, st.b + CASE WHEN st.n > 0 AND st.s1 > 0 THEN st.w1 * (x1 - st.u1) / sqrt(st.s1 / st.n) ELSE 0 END
+                    + CASE WHEN st.n > 0 AND st.s2 > 0 THEN st.w2 * (x2 - st.u2) / sqrt(st.s2 / st.n) ELSE 0 END AS prediction
+  FROM tr JOIN mo ON mo.day = tr.day JOIN st ON st.i = mo.i - 1)"""))
+def q_global_learner(spark, d):
+    """T6 (a): one model for all titles, updated once a day, each row predicted before its day is learned."""
+    t = trends(spark, d).withColumn("day", F.to_date("window_start"))
+    out = minibatch_history(t, "day", ["popularity", "mentions_count"], "trend_score")
+    return rounded(out.select("movie_title", "movie_id", "window_start", F.col("trend_score").alias("actual"), "prediction"))
+
+
 @register("first_seen", tb.with_ctes("""
 SELECT title, event_id, event_time FROM catalogue
 QUALIFY row_number() OVER (PARTITION BY title ORDER BY event_time) = 1""", "catalogue"))
