@@ -143,7 +143,8 @@ class Items:
         for k, known in self.known.items():
             h = shingle_hashes(words, k)
             hits = np.flatnonzero(self.filters[k][h >> np.uint64(64 - _FILTER_BITS)])
-            hits = hits[np.isin(h[hits], known)]
+            place = np.minimum(np.searchsorted(known, h[hits]), len(known) - 1)
+            hits = hits[known[place] == h[hits]]
             if not len(hits):
                 continue
             starts_by_size = defaultdict(list)
