@@ -169,11 +169,10 @@ def id_counts(tokens: DataFrame, width: int) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            for ids in b.column(0):
-                n = np.bincount(np.frombuffer(ids.as_py(), kind))
-                if len(n) > len(total):
-                    total, n = n, total
-                total[:len(n)] += n
+            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
+            if len(n) > len(total):
+                total, n = n, total
+            total[:len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
 
@@ -189,9 +188,9 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, max_bits: int = MAX
     """
     tokens = token_table(docs, path, end_id)
     spark = docs.sparkSession
-    with_compression = staged(tokens, "tokens")
+    ids = staged(tokens, "tokens")
     width = 2 if encoder(path).size <= 1 << 16 else 4
-    rows = id_counts(with_compression, width).collect()  # at most the vocabulary
+    rows = id_counts(ids, width).collect()  # at most the vocabulary
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -226,12 +225,12 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, max_bits: int = MAX
         if parts:
             yield close()
 
-    n = max(1, min(100_000, input_bytes(with_compression) // (16 << 20) + 1))
+    n = max(1, min(100_000, input_bytes(ids) // (16 << 20) + 1))
     # a tie between repeated ids is broken by content, so equal ids need not share a task
-    dealt = (with_compression.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "doc_id", "tie")
+    dealt = (ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "doc_id", "tie")
              .sortWithinPartitions("doc_id", "tie").select("doc_id", "ids"))
     segments = staged(dealt.mapInArrow(run, "part int, first long, n long, blob binary"), "segments")
-    released(with_compression)
+    released(ids)
     return segments, book
 
 

@@ -2,9 +2,9 @@
 
 A byte-level BPE first splits a text by a fixed pattern and then merges
 inside each part only, so the ids of a text are the ids of its parts in
-order. No part spans the place between a non-space and a single space, which
-lets a text be cut at its spaces; each different word is then encoded once
-per worker, not once per occurrence. Texts that the cut does not cover
+order. No part spans the place between a non-space and a single space or line
+end, which lets a text be cut there; a different word is then encoded about
+once per worker, not once per occurrence. Texts that the cut does not cover
 (other scripts, control characters, strings of added tokens) go through
 the library as a whole. All paths give the same ids.
 """
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import regex
@@ -23,11 +25,28 @@ from tokenizers import Tokenizer
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Characters outside these ranges send a text through the library as a whole.
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-ɏ]")
+_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\u024f]")
+#: The UTF-8 bytes of those ranges; 0xC2 also leads characters that are not in them.
+_USUAL = bytes([9, 10, 13, *range(0x20, 0x7F), *range(0x80, 0xC0), *range(0xC2, 0xCA)])
 _SPACES = re.compile(r"\s\s")
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
-#: Cache entries per worker and level; a full cache is emptied and refilled.
-CACHE = 400_000
+#: Entries of a cache after which it starts anew.
+CACHE = 300_000
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
+
+
+def unusual(text: str) -> bool:
+    """Whether a text has characters that the cut at spaces does not cover."""
+    raw = text.encode("utf-8", "surrogatepass")
+    return bool(raw.translate(None, _USUAL)) or b"\xc2" in raw and bool(_OTHER.search(text))
+
+
+def spaced(text: str) -> bool:
+    """Whether two white-space characters follow each other."""
+    if "\t" in text or "\r" in text:
+        return bool(_SPACES.search(text))
+    return "  " in text or "\n\n" in text or " \n" in text or "\n " in text
 
 
 def _byte_letters() -> dict[int, int]:
@@ -37,16 +56,21 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in keep} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+def _packed(tokens: list) -> bytes:
+    ids = [t.id for t in tokens]
+    n = len(ids)
+    return _PACK[n](*ids) if n < 64 else struct.pack(f"<{n}I", *ids)
+
+
 class _Parts(dict):
     """Part of the split pattern -> its ids."""
 
     def __init__(self, model):
         super().__init__()
-        self.model, self.letters = model, _byte_letters()
+        self.tokenize, self.letters = model.tokenize, _byte_letters()
 
     def __missing__(self, part: str) -> bytes:
-        word = part.encode().decode("latin-1").translate(self.letters)
-        ids = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
+        ids = _packed(self.tokenize(part.encode().decode("latin-1").translate(self.letters)))
         if len(self) >= CACHE:
             self.clear()
         self[part] = ids
@@ -54,15 +78,32 @@ class _Parts(dict):
 
 
 class _Words(dict):
-    """Word after a space -> ids of the space and the word."""
+    """Word after ``lead`` -> ids of both; words used lately outlive a full cache."""
 
-    def __init__(self, parts: _Parts, pattern):
+    def __init__(self, parts: _Parts, pattern, lead: str):
         super().__init__()
-        self.parts, self.findall = parts, pattern.findall
+        self.parts, self.findall, self.lead, self.old = parts, pattern.findall, lead, {}
+        self.tokenize, self.letters = parts.tokenize, parts.letters
+        self.mapped = lead.translate(self.letters)
 
     def __missing__(self, word: str) -> bytes:
-        ids = b"".join([self.parts[p] for p in self.findall(" " + word)])
+        if word.isalpha():
+            ids = self.old.pop(word, None)
+            if ids is None:
+                # letters alone are one part
+                after = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = _packed(self.tokenize(self.mapped + after))
+        else:
+            stem = word.rstrip(punctuation)
+            if not stem.isalpha():
+                return b"".join([self.parts[p] for p in self.findall(self.lead + word)])
+            # marks after letters are a part of their own
+            known = stem in self
+            ids = self[stem] + self.parts[word[len(stem):]]
+            if not known:  # a rare word need not be kept with each of its marks
+                return ids
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
         self[word] = ids
         return ids
@@ -83,7 +124,8 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self.pattern = regex.compile(SPLIT)
         self.parts = _Parts(self.tokenizer.model)
-        self.words = _Words(self.parts, self.pattern)
+        self.words = _Words(self.parts, self.pattern, " ")
+        self.firsts = _Words(self.parts, self.pattern, "")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,15 +133,22 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_parts or _OTHER.search(text) or any(t in text for t in self.added):
+        if not self.by_parts or unusual(text) or any(t in text for t in self.added):
             return self.whole(text)
-        if _SPACES.search(text):
-            first, *rest = _BEFORE_SPACE.split(text)
-            rest = [x[1:] for x in rest]
-        else:
-            first, *rest = text.split(" ")
-        head = b"".join([self.parts[p] for p in self.pattern.findall(first)])
-        return head + b"".join(map(self.words.__getitem__, rest))
+        if spaced(text):
+            return b"".join([self._stretch(x) for x in _BEFORE_SPACE.split(text)])
+        return self.parts["\n"].join([self._line(x) for x in text.split("\n")])
+
+    def _stretch(self, text: str) -> bytes:
+        """Ids of what lies between two cuts of a text with runs of white space."""
+        if text[0] == " " and " " not in text[1:]:
+            return self.words[text[1:]]
+        return b"".join([self.parts[p] for p in self.pattern.findall(text)])
+
+    def _line(self, line: str) -> bytes:
+        """Ids of a line without runs of white space."""
+        first, *rest = line.split(" ")
+        return self.firsts[first] + b"".join(map(self.words.__getitem__, rest))
 
 
 @lru_cache(maxsize=2)
