@@ -200,7 +200,8 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     terms = list(dict.fromkeys(best + lengths))
     slots = F.array_intersect("terms", F.array(*[F.lit(t) for t in terms]))
     place = {t: i for i, t in enumerate(terms)}
-    data = [(r["y"], [place[t] for t in r["s"]]) for r in found.select("y", slots.alias("s")).orderBy("y", "s").collect()]
+    # at most fit_rows rows; sorted here, so the fit does not depend on the order they come in
+    data = sorted((r["y"], [place[t] for t in r["s"]]) for r in found.select("y", slots.alias("s")).collect())
     return fit(data, terms)
 
 
