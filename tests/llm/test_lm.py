@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from trendframe.llm import lm
+from trendframe.llm import lm, queries
 from trendframe.llm.common import shipped
 
 
@@ -95,6 +95,21 @@ def test_empty_table_and_no_training_rows(spark):
         (only, True, 3, 0, 0, 0.0, 0.0)]
 
 
+def test_registered_query_uses_contexts_of_two_words(spark, tmp_path):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a x b", "c x d"]) for _ in range(30)) for _ in range(300)]
+    frame(spark, [(k, t, 1, "b", "c") for k, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [r.score for r in queries.op1_lm_scoring(spark, str(tmp_path)).collect() if r.held_out]
+    # each triple is one free choice of two; a context of one word also has to guess the word after x
+    assert len(held) > 20 and np.mean(held) / 30 > -0.45
+
+
+def test_counts_survive_packing():
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(0, 1 << 63, 1000).astype(np.uint64), np.ones(3000, np.uint32), np.zeros(0, np.uint64)):
+        assert (lm.unplanes(lm.planes(x), x.dtype) == x).all()
+
+
 def test_null_ids_and_texts(spark):
     out = lm.score(frame(spark, [(None, "a a", 1, "", ""), (None, None, 1, "", ""), (3, "a", 1, "", "")])).collect()
     assert sorted((r.doc_id or -1, r.n_tokens) for r in out) == [(-1, 1), (-1, 3), (3, 2)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +59,18 @@ def released(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """Queries that run in here leave no shuffle files behind when they end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; for files, from their length. No job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

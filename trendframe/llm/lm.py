@@ -23,13 +23,15 @@ N-grams are identified by 64-bit hashes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import residue, staged
+from .common import residue, shuffles_dropped, staged
 
 #: Bytes of text in a block of documents, and per range of n-gram hashes.
 BLOCK_BYTES = 14 << 20
@@ -79,11 +81,13 @@ def grams(h: np.ndarray, first: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def planes(x: np.ndarray) -> bytes:
-    """The numbers' bytes, all lowest bytes first: small numbers compress well."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    """The numbers' bytes, all lowest bytes first, compressed; their size in 8 bytes ahead."""
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def unplanes(raw: bytes, kind) -> np.ndarray:
+def unplanes(packed: bytes, kind) -> np.ndarray:
+    raw = pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).reshape(-1)
 
@@ -110,7 +114,7 @@ class Block:
         for g in grams(h, self.first, order):
             known, at = np.unique(g, return_inverse=True)
             self.known.append(known)
-            self.at.append(at)
+            self.at.append(at.astype(np.int32))
         self.end = int(np.searchsorted(self.known[0], np.uint64(_END)))
         self.start_of_text = np.zeros(len(h), bool)
         self.start_of_text[self.first] = True
@@ -127,13 +131,13 @@ class Block:
         return out
 
 
-def _requests(order: int, n_ranges: int):
+def _requests(order: int, orders: range, n_ranges: int):
     def run(table: pa.Table) -> pa.Table:
         b = Block(table, order)
         train = b.by_token([r != HELD_OUT for r in b.residues])
         fold = b.by_token([r == EM_FOLD for r in b.residues])
         rows = []
-        for k in range(order):
+        for k in orders:
             n = len(b.known[k])
             c = np.bincount(b.at[k], train, n).astype(np.uint32)
             f = np.bincount(b.at[k], fold, n).astype(np.uint32)
@@ -273,17 +277,22 @@ def score(docs: DataFrame, order: int = 2, block_bytes: int = BLOCK_BYTES, range
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", r.cast("int").alias("r")).withColumn(
         "block", F.when(F.col("r") == EM_FOLD, -1 - F.pmod(mixed, F.lit(n_blocks // 6 + 1)))
         .otherwise(F.pmod(mixed, F.lit(n_blocks))))
-    asked = src.groupBy("block").applyInArrow(_requests(order, n_ranges), _ddl(REQUEST))
-    replies = staged(asked.groupBy("k", "r").applyInArrow(_reply, _ddl(REPLY)), "lm-counts")
-    n, n_fold, types = (int(x or 0) for x in replies.filter("block IS NULL").agg(
-        F.sum("n"), F.sum("n_fold"), F.sum("types")).first())
-    answers = replies.filter("block IS NOT NULL").select("block", "k", "r", "c", "f")
-    seen = (src.filter(F.col("r") == EM_FOLD).groupBy("block")
-            .cogroup(answers.filter("block < 0").groupBy("block"))
-            .applyInArrow(_evidence(order, n, n_fold), "code long, n long")
-            .groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow())  # bounded by the rounding
+    parts = []
+    with shuffles_dropped(docs.sparkSession):  # what these queries deal out is not read again
+        for orders in (range(order - 1), range(order - 1, order)):  # the highest order apart: it asks for the most
+            asked = src.groupBy("block").applyInArrow(_requests(order, orders, n_ranges), _ddl(REQUEST))
+            if orders:
+                parts.append(staged(asked.groupBy("k", "r").applyInArrow(_reply, _ddl(REPLY)), "lm-counts"))
+        replies = reduce(DataFrame.unionByName, parts)
+        n, n_fold, types = (int(x or 0) for x in replies.filter("block IS NULL").agg(
+            F.sum("n"), F.sum("n_fold"), F.sum("types")).first())
+        answers = replies.filter("block IS NOT NULL").select("block", "k", "r", "c", "f")
+        seen = (src.filter(F.col("r") == EM_FOLD).groupBy("block")
+                .cogroup(answers.filter("block < 0").groupBy("block"))
+                .applyInArrow(_evidence(order, n, n_fold), "code long, n long")
+                .groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").toArrow())  # bounded by the rounding
     weights = learn(seen["code"].to_numpy(), seen["n"].to_numpy(), order, types)
-    return src.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+    return src.groupBy("block").cogroup(answers.select("block", "k", "r", "c").groupBy("block")).applyInArrow(
         _scores(order, n, types, weights), _ddl(SCORES))
 
 

@@ -59,7 +59,7 @@ def op3_decontamination(spark, sf_dir):
 
 @register("op1_lm_scoring")
 def op1_lm_scoring(spark, sf_dir):
-    return lm.score(table(spark, sf_dir, "documents"), order=2)
+    return lm.score(table(spark, sf_dir, "documents"), order=3)
 
 
 #: A conversation that says what the template's own marks say.
