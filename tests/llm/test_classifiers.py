@@ -43,6 +43,38 @@ def test_machine_learns_pairs(spark, toxic_rows, monkeypatch):
     assert kept == {r.doc_id for r in toxicity.score(table, machine).collect() if not r.predicted}
 
 
+def test_machine_is_fitted_on_20000_rows(spark, monkeypatch):
+    seen = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda rows, *a: seen.append(len(rows)) or fit(rows[:50], *a))
+    table = docs(spark, [(k, f"word{k % 7}", "en", 0.0, 0) for k in range(28000)])
+    labels = spark.createDataFrame([(k, 1, int(k % 7 == 0)) for k in range(28000)], "doc_id long, quality int, toxic int")
+    toxicity.train(table, labels)
+    assert seen == [20000]
+
+
+def test_fit_steps_are_the_gradient_of_the_log_loss():
+    """One step of Adam moves every parameter against the sign of its numeric gradient."""
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.random() < 0.5), sorted(rng.choice(6, rng.integers(0, 5), replace=False).tolist())) for _ in range(30)]
+    start, after = (toxicity.fit(rows, list(range(6)), factors=2, steps=n, l2=0.0) for n in (0, 1))
+
+    def loss(m):
+        p = np.array([m.score(at) for _, at in rows])
+        return -np.mean([np.log(q if y else 1 - q) for (y, _), q in zip(rows, p)])
+
+    for a in ("w", "v"):
+        x, moved = getattr(start, a), getattr(after, a) - getattr(start, a)
+        for i in np.ndindex(x.shape):
+            was, h = x[i], 1e-5
+            x[i] = was + h
+            up = loss(start)
+            x[i] = was - h
+            g = (up - loss(start)) / (2 * h)
+            x[i] = was
+            assert abs(g) < 1e-6 or np.sign(moved[i]) == -np.sign(g)
+
+
 def test_reader_finds_what_fitting_saw():
     terms = {t: k for k, t in enumerate(toxicity.all_terms("Some some words, someone's words and é"))}
     machine = toxicity.Machine(terms, 0.0, np.zeros(len(terms)), np.zeros((len(terms), 2)))

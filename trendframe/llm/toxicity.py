@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import residue, staged
 
 #: Labelled rows the machine is fitted on at most.
-FIT_ROWS = 8_000
+FIT_ROWS = 20_000
 #: Hash space of terms; terms the machine keeps at most; factors of a term.
 SPACE = 1 << 24
 TERMS = 4096
@@ -140,24 +140,26 @@ def fit(rows: list[tuple[int, list[int]]], terms: list[int], factors: int = FACT
     m = {a: np.zeros_like(x) for a, x in par.items()}
     s = {a: np.zeros_like(x) for a, x in par.items()}
 
-    starts = np.cumsum(count) - count
-    some = count > 0  # reduceat needs rows with at least one term
+    some = np.flatnonzero(count)  # reduceat needs rows and terms that occur
+    starts = (np.cumsum(count) - count)[some]
+    by_term = np.argsort(at, kind="stable")
+    met, first = np.unique(at[by_term], return_index=True)
+    row_by_term = row[by_term]
 
-    def by_row(x):
-        out = np.zeros((n, x.shape[1]))
-        if some.any():
-            out[some] = np.add.reduceat(x, starts[some], axis=0)
+    def sums(x, which, cuts, size):
+        out = np.zeros((size, x.shape[1]))
+        if len(cuts):
+            out[which] = np.add.reduceat(x, cuts, axis=0)
         return out
 
     for step in range(1, steps + 1 if n and k else 1):
-        v = par["v"][at]
-        total = by_row(v)
-        z = par["w0"][0] + np.bincount(row, par["w"][at], n) + 0.5 * ((total ** 2).sum(1) - by_row(v * v).sum(1))
+        w, v = par["w"], par["v"]
+        total = sums(v[at], some, starts, n)
+        z = par["w0"][0] + np.bincount(row, (w - 0.5 * (v * v).sum(1))[at], n) + 0.5 * (total ** 2).sum(1)
         err = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / n
-        e = err[row]
-        gv = e[:, None] * (total[row] - v)
-        grad = {"w0": np.array([err.sum()]), "w": np.bincount(at, e, k) + l2 / n * par["w"],
-                "v": np.stack([np.bincount(at, gv[:, f], k) for f in range(factors)], 1) + l2 * par["v"]}
+        gw = np.bincount(at, err[row], k)
+        gv = sums((err[:, None] * total)[row_by_term], met, first, k) - gw[:, None] * v
+        grad = {"w0": np.array([err.sum()]), "w": gw + l2 / n * w, "v": gv + l2 * v}
         for a, g in grad.items():
             m[a] = 0.9 * m[a] + 0.1 * g
             s[a] = 0.999 * s[a] + 0.001 * g * g
