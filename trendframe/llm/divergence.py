@@ -32,7 +32,7 @@ SLICE_BYTES = 16 << 20
 #: Bytes of a term compared by words; what is left of longer terms is compared whole.
 WORD_BYTES = 64
 #: Terms and sources of one dense table.
-BLOCK_TERMS, BLOCK_SOURCES = 4096, 128
+BLOCK_TERMS, BLOCK_SOURCES = 512, 128
 
 
 def term_pointers(data: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
