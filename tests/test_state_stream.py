@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 
 
 from trendframe.streaming.state import cooldown, cooldown_stream, first_seen, history_stream
@@ -28,43 +29,93 @@ def _collect(df, name):
     return q
 
 
+END = ("z", 99, dt.datetime(2024, 3, 1), 0.0)  # moves the watermark past all other rows
+
+
+def _files(spark, tmp, rows, each):
+    """One file of ``each`` rows after the other, in the order given."""
+    src = os.path.join(tmp, "src")
+    for i in range(0, len(rows), each):
+        spark.createDataFrame(rows[i:i + each], SCHEMA).coalesce(1).write.mode("append").parquet(src)
+    return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+
+
+def _hot(n=400, late=25):
+    """Rows in near time order: key ``a`` has a third of them, others few; no row is later than ``late`` minutes."""
+    rng = random.Random(4)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a" if rng.random() < 0.34 else f"k{rng.randrange(20)}", i, t0 + dt.timedelta(seconds=150 * i), float(i)) for i in range(n)]
+    return sorted(rows, key=lambda r: r[2] + dt.timedelta(minutes=rng.uniform(0, late)))
+
+
 def test_cooldown_stream_equals_batch(spark, tmpdir_path):
     rows = _rows(dt.datetime(2024, 1, 1))
-    q = _collect(cooldown_stream(_stream(spark, tmpdir_path, rows), "key", "ts", 600), "cool_s")
+    q = _collect(cooldown_stream(_stream(spark, tmpdir_path, rows + [END]), "key", "ts", 600), "cool_s")
     got = sorted(r.id for r in spark.sql("SELECT id FROM cool_s").collect())
     want = sorted(r.id for r in cooldown(spark.createDataFrame(rows, SCHEMA), "key", "ts", 600).collect())
     assert got == want == [0, 2, 4, 6, 7]
     q.stop()
 
 
+def test_cooldown_starts_from_a_table(spark, tmpdir_path):
+    t0 = dt.datetime(2024, 1, 1)
+    start = spark.createDataFrame([("a", t0 - dt.timedelta(seconds=1)), ("c", t0)], "key string, last timestamp")
+    q = _collect(cooldown_stream(_stream(spark, tmpdir_path, _rows(t0) + [END]), "key", "ts", 600, initial=start), "cool_i")
+    assert sorted(r.id for r in spark.table("cool_i").collect()) == [1, 3, 5, 6, 7]
+    q.stop()
+
+
+def _prior(rows, n):
+    out = {}
+    for key in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == key), key=lambda r: r[2:0:-1])
+        out |= {r[1]: [x[3] for x in own[max(0, k - n):k]] for k, r in enumerate(own)}
+    return out
+
+
 def test_history_stream(spark, tmpdir_path):
     rows = _rows(dt.datetime(2024, 1, 1))
-    q = _collect(history_stream(_stream(spark, tmpdir_path, rows), "key", "ts", ["x"], n=2), "hist_s")
-    got = {r.id: r.prior_x for r in spark.sql("SELECT id, prior_x FROM hist_s").collect()}
-    assert got[0] == [] and got[1] == [0.0] and got[2] == [0.0, 1.0] and got[3] == [1.0, 2.0]
+    q = _collect(history_stream(_stream(spark, tmpdir_path, rows + [END]), "key", "ts", ["x"], n=2), "hist_s")
+    assert {r.id: r.prior_x for r in spark.table("hist_s").collect()} == _prior(rows, 2)
     q.stop()
 
 
+def test_hot_key_out_of_order_and_restart(spark, tmpdir_path, monkeypatch):
+    from trendframe.streaming import ordered
+    monkeypatch.setattr(ordered, "CHUNK", 3)
+    rows = _hot()
+    head, tail = rows[:250], rows[250:] + [END]
+    want = sorted((r.key, r.id) for r in cooldown(spark.createDataFrame(rows, SCHEMA), "key", "ts", 600, tie="id").collect())
+    out = {name: os.path.join(tmpdir_path, name) for name in ("cool", "hist")}
+    for part in (head, tail):  # the second run goes on from the first one's state
+        feed = _files(spark, tmpdir_path, part, 60)
+        for name, df in (("cool", cooldown_stream(feed, "key", "ts", 600, tie="id")),
+                         ("hist", history_stream(feed, "key", "ts", ["x"], n=3, tie="id"))):
+            q = (df.writeStream.format("parquet").option("path", out[name]).outputMode("append").trigger(availableNow=True)
+                 .option("checkpointLocation", out[name] + "-state").start())
+            q.awaitTermination(600)
+            assert q.exception() is None
+    assert sorted((r.key, r.id) for r in spark.read.parquet(out["cool"]).collect()) == want
+    assert {r.id: r.prior_x for r in spark.read.parquet(out["hist"]).collect()} == _prior(rows, 3)
+
+
 def test_state_does_not_depend_on_how_arrow_cuts_a_batch(spark, tmpdir_path):
     t0 = dt.datetime(2024, 1, 1)
     rows = [("a", i, t0 + dt.timedelta(seconds=600 * i), float(i)) for i in (5, 2, 0, 4, 1, 3)]
     rows += [("b", i, t0 + dt.timedelta(seconds=299 * i), float(i)) for i in (9, 6, 8, 7)]
     src = os.path.join(tmpdir_path, "src")
-    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(src)
+    spark.createDataFrame(rows + [END], SCHEMA).coalesce(1).write.parquet(src)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
         read = spark.readStream.schema(SCHEMA).parquet(src)
         q = _collect(cooldown_stream(read, "key", "ts", 600), "cool_cut")
-        q2 = _collect(history_stream(read, "key", "ts", ["x"], n=2), "hist_cut")
         want = sorted((r.key, r.id) for r in cooldown(spark.createDataFrame(rows, SCHEMA), "key", "ts", 600).collect())
         assert sorted((r.key, r.id) for r in spark.table("cool_cut").collect()) == want
         assert want == [("a", i) for i in range(6)] + [("b", 6), ("b", 9)]
-        assert {(r.key, r.id): r.prior_x for r in spark.table("hist_cut").collect()}[("a", 5)] == [3.0, 4.0]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     q.stop()
-    q2.stop()
 
 
 def test_first_seen_emits_a_key_once_for_good(spark, tmpdir_path):

@@ -1,11 +1,10 @@
 """Keyed state operators (T5, T7, T8) - streaming form and batch twin.
 
 Streaming forms use Structured Streaming's own state: ``dropDuplicates`` for
-first-seen, and ``applyInPandasWithState`` (state in the configured state
-store, RocksDB by default here) for the bounded history and the cooldown. A
-key's rows of one micro-batch are put in time order before they are used,
-however Arrow has cut them, and state expires by event time. Batch twins give
-the same rows for a whole table and are what the SQL oracle checks.
+first-seen, and ``transformWithState`` (RocksDB) for the bounded history and
+the cooldown, through :mod:`trendframe.streaming.ordered`: typed state, event
+time timers, rows in time order whatever order they arrive in. Batch twins
+give the same rows for a whole table and are what the SQL oracle checks.
 """
 
 from __future__ import annotations
@@ -13,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.rank import top_per_key
+from .ordered import in_order
 
 
 # ----------------------------------------------------------------------- T7
@@ -89,83 +88,69 @@ def cooldown(df: DataFrame, key: str, ts: str, seconds: int = 600,
     return dealt.mapInArrow(run, df.schema)
 
 
-def _in_order(pdfs, order: Sequence[str]) -> pd.DataFrame:
-    """All of a key's rows of a micro-batch, by time."""
-    return pd.concat(list(pdfs)).sort_values(list(order), kind="mergesort")
+class _CooldownStep:
+    """Carries the last pass time of a key, in microseconds."""
+
+    def __init__(self, names: Sequence[str], seconds: int):
+        self.names, self.gap = list(names), seconds * 1_000_000
+
+    def __call__(self, carried, rows):
+        last = carried[0] if carried else None
+        out = []
+        for r in rows:
+            if last is None or r["__us"] >= last + self.gap:
+                last = r["__us"]
+                out.append(Row(**{c: r[c] for c in self.names}))
+        return (last,), out, (last + self.gap) // 1000 + 1
 
 
 def cooldown_stream(df: DataFrame, key: str, ts: str, seconds: int = 600, delay: str = "1 hour",
-                    tie: str | None = None) -> DataFrame:
+                    tie: str | None = None, initial: DataFrame | None = None) -> DataFrame:
     """T8 streaming: the same rule with the last pass time held as keyed state.
 
-    Rows later than ``delay`` are dropped by the watermark; a key's state goes
-    when the watermark has passed the end of its cooldown.
+    A key's rows are judged in time order once the watermark has passed them
+    (:mod:`trendframe.streaming.ordered`), so the result is the batch twin's
+    over the rows passed, however the stream is cut. Rows later than ``delay``
+    are dropped; a key's last pass is forgotten when its cooldown is over.
+    ``initial`` (``key, last``) has passes from before the stream.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    schema = df.schema
-    limit = pd.Timedelta(seconds=seconds)
-    order = [ts] + ([tie] if tie else [])
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _in_order(pdfs, order)
-        times = rows[ts].to_numpy().astype("datetime64[us]").astype(np.int64)
-        first = int(np.searchsorted(times, state.get[0] + seconds * 1_000_000, "left")) if state.exists else 0
-        found = first + passes(times[first:], seconds * 1_000_000)
-        if len(found):
-            state.update((int(times[found[-1]]),))
-        until = state.get[0] // 1000 + int(limit.total_seconds() * 1000)
-        if until > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(until)
-        else:
-            state.remove()
-        yield rows.iloc[found][schema.fieldNames()]
-
-    return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
-        fn, schema, T.StructType([T.StructField("last", T.LongType())]), "append",
-        GroupStateTimeout.EventTimeTimeout)
+    if initial is not None:
+        us = F.unix_micros(F.col("last").cast("timestamp"))
+        initial = initial.select(key, us.alias("last"), F.floor((us + seconds * 1_000_000) / 1000 + 1).cast("long").alias("until_ms"))
+    return in_order(df, key, [ts] + ([tie] if tie else []), delay, df.schema, T.StructType([T.StructField("last", T.LongType())]),
+                    _CooldownStep(df.columns, seconds), initial)
 
 
 # ----------------------------------------------------------------------- T5
 
+class _HistoryStep:
+    """Carries the last ``n`` values of each column."""
+
+    def __init__(self, names, cols, n: int, keep_days: int):
+        self.names, self.cols, self.n, self.keep_ms = list(names), list(cols), n, keep_days * 86_400_000
+
+    def __call__(self, carried, rows):
+        seen = [list(x) for x in carried] if carried else [[] for _ in self.cols]
+        out = []
+        for r in rows:
+            out.append(Row(**{c: r[c] for c in self.names}, **{f"prior_{c}": list(h) for c, h in zip(self.cols, seen)}))
+            seen = [(h + [None if r[c] is None else float(r[c])])[-self.n:] for c, h in zip(self.cols, seen)]
+        return tuple(seen), out, rows[-1]["__us"] // 1000 + self.keep_ms
+
+
 def history_stream(df: DataFrame, key: str, ts: str, cols: Sequence[str], n: int = 5,
                    keep_days: int = 30, delay: str = "1 hour", tie: str | None = None) -> DataFrame:
     """T5 streaming: per key, the previous ``n`` rows' values (oldest first)
     attached to each new row, from keyed state bounded to ``n`` entries.
 
     Output adds ``prior_<col>`` arrays; the batch twin is a window frame
-    ``rowsBetween(-n, -1)`` (see :mod:`trendframe.operators.windows`). Rows
-    later than ``delay`` are dropped; the history of a key that has been quiet
-    for ``keep_days`` is forgotten.
+    ``rowsBetween(-n, -1)`` (see :mod:`trendframe.operators.windows`). A key's
+    rows are taken in time order once the watermark has passed them
+    (:mod:`trendframe.streaming.ordered`). Rows later than ``delay`` are
+    dropped; the history of a key that has been quiet for ``keep_days`` is
+    forgotten.
     """
-    from pyspark.sql.streaming.state import GroupStateTimeout
-
-    cols = list(cols)
-    order = [ts] + ([tie] if tie else [])
-    out_schema = T.StructType(list(df.schema.fields) +
-                              [T.StructField(f"prior_{c}", T.ArrayType(T.DoubleType())) for c in cols])
-    st_schema = T.StructType([T.StructField(f"h_{c}", T.ArrayType(T.DoubleType())) for c in cols] +
-                             [T.StructField("last", T.LongType())])
-
-    def fn(k, pdfs, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = _in_order(pdfs, order)
-        last = int(rows[ts].to_numpy().astype("datetime64[ms]").astype(np.int64)[-1])
-        kept = []
-        for i, c in enumerate(cols):
-            seen = (list(state.get[i]) if state.exists else []) + rows[c].astype(float).tolist()
-            old = len(seen) - len(rows)
-            rows[f"prior_{c}"] = [seen[max(0, old + r - n):old + r] for r in range(len(rows))]
-            kept.append(seen[-n:])
-        state.update((*kept, max(last, state.get[-1] if state.exists else last)))
-        until = state.get[-1] + keep_days * 86_400_000
-        state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
-        yield rows[out_schema.fieldNames()]
-
-    return df.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
-        fn, out_schema, st_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    arrays = T.ArrayType(T.DoubleType())
+    out = T.StructType(list(df.schema.fields) + [T.StructField(f"prior_{c}", arrays) for c in cols])
+    carried = T.StructType([T.StructField(f"h_{c}", arrays) for c in cols])
+    return in_order(df, key, [ts] + ([tie] if tie else []), delay, out, carried, _HistoryStep(df.columns, cols, n, keep_days))
