@@ -7,7 +7,7 @@ learn. The order per row is fixed here (upstream depends on a third-party
 library whose internal order is not in the tree):
 
 1. scale ``x`` with the running mean / standard deviation (0 where the
-   deviation is 0) and predict ``w . x_s + b``;
+   deviation is ``FLAT`` or less) and predict ``w . x_s + b``;
 2. update the running moments with ``x`` (Welford);
 3. re-scale ``x`` with the new moments and take one gradient step on the
    half squared error: ``w -= lr * ((p - y) * x_s + l2 * w)``,
@@ -36,6 +36,8 @@ from pyspark.sql import types as T
 
 LR = 0.01
 L2 = 0.001
+#: A standard deviation up to which a feature has not varied (sums in another order differ by less).
+FLAT = 1e-9
 
 
 def sgd_prequential(X: np.ndarray, y: np.ndarray, lr: float = LR, l2: float = L2):
@@ -47,14 +49,14 @@ def sgd_prequential(X: np.ndarray, y: np.ndarray, lr: float = LR, l2: float = L2
     for i in range(n):
         x = X[i]
         sd = np.sqrt(m2 / cnt) if cnt > 0 else np.zeros(k)
-        xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > 0)
+        xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > FLAT)
         preds[i] = float(w @ xs + b)
         cnt += 1
         delta = x - mean
         mean = mean + delta / cnt
         m2 = m2 + delta * (x - mean)
         sd = np.sqrt(m2 / cnt)
-        xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > 0)
+        xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > FLAT)
         err = float(w @ xs + b) - y[i]
         w = w - lr * (err * xs + l2 * w)
         b = b - lr * err
@@ -90,10 +92,43 @@ def scan_sorted(df: DataFrame, key: str, order: Sequence[str], step, schema: T.S
     return srt.mapInPandas(run, schema)
 
 
+def learner_step(st: dict | None, x: Sequence, y, lr: float = LR, l2: float = L2) -> tuple[dict, list]:
+    """One row through one model: predict, measure, learn.
+
+    ``st`` is the model with its running sums (None: a new one); a missing
+    value counts as 0. Returns the new state and ``[actual, prediction, error,
+    mae, rmse, r2]``, the last None while the target has not varied.
+    """
+    x = np.array([0.0 if v is None or v != v else float(v) for v in x])
+    y = 0.0 if y is None or y != y else float(y)
+    k = len(x)
+    if st is None:
+        st = {"n": 0, "mean": np.zeros(k), "m2": np.zeros(k), "w": np.zeros(k), "b": 0.0, "ae": 0.0, "se": 0.0,
+              "y_mean": 0.0, "y_m2": 0.0}
+    n, mean, m2, w, b = st["n"], st["mean"], st["m2"], st["w"], st["b"]
+    sd = np.sqrt(m2 / n) if n > 0 else np.zeros(k)
+    xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > FLAT)
+    p = float(w @ xs + b)
+    n += 1
+    delta = x - mean
+    mean = mean + delta / n
+    m2 = m2 + delta * (x - mean)
+    sd = np.sqrt(m2 / n)
+    xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > FLAT)
+    e = float(w @ xs + b) - y
+    err = abs(y - p)
+    ae, se = st["ae"] + err, st["se"] + err * err
+    y_mean = st["y_mean"] + (y - st["y_mean"]) / n
+    y_m2 = st["y_m2"] + (y - st["y_mean"]) * (y - y_mean)
+    new = {"n": n, "mean": mean, "m2": m2, "w": w - lr * (e * xs + l2 * w), "b": b - lr * e, "ae": ae, "se": se,
+           "y_mean": y_mean, "y_m2": y_m2}
+    return new, [y, p, err, ae / n, float(np.sqrt(se / n)), 1.0 - se / y_m2 if y_m2 > n * FLAT ** 2 else None]
+
+
 def prequential_per_key(df: DataFrame, key: str, order: Sequence[str], features: Sequence[str],
                         target: str, lr: float = LR, l2: float = L2, carry: Sequence[str] = ()) -> DataFrame:
     """T6 (b): one prequential model per key; returns the key/order columns
-    with ``actual``, ``prediction``, ``error`` and the running ``mae``, ``rmse``.
+    with ``actual``, ``prediction``, ``error`` and the running ``mae``, ``rmse``, ``r2``.
 
     ``carry`` lists further columns that go through with their row, so nothing
     has to be joined back. ``order`` should name a row within its key.
@@ -102,33 +137,12 @@ def prequential_per_key(df: DataFrame, key: str, order: Sequence[str], features:
     at a time (``O(features)``)."""
     feats, order = list(features), list(order)
     keep = list(dict.fromkeys([key, *order, *carry]))
-    k = len(feats)
     schema = T.StructType([df.schema[c] for c in keep] + [
-        T.StructField(c, T.DoubleType()) for c in ("actual", "prediction", "error", "mae", "rmse")])
+        T.StructField(c, T.DoubleType()) for c in ("actual", "prediction", "error", "mae", "rmse", "r2")])
 
     def step(st, r):
-        if st is None:
-            st = {"mean": np.zeros(k), "m2": np.zeros(k), "n": 0, "w": np.zeros(k), "b": 0.0,
-                  "ae": 0.0, "se": 0.0}
-        x = np.array([0.0 if r[c] is None or r[c] != r[c] else float(r[c]) for c in feats])
-        y = 0.0 if r[target] is None or r[target] != r[target] else float(r[target])
-        n, mean, m2, w, b = st["n"], st["mean"], st["m2"], st["w"], st["b"]
-        sd = np.sqrt(m2 / n) if n > 0 else np.zeros(k)
-        xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > 0)
-        p = float(w @ xs + b)
-        n += 1
-        delta = x - mean
-        mean = mean + delta / n
-        m2 = m2 + delta * (x - mean)
-        sd = np.sqrt(m2 / n)
-        xs = np.divide(x - mean, sd, out=np.zeros(k), where=sd > 0)
-        e = float(w @ xs + b) - y
-        w = w - lr * (e * xs + l2 * w)
-        b = b - lr * e
-        err = abs(y - p)
-        ae, se = st["ae"] + err, st["se"] + err * err
-        st = {"mean": mean, "m2": m2, "n": n, "w": w, "b": b, "ae": ae, "se": se}
-        return st, [*(r[c] for c in keep), y, p, err, ae / n, float(np.sqrt(se / n))]
+        st, out = learner_step(st, [r[c] for c in feats], r[target], lr, l2)
+        return st, [*(r[c] for c in keep), *out]
 
     cols = list(dict.fromkeys([*keep, *feats, target]))
     return scan_sorted(df.select(*cols), key, order, step, schema)
@@ -137,7 +151,7 @@ def prequential_per_key(df: DataFrame, key: str, order: Sequence[str], features:
 def running_metrics(df: DataFrame, key: str | None, order: Sequence[str], y: str, yhat: str) -> DataFrame:
     """A9 running form: cumulative MAE, RMSE and R2 in ``order`` (per ``key`` if given).
 
-    R2 is NULL while the target has not varied.
+    R2 is NULL while the target has not varied (a variance of 1e-9 or less).
     """
     from pyspark.sql import Window
     w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(*order) \
@@ -146,7 +160,7 @@ def running_metrics(df: DataFrame, key: str | None, order: Sequence[str], y: str
     spread = F.var_pop(y).over(w)
     return df.withColumn("running_mae", F.avg(F.abs(e)).over(w)) \
              .withColumn("running_rmse", F.sqrt(F.avg(e * e).over(w))) \
-             .withColumn("running_r2", F.when(spread > 0, 1.0 - F.avg(e * e).over(w) / spread))
+             .withColumn("running_r2", F.when(spread > 1e-9, 1.0 - F.avg(e * e).over(w) / spread))
 
 
 # ------------------------------------------------------------ global model
@@ -166,7 +180,7 @@ def minibatch_step(batch: DataFrame, features: Sequence[str], target: str, state
     sd = np.sqrt(m2 / n0) if n0 > 0 else np.zeros(k)
 
     def scaled(c, i, mu, s):
-        return ((value(c) - float(mu[i])) / float(s[i])) if s[i] > 0 else F.lit(0.0)
+        return ((value(c) - float(mu[i])) / float(s[i])) if s[i] > FLAT else F.lit(0.0)
 
     def value(c):  # a missing feature counts as 0
         return F.coalesce(F.col(c).cast("double"), F.lit(0.0))
@@ -245,7 +259,7 @@ def minibatch_history(df: DataFrame, batch: str, features: Sequence[str], target
         mean = mean + (m - mean) * nb / total
         n = total
         sd = np.sqrt(m2 / n)
-        inv = np.divide(1.0, sd, out=np.zeros(k), where=sd > 0)
+        inv = np.divide(1.0, sd, out=np.zeros(k), where=sd > FLAT)
         off = m - mean
         second = (cov + np.outer(off, off)) * np.outer(inv, inv)           # mean of xs_i * xs_j
         with_y = (np.array([got[f"y{i}"] for i in range(k)]) + got["y"] * off) * inv
@@ -258,5 +272,5 @@ def minibatch_history(df: DataFrame, batch: str, features: Sequence[str], target
     pred = F.col("__b")
     for i, a in enumerate(x):
         scale = F.element_at("__sd", i + 1)
-        pred = pred + F.when(scale > 0, F.element_at("__w", i + 1) * (a - F.element_at("__mean", i + 1)) / scale).otherwise(0.0)
+        pred = pred + F.when(scale > FLAT, F.element_at("__w", i + 1) * (a - F.element_at("__mean", i + 1)) / scale).otherwise(0.0)
     return joined.withColumn("prediction", pred).select(*df.columns, "prediction")

@@ -58,6 +58,6 @@ def online_learning(trends: DataFrame, key: str = "movie_title", ts: str = "wind
     preds = prequential_per_key(f, key, [ts, ident], TREND_FEATURES, "trend_score", carry=TREND_FEATURES)
     fmap = F.create_map(*[x for c in TREND_FEATURES for x in (F.lit(c), F.col(c).cast("double"))])
     return preds.select(
-        key, F.col(ts).alias("timestamp"), F.col("actual").alias("actual_trend_score"),
+        key, ident, F.col(ts).alias("timestamp"), F.col("actual").alias("actual_trend_score"),
         F.col("prediction").alias("predicted_trend_score"), F.col("error").alias("prediction_error"),
-        F.lit(model_version).alias("model_version"), fmap.alias("features"), "mae", "rmse")
+        F.lit(model_version).alias("model_version"), fmap.alias("features"), "mae", "rmse", "r2")

@@ -12,6 +12,7 @@ from ..schemas import CATALOGUE, DISCUSSION_SCORED, RATINGS_TSV
 from ..session import checkpoint_dir, stream_checkpoint
 from ..sources import testbed as tb
 from ..sources.io import read_tsv
+from ..streaming.online import start_online_learning
 from ..streaming.pipeline import read_feed, start_trend_job
 from ..streaming.state import cooldown_stream, first_seen, history_stream
 from . import ntz, register, rounded
@@ -84,6 +85,25 @@ def _arriving(df: DataFrame, ts: str, name: str, stream) -> DataFrame:
     return spark.read.schema(made.schema).parquet(out)
 
 
+def _learned_sql() -> str:
+    from . import REGISTRY
+    last = " - INTERVAL 10 MINUTE >= \"timestamp\" + INTERVAL 1 DAY"
+    newest = ", ".join(f"(SELECT max(ts) FROM events WHERE event_type = '{kind}')" for kind in ("view", "click"))
+    return f"SELECT * FROM ({REGISTRY['online_learning'][1]}) WHERE least({newest}){last}"
+
+
+@register("online_learning_stream", _learned_sql())
+def q_online_learning_stream(spark, d):
+    """C8 as one streaming query from both feeds into the keyed table of predictions: all closed windows."""
+    from .q_learning import _flat
+
+    table = _folder(spark, "predictions")
+    start_online_learning(spark, _json_feed(tb.catalogue(spark, d), "catalogue", CATALOGUE),
+                          _json_feed(tb.discussion(spark, d), "discussion", DISCUSSION_SCORED), table,
+                          name=f"learn-{uuid.uuid4().hex}", size="1 day", slide="6 hours", delay="10 minutes").awaitTermination()
+    return _flat(spark.read.parquet(table))
+
+
 def _views(spark, d):
     c = tb.catalogue(spark, d)
     return c.select("title", "event_id", F.col("event_time").cast("timestamp").alias("event_time"), "popularity")
