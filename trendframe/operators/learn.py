@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scan import running_sums
+
 LR = 0.01
 L2 = 0.001
 #: A standard deviation up to which a feature has not varied (sums in another order differ by less).
@@ -152,15 +154,26 @@ def running_metrics(df: DataFrame, key: str | None, order: Sequence[str], y: str
     """A9 running form: cumulative MAE, RMSE and R2 in ``order`` (per ``key`` if given).
 
     R2 is NULL while the target has not varied (a variance of 1e-9 or less).
+    Over all rows the sums are scanned in parallel
+    (:func:`trendframe.operators.scan.running_sums`); ``order`` names a row.
     """
     from pyspark.sql import Window
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(*order) \
-        .rowsBetween(Window.unboundedPreceding, 0)
     e = F.col(y) - F.col(yhat)
-    spread = F.var_pop(y).over(w)
-    return df.withColumn("running_mae", F.avg(F.abs(e)).over(w)) \
-             .withColumn("running_rmse", F.sqrt(F.avg(e * e).over(w))) \
-             .withColumn("running_r2", F.when(spread > 1e-9, 1.0 - F.avg(e * e).over(w) / spread))
+    if key:
+        w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        mae, mse, spread = F.avg(F.abs(e)).over(w), F.avg(e * e).over(w), F.var_pop(y).over(w)
+        rows = df
+    else:
+        # sums of the target's distance from its mean: squares stay small
+        centre = df.agg(F.avg(y)).first()[0] or 0.0
+        off = F.col(y) - F.lit(float(centre))
+        rows = running_sums(df, [], order, {"__n": F.col(y).isNotNull().cast("long"), "__ae": F.abs(e), "__se": e * e,
+                                            "__y": off, "__yy": off * off})
+        n = F.col("__n")
+        mae, mse = F.try_divide("__ae", n), F.try_divide("__se", n)
+        spread = F.try_divide("__yy", n) - F.try_divide("__y", n) * F.try_divide("__y", n)
+    return rows.select(*df.columns, mae.alias("running_mae"), F.sqrt(mse).alias("running_rmse"),
+                       F.when(spread > 1e-9, 1.0 - mse / spread).alias("running_r2"))
 
 
 # ------------------------------------------------------------ global model

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clean as C
-from ..operators.drift import drift
+from ..operators.drift import distribution_drift, drift
 from ..sources import io
 from ..sources import testbed as tb
 from . import ntz, register, rounded
@@ -168,10 +168,47 @@ FROM p LEFT JOIN (
 GROUP BY p.event_type, o.n_current, o.null_rate, o.outliers""")
 def q_drift(spark, d):
     """Value drift per event type, last 24 h against the 24 h before."""
+    return rounded(drift(*_days(spark, d), "value", ["event_type"]))
+
+
+def _days(spark, d):
+    """The 24 hours before the last and the last 24 hours of events."""
     ev = tb.table(spark, d, "events")
     now = F.lit(tb.NOW).cast("timestamp_ntz")
     day = F.expr("INTERVAL 24 HOURS")
-    ref = ev.filter((F.col("ts") >= now - day - day) & (F.col("ts") < now - day))
-    cur = ev.filter(F.col("ts") >= now - day)
-    return rounded(drift(ref, cur, "value", ["event_type"]))
-
+    return ev.filter((F.col("ts") >= now - day - day) & (F.col("ts") < now - day)), ev.filter(F.col("ts") >= now - day)
+
+
+def _distribution_sql(ref: str, cur: str, key: str) -> str:
+    return f"""
+WITH ref AS ({ref}), cur AS ({cur}),
+x AS (SELECT k, v, sum(r) AS r, sum(c) AS c FROM (SELECT k, v, 1 AS r, 0 AS c FROM ref UNION ALL SELECT k, v, 0, 1 FROM cur)
+      WHERE v IS NOT NULL GROUP BY k, v),
+s AS (SELECT k, abs(sum(r) OVER w / nullif(sum(r) OVER (PARTITION BY k), 0) - sum(c) OVER w / nullif(sum(c) OVER (PARTITION BY k), 0)) AS d
+      FROM x WINDOW w AS (PARTITION BY k ORDER BY v)),
+q AS (SELECT k, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3, count(v) AS n FROM ref GROUP BY k),
+o AS (SELECT cur.k, count(v) AS n, count(*) FILTER (WHERE v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS far
+      FROM cur LEFT JOIN q ON q.k = cur.k GROUP BY cur.k)
+SELECT {key}n_reference, n_current, round(ks, 6) AS ks, round(q1, 6) AS q1, round(q3, 6) AS q3, iqr_outliers
+FROM (SELECT s.k, any_value(q.n) AS n_reference, any_value(o.n) AS n_current, max(d) AS ks, any_value(q1) AS q1, any_value(q3) AS q3,
+             any_value(far) AS iqr_outliers FROM s JOIN q ON q.k = s.k JOIN o ON o.k = s.k GROUP BY s.k)"""
+
+
+_EVENT_DAYS = [f"SELECT {{key}} AS k, value AS v FROM events WHERE ts >= TIMESTAMP '{tb.NOW}' - INTERVAL {a} HOUR{b}"
+               for a, b in ((48, f" AND ts < TIMESTAMP '{tb.NOW}' - INTERVAL 24 HOUR"), (24, ""))]
+
+
+@register("drift_distribution", _distribution_sql(*[x.format(key="event_type") for x in _EVENT_DAYS], "k AS event_type, "))
+def q_drift_distribution(spark, d):
+    """Kolmogorov-Smirnov distance and quartile outliers per event type, last 24 h against the 24 h before."""
+    return rounded(distribution_drift(*_days(spark, d), "value", ["event_type"]))
+
+
+@register("drift_distribution_global", _distribution_sql(
+    "SELECT 1 AS k, l_extendedprice AS v FROM lineitem WHERE l_returnflag <> 'R'",
+    "SELECT 1 AS k, l_extendedprice AS v FROM lineitem WHERE l_returnflag = 'R'", ""))
+def q_drift_distribution_global(spark, d):
+    """The same over one group that holds a whole table (prices of items sent back against all others)."""
+    li = tb.table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
+    back = F.col("l_returnflag") == "R"
+    return rounded(distribution_drift(li.filter(~back), li.filter(back), "l_extendedprice"))

@@ -93,6 +93,19 @@ def q_running_metrics(spark, d):
     return rounded(r.select("movie_title", "window_start", "running_mae", "running_rmse", "running_r2"))
 
 
+@register("running_metrics_all", with_trends(f"""
+SELECT movie_title, movie_id, window_start,
+       round(avg(abs(e)) OVER w, 6) AS running_mae, round(sqrt(avg(e * e) OVER w), 6) AS running_rmse,
+       round(CASE WHEN var_pop(trend_score) OVER w > 1e-9 THEN 1.0 - avg(e * e) OVER w / var_pop(trend_score) OVER w END, 6) AS running_r2
+FROM (SELECT *, trend_score - {sround('trend_score * 0.95', 2)} AS e FROM trends)
+WINDOW w AS (ORDER BY window_start, movie_title, movie_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""))
+def q_running_metrics_all(spark, d):
+    """A9 running form over all titles in one sequence, scanned in parallel."""
+    t = trends(spark, d).withColumn("prediction", F.round(F.col("trend_score") * 0.95, 2))
+    r = running_metrics(t, None, ["window_start", "movie_title", "movie_id"], "trend_score", "prediction")
+    return rounded(r.select("movie_title", "movie_id", "window_start", "running_mae", "running_rmse", "running_r2"))
+
+
 #: Trend rows with the learner's features in the order of TREND_FEATURES as one list.
 _ROWS = """
 rws AS (SELECT movie_title, movie_id, window_start, window_end, trend_score AS y, row_number() OVER w AS i, [
