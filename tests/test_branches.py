@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 from trendframe.sources import testbed as tb
+from trendframe.suite import q_retrieval
 
 SF = "/root/testdata/sf0.01"
 
@@ -13,13 +14,26 @@ def rows(spark, name):
 
 
 @pytest.mark.parametrize("name,table", [
-    ("publish_gate", "documents"), ("index_filter", "documents"), ("quality_filter", "documents"),
-    ("topic_filter", "conversations"), ("drop_unknown", "documents"), ("require_id", "pages")])
+    ("index_filter", "documents"), ("quality_filter", "documents"), ("topic_filter", "conversations")])
 def test_filters_drop_some_rows_and_keep_some(spark, name, table):
     n = tb.table(spark, SF, table).count()
     assert 0 < len(rows(spark, name)) < n
 
 
+def test_every_own_row_is_used_whole_and_derived_ones_are_dropped(spark):
+    count = {t: tb.table(spark, SF, t).count() for t in ("documents", "conversations", "part", "pages", "events")}
+    kinds = [r.kind for r in rows(spark, "publish_gate")]
+    assert kinds.count("document") > 0.9 * count["documents"] and kinds.count("title") < count["part"]
+    assert sorted(r.page_id for r in rows(spark, "require_id")) == list(range(count["pages"]))
+    decoded = rows(spark, "decode_json")
+    assert sum(r.event_id >= 0 and r.corrupt is None for r in decoded) == count["events"]
+    assert any(r.corrupt is not None for r in decoded)
+    assert all(not r.review_id.endswith("-") for r in rows(spark, "drop_unknown"))
+    users = tb.table(spark, SF, "conversations").filter("role = 'user'")
+    asked = {r.question for r in q_retrieval.questions(spark, SF).collect()}
+    assert {r.text for r in users.collect()} < asked
+
+
 def test_titles_are_attributed_in_every_way(spark):
     found = {r.title for r in rows(spark, "attribute_title")}
     assert {"Review Title", "Unknown", "Star Wars", "Netflix"} < found and len(found) > 10
@@ -48,7 +62,7 @@ def test_queries_read_whole_inputs(spark):
     clicks = tb.discussion(spark, SF).count()
     assert tb.discussion_text(spark, SF).count() == clicks
     users = tb.table(spark, SF, "conversations").filter("role = 'user'").count()
-    assert len(rows(spark, "retrieve")) == users
+    assert len(rows(spark, "retrieve")) == users + 2
     assert len(rows(spark, "normalize_discussion")) == tb.table(spark, SF, "conversations").count()
 
 

@@ -51,9 +51,10 @@ def select_relevant(rows: DataFrame, titles: DataFrame, min_strict: int = 10,
     Adds ``strategy`` and ``mention_count`` per question; rows keep their
     similarity order in ``rank`` (renumbered within the kept rows).
     """
-    r = rows.join(titles.select("question_id", "title"), "question_id", "left")
-    r = r.withColumn("is_match", F.when(F.col("title").isNotNull(),
-                                        match_any("text", title_variants("title"))))
+    # the spellings are made once a question, not once a neighbour
+    spelt = titles.select("question_id", "title", title_variants("title").alias("__variants"))
+    r = rows.join(spelt, "question_id", "left")
+    r = r.withColumn("is_match", F.when(F.col("title").isNotNull(), match_any("text", F.col("__variants")))).drop("__variants")
     wq = Window.partitionBy("question_id")
     r = r.withColumn("__strict", F.count_if(F.col("is_match")).over(wq)) \
          .withColumn("__all", F.count(F.lit(1)).over(wq))

@@ -17,6 +17,7 @@ from ..functions.score import rescale, trend_score_serving, trend_score_variant
 from ..functions.sentiment import LEXICON, sentiment
 from ..operators.aggregate import discussion_stats
 from ..operators.joins import enrich_left, known_only
+from ..operators.partitioning import spread
 from ..operators.rank import first_per_key, rank_top, top_comments
 
 
@@ -32,8 +33,10 @@ def trending_now(catalogue: DataFrame, discussion: DataFrame, n: int = 20,
     disc = discussion.filter(F.col("movie_title").isNotNull() & (F.col("movie_title") != "")
                        & F.col("text").isNotNull() & (F.col("text") != ""))
     disc = known_only(disc, first, "movie_title", "title")
-    disc = disc.withColumn("title_key", F.lower("movie_title")) \
-               .withColumn("sentiment01", rescale(sentiment("text", lexicon)))
+    # text work runs in every task slot, also where few files or a small join side give few tasks
+    disc = spread(disc.select(F.lower("movie_title").alias("title_key"), "event_id", "score", "text")).select(
+        "title_key", "event_id", "score", F.substring("text", 1, 200).alias("text"),
+        rescale(sentiment("text", lexicon)).alias("sentiment01"))
     stats = discussion_stats(disc)
     comments = top_comments(disc, "title_key", "text", "score", "event_id", k=3)
     top3 = comments.groupBy("title_key").agg(

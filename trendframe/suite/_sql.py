@@ -19,7 +19,7 @@ def sentiment_ctes(src: str, id_col: str, text_col: str, out: str) -> str:
     """CTEs computing ``out(sid, compound)`` for rows of ``src``: one row per lexicon word, changed step by step."""
     raw = f"replace(coalesce({text_col}, ''), chr(8217), chr(39))"
     punct = _q(S.PUNCTUATION)
-    negators, boosters = _list(S.NEGATORS), _list(S.BOOSTERS)
+    negators, boosters, listed = _list(S.NEGATORS), _list(S.BOOSTERS), _list(S.LEXICON)
     n, cap = S.NEGATION_FACTOR, r"'^[^\p{Ll}]*\p{Lu}[^\p{Ll}]*$'"
 
     def at(k):
@@ -75,10 +75,11 @@ def sentiment_ctes(src: str, id_col: str, text_col: str, out: str) -> str:
 {out}_tok AS (SELECT {id_col} AS sid, {raw} AS txt, list_transform(regexp_extract_all({raw}, '[^ \t\n\r\f\x0B]+'),
                 lambda w: CASE WHEN length(trim(w, {punct})) > 2 THEN trim(w, {punct}) ELSE w END) AS raw FROM {src}),
 {out}_low AS (SELECT *, list_transform(raw, lambda w: lower(w)) AS low FROM {out}_tok),
-{out}_pos AS (SELECT sid, raw, low, generate_subscripts(low, 1) AS i FROM {out}_low),
+{out}_pos AS (SELECT sid, raw, low, unnest(list_filter(range(1, len(low) + 1), lambda i: list_contains({listed}, low[i])
+                AND NOT list_contains({boosters}, low[i]))) AS i FROM {out}_low),
 {out}_in AS (SELECT p.*, l.valence AS own FROM {out}_pos p JOIN lexicon l ON l.token = p.low[p.i]
-             WHERE NOT list_contains({boosters}, p.low[p.i]) AND NOT (p.low[p.i] = 'kind' AND coalesce(p.low[p.i + 1] = 'of', false))),
-{out}_hit AS (SELECT *, {at(-1)} AS p1, {at(-2)} AS p2, {at(-3)} AS p3, (SELECT list(token) FROM lexicon) AS known,
+             WHERE NOT (p.low[p.i] = 'kind' AND coalesce(p.low[p.i + 1] = 'of', false))),
+{out}_hit AS (SELECT *, {at(-1)} AS p1, {at(-2)} AS p2, {at(-3)} AS p3, {listed} AS known,
                 len(list_filter(raw, lambda w: regexp_matches(w, {cap}))) BETWEEN 1 AND len(raw) - 1 AS mixed,
                 list_position(low, 'but') AS but FROM {out}_in),
 {out}_val AS (SELECT sid, sum(v * CASE WHEN coalesce(but, 0) = 0 OR i = but THEN 1.0 WHEN i < but THEN {S.BUT[0]} ELSE {S.BUT[1]} END) AS s

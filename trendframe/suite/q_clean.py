@@ -96,23 +96,24 @@ def q_normalize_targeted(spark, d):
 
 
 @register("require_id", """
-SELECT page_id FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE url END AS url FROM pages)
+SELECT page_id FROM (SELECT page_id, url FROM pages UNION ALL SELECT -1 - page_id, CASE WHEN page_id % 2 = 0 THEN '' END FROM pages)
 WHERE page_id IS NOT NULL AND url IS NOT NULL AND url <> ''""")
 def q_require_id(spark, d):
-    """Drop rows without an id (NULL or empty; half of them are)."""
-    k = F.col("page_id") % 4
-    p = tb.table(spark, d, "pages").withColumn("url", F.when(k == 0, "").when(k == 1, F.lit(None)).otherwise(F.col("url")))
-    return C.require(p, ["page_id", "url"]).select("page_id")
+    """Drop rows without an id (NULL or empty): the pages, and a copy of each without a url."""
+    p = tb.table(spark, d, "pages").select("page_id", "url")
+    bare = p.select((-1 - F.col("page_id")).alias("page_id"), F.when(F.col("page_id") % 2 == 0, "").alias("url"))
+    return C.require(p.unionByName(bare), ["page_id", "url"]).select("page_id")
 
 
 @register("decode_json", """
 SELECT event_id, CASE WHEN json_valid(p) THEN CAST(json_extract_string(p, '$.k') AS INTEGER) END AS k,
        CASE WHEN NOT json_valid(p) THEN p END AS corrupt
-FROM (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN substr(props, 2) ELSE props END AS p FROM events)""")
+FROM (SELECT event_id, props AS p FROM events UNION ALL SELECT -1 - event_id, substr(props, 2) FROM events WHERE event_id % 7 = 0)""")
 def q_decode_json(spark, d):
-    """JSON payload decoded with a fixed schema and flattened; every seventh payload is broken."""
-    ev = tb.table(spark, d, "events").withColumn(
-        "p", F.when(F.col("event_id") % 7 == 0, F.expr("substring(props, 2)")).otherwise(F.col("props")))
+    """JSON payload decoded with a fixed schema and flattened: every event, and broken copies of some."""
+    ev = tb.table(spark, d, "events").select("event_id", F.col("props").alias("p"))
+    broken = ev.filter(F.col("event_id") % 7 == 0).select((-1 - F.col("event_id")).alias("event_id"), F.expr("substring(p, 2)").alias("p"))
+    ev = ev.unionByName(broken)
     return io.decode_json(ev, "p", "k int", keep=["event_id"], corrupt_col="corrupt")
 
 

@@ -16,16 +16,20 @@ from .q_catalogue import _CREDITS
 from .q_text import _IDX_CTES, _extract_title_sql, _variants_sql, index, review_feed
 
 N_NEIGHBOURS = 100
+#: Number of the first question that is no turn.
+MORE = 10 ** 12
 HOURS = 168
 
 
 def questions(spark, d):
-    """Questions: all user turns; the vectors are dealt out by number, so each question has one."""
+    """Questions: all user turns and two more, one that names a word of many reviews and one without a title.
+
+    The vectors are dealt out by number, so each question has one.
+    """
+    more = spark.range(2).select((F.col("id") + MORE).alias("question_id"),
+                                 F.when(F.col("id") == 0, "Tell me about tion").otherwise("movie?").alias("question"))
     c = tb.table(spark, d, "conversations").filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
-        # some questions name a word that occurs, some no title at all
-        F.when(F.col("conv_id") % 5 == 0, "Tell me about tion").when(F.col("conv_id") % 5 == 1, "movie?")
-        .otherwise(F.col("text")).alias("question"))
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question")).unionByName(more)
     e, n = _vectors(spark, d)
     return c.withColumn("vec_id", F.pmod("question_id", n)).join(e, "vec_id").select(
         "question_id", "question", F.col("embedding").alias("qvec"))
@@ -53,15 +57,14 @@ def _vectors(spark, d):
 
 
 _RET = _IDX_CTES + f""",
-coll AS (SELECT idx.*, e.embedding FROM idx
+coll AS MATERIALIZED (SELECT idx.*, e.embedding FROM idx
          JOIN embeddings e ON e.vec_id = CAST(idx.review_id AS BIGINT) % (SELECT count(*) FROM embeddings)),
-uq AS (SELECT conv_id, turn, CASE conv_id % 5 WHEN 0 THEN 'Tell me about tion' WHEN 1 THEN 'movie?' ELSE text END AS text
-       FROM conversations WHERE role = 'user'),
-qs AS (SELECT c.conv_id * 1000 + c.turn AS question_id, c.text AS question, {_extract_title_sql('c.text')} AS title,
-              e.embedding AS qvec
-       FROM uq c JOIN embeddings e
-         ON e.vec_id = (c.conv_id * 1000 + c.turn) % (SELECT count(*) FROM embeddings)),
-nn AS (SELECT q.question_id, q.title, co.*,
+uq AS (SELECT conv_id * 1000 + turn AS question_id, text FROM conversations WHERE role = 'user'
+       UNION ALL VALUES ({MORE}, 'Tell me about tion'), ({MORE + 1}, 'movie?')),
+ut AS (SELECT question_id, text AS question, {_extract_title_sql('text')} AS title FROM uq),
+qs AS MATERIALIZED (SELECT ut.*, {_variants_sql('title')} AS variants, e.embedding AS qvec
+       FROM ut JOIN embeddings e ON e.vec_id = ut.question_id % (SELECT count(*) FROM embeddings)),
+nn AS MATERIALIZED (SELECT q.question_id, q.title, q.variants, co.*,
               round(list_cosine_similarity(CAST(q.qvec AS DOUBLE[]), CAST(co.embedding AS DOUBLE[])), 12) AS similarity
        FROM qs q, coll co
        QUALIFY row_number() OVER (PARTITION BY q.question_id ORDER BY similarity DESC, co.review_id)
@@ -70,7 +73,7 @@ tf AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity
        FROM nn WHERE TRY_CAST("timestamp" AS TIMESTAMP) IS NULL
                   OR TRY_CAST("timestamp" AS TIMESTAMP) >= TIMESTAMP '{tb.NOW}' - INTERVAL {HOURS} HOUR),
 mt AS (SELECT *, CASE WHEN title IS NOT NULL THEN
-                   len(list_filter({_variants_sql('title')}, lambda v: contains(lower(text), v))) > 0 END AS is_match
+                   len(list_filter(variants, lambda v: contains(lower(text), v))) > 0 END AS is_match
        FROM tf),
 cn AS (SELECT *, count(*) FILTER (WHERE is_match) OVER (PARTITION BY question_id) AS n_strict,
               count(*) OVER (PARTITION BY question_id) AS n_all FROM mt),
@@ -282,10 +285,9 @@ def q_embed(spark, d):
 
 # ------------------------------------------------ C6 with expansion, C4 and C5 with their merge
 
-_QS = _RET[_RET.index("qs AS ("):_RET.index("nn AS (")]
+_QS = _RET[_RET.index("ut AS ("):_RET.index("nn AS ")]
 _EXPANDED_QS = f"""
-q0 AS (SELECT c.conv_id * 1000 + c.turn AS question_id, c.text AS question, {_extract_title_sql('c.text')} AS title
-       FROM uq c),
+q0 AS (SELECT question_id, text AS question, {_extract_title_sql('text')} AS title FROM uq),
 nv AS (SELECT count(*) AS n FROM embeddings),
 qt AS (SELECT q0.*, e.embedding AS tvec FROM q0 LEFT JOIN embeddings e ON e.vec_id = length(q0.title) % (SELECT n FROM nv)),
 mv AS (SELECT meta.*, e.embedding AS mvec FROM meta
@@ -301,7 +303,7 @@ qx AS (SELECT qt.question_id, qt.question, qt.title, n1.meta_id,
                 CASE WHEN mkeywords IS NOT NULL AND mkeywords <> '' THEN string_split(mkeywords, ',')[1:3] ELSE [] END))
               END AS expanded
        FROM qt LEFT JOIN n1 ON n1.question_id = qt.question_id),
-qs AS (SELECT qx.*, e.embedding AS qvec FROM qx JOIN embeddings e ON e.vec_id = length(qx.expanded) % (SELECT n FROM nv)),
+qs AS MATERIALIZED (SELECT qx.*, {_variants_sql('title')} AS variants, e.embedding AS qvec FROM qx JOIN embeddings e ON e.vec_id = length(qx.expanded) % (SELECT n FROM nv)),
 """
 _EXPANDED = _RET.replace(_QS, _EXPANDED_QS.lstrip())
 

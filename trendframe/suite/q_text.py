@@ -108,15 +108,17 @@ def q_doc_id(spark, d):
 
 
 @register("publish_gate", f"""
-SELECT doc_id FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN lower(substr(text, 1, 20 + doc_id % 60)) ELSE text END
-                    AS text FROM documents)
+SELECT kind, id FROM (SELECT 'document' AS kind, doc_id AS id, text FROM documents
+                      UNION ALL SELECT 'title', p_partkey, lower(p_name) FROM part
+                      UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations)
 WHERE len({mentions_sql('text')}) > 0 OR length(coalesce(text, '')) > 50""")
 def q_publish_gate(spark, d):
-    """Publish messages that mention a title or are longer than 50 chars (every fifth is short and mentions none)."""
-    docs = tb.table(spark, d, "documents").withColumn(
-        "text", F.when(F.col("doc_id") % 5 == 0, F.expr("lower(substr(text, 1, int(20 + doc_id % 60)))")).otherwise(F.col("text")))
-    docs = docs.withColumn("m", T.extract_mentions("text"))
-    return C.gate(docs, "m", "text").select("doc_id")
+    """Publish messages that mention a title or are longer than 50 chars: documents, turns, titles in lower case."""
+    rows = spread(tb.table(spark, d, "documents")).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), "text").unionByName(
+        tb.table(spark, d, "part").select(F.lit("title").alias("kind"), F.col("p_partkey").alias("id"), F.lower("p_name").alias("text"))
+    ).unionByName(tb.table(spark, d, "conversations").select(
+        F.lit("turn").alias("kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"))
+    return C.gate(rows.withColumn("m", T.extract_mentions("text")), "m", "text").select("kind", "id")
 
 
 # --------------------------------------------------------------- P5-P7, F13
@@ -340,15 +342,15 @@ def q_distinct_titles(spark, d):
 
 @register("drop_unknown", _idx_sql("""
 SELECT review_id, movie_title FROM (
-  SELECT review_id, CASE CAST(review_id AS BIGINT) % 6 WHEN 0 THEN ' Unknown ' WHEN 1 THEN '  ' WHEN 2 THEN NULL
-                         ELSE movie_title END AS movie_title FROM idx)
+  SELECT review_id, movie_title FROM idx
+  UNION ALL SELECT review_id || '-', CASE CAST(review_id AS BIGINT) % 3 WHEN 0 THEN ' Unknown ' WHEN 1 THEN '  ' END FROM idx)
 WHERE lower(trim(movie_title)) IS NOT NULL AND lower(trim(movie_title)) NOT IN ('', 'unknown')"""))
 def q_drop_unknown(spark, d):
-    """P13 + F33: drop blank or unknown titles (half of them are)."""
-    k = F.col("review_id").cast("long") % 6
-    r = index(spark, d).withColumn("movie_title", F.when(k == 0, " Unknown ").when(k == 1, "  ")
-                                   .when(k == 2, F.lit(None)).otherwise(F.col("movie_title")))
-    return C.drop_unknown(r, "movie_title").select("review_id", "movie_title")
+    """P13 + F33: drop blank or unknown titles: the index, and a copy of each row without a title."""
+    r = index(spark, d).select("review_id", "movie_title")
+    k = F.col("review_id").cast("long") % 3
+    bare = r.select(F.concat("review_id", F.lit("-")).alias("review_id"), F.when(k == 0, " Unknown ").when(k == 1, "  ").alias("movie_title"))
+    return C.drop_unknown(r.unionByName(bare), "movie_title").select("review_id", "movie_title")
 
 
 @register("time_filter_lenient", tb.with_ctes(f"""
