@@ -30,16 +30,17 @@ def most_discussed(df: DataFrame, title: str = "movie_title", ts: str = "event_t
     """A4: per lower+trim title: discussions, summed mentions, mean sentiment
     (0.5 when missing), newest time, last seen original title, score = count*10."""
     k = F.lower(F.trim(F.col(title)))
-    src = df.withColumn("__k", k).filter(F.col("__k").isNotNull() & (F.col("__k") != "")
-                                         & (F.col("__k") != "unknown"))
+    src = df.withColumn("__k", k)
     m = F.coalesce(F.col(mentions), F.lit(0)) if mentions else F.lit(0)
     agg = src.groupBy("__k").agg(
         F.max_by(F.col(title), F.struct(F.col(ts), F.col(order))).alias("title"),
         F.count(F.lit(1)).alias("discussions"),
         F.sum(m).cast("bigint").alias("mentions"),
         F.round(F.avg(F.coalesce(F.col(sentiment), F.lit(0.5))), 2).alias("sentiment"),
-        F.max(ts).alias("latest_timestamp"))
-    return agg.withColumn("trend_score", F.col("discussions") * 10).drop("__k")
+        F.max(ts).alias("latest_timestamp"), F.max("__k").alias("__name"))
+    # on an aggregate: pushed below, the filter would work the titles out once more for each of its tests
+    agg = agg.filter(F.col("__name").isNotNull() & (F.col("__name") != "") & (F.col("__name") != "unknown"))
+    return agg.withColumn("trend_score", F.col("discussions") * 10).drop("__k", "__name")
 
 
 def most_discussed_served(df: DataFrame, now, hours: float = 24, n: int = 10, metadata: DataFrame | None = None,

@@ -20,6 +20,10 @@ from ..operators.knn import knn
 from ..operators.rank import sample_sources
 
 
+#: Characters of a text that a context shows.
+SHOWN = 500
+
+
 def nearest(questions: DataFrame, reviews: DataFrame, n: int = 100, q_vec: str = "qvec",
             hours: float | None = 168, now=None, filter_order: str = "after",
             title_filter: str | None = None) -> DataFrame:
@@ -36,25 +40,29 @@ def nearest(questions: DataFrame, reviews: DataFrame, n: int = 100, q_vec: str =
     if hours is not None and filter_order == "before":
         coll = recent(coll, "timestamp", hours, now, inclusive=True, keep_bad=True)
     nn = knn(questions, coll, n, q_id="question_id", q_vec=q_vec, c_id="review_id", c_vec="embedding")
-    rows = nn.join(coll.drop("embedding"), "review_id")
+    # ranked before the texts come in: a text moves once a review, not once a neighbour
     if hours is not None and filter_order == "after":
-        rows = recent(rows, "timestamp", hours, now, inclusive=True, keep_bad=True)
+        nn = recent(nn.join(coll.select("review_id", "timestamp"), "review_id"), "timestamp", hours, now,
+                    inclusive=True, keep_bad=True).drop("timestamp")
     w = Window.partitionBy("question_id").orderBy("rank")
-    return rows.withColumn("rank", F.row_number().over(w))
+    return nn.withColumn("rank", F.row_number().over(w)).join(coll.drop("embedding"), "review_id")
 
 
 def select_relevant(rows: DataFrame, titles: DataFrame, min_strict: int = 10,
-                    fallback: int = 25) -> DataFrame:
+                    fallback: int = 25, shown: int | None = None) -> DataFrame:
     """Strict literal matches if there are at least ``min_strict``, else
     the ``fallback`` most similar; questions without a title keep all rows.
 
     Adds ``strategy`` and ``mention_count`` per question; rows keep their
-    similarity order in ``rank`` (renumbered within the kept rows).
+    similarity order in ``rank`` (renumbered within the kept rows). Whole
+    texts are matched; with ``shown`` only so many characters go on from there.
     """
     # the spellings are made once a question, not once a neighbour
     spelt = titles.select("question_id", "title", title_variants("title").alias("__variants"))
     r = rows.join(spelt, "question_id", "left")
     r = r.withColumn("is_match", F.when(F.col("title").isNotNull(), match_any("text", F.col("__variants")))).drop("__variants")
+    if shown is not None:
+        r = r.withColumn("text", F.substring("text", 1, shown))
     wq = Window.partitionBy("question_id")
     r = r.withColumn("__strict", F.count_if(F.col("is_match")).over(wq)) \
          .withColumn("__all", F.count(F.lit(1)).over(wq))
@@ -101,7 +109,7 @@ def retrieve(questions: DataFrame, reviews: DataFrame, n: int = 100, hours: floa
         titled = encode(titled.drop("tvec"), "expanded", "qvec")
         extra = ["meta_id", "expanded"]
     rows = nearest(titled, reviews, n, hours=hours, now=now)
-    kept = select_relevant(rows, titled)
+    kept = select_relevant(rows, titled, shown=SHOWN + 1)  # one more tells whether a text was cut
     # one aggregation over the kept rows: context of the first ``context_n``,
     # counts over all of them (the neighbour rows are computed once)
     ctx = assemble_context(kept, ["question_id"], "rank", n=context_n, extra=[
