@@ -20,6 +20,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ MAX_BITS = 16
 BLOCK = 512
 #: Ids after which a segment is closed; it ends with a whole document.
 SEGMENT = 1 << 20
+#: Blocks of ids that are coded at a time.
+RUN = 64
+#: Words that a worker remembers the ids of.
+CACHE = 700_000
 MAGIC, VERSION = b"THUF", 1
 _HEAD = struct.Struct("<4sIQQIQ")
 
@@ -99,25 +104,29 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
 def write_segment(doc_ids: list, sizes: list[int], ids: np.ndarray, lengths: np.ndarray, code: np.ndarray,
                   block: int = BLOCK) -> bytes:
     """Encode the documents' concatenated ids."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    bits = int(ends[-1]) if len(ids) else 0
-    starts = ends - size
+    size = lengths[ids]
+    bits = int(size.sum(dtype=np.int64))
     words = np.zeros((bits >> 6) + 2, np.uint64)
-    if len(ids):
+    offsets, done = [], 0
+    for a in range(0, len(ids), RUN * block):       # runs short enough for a core's cache
+        n = size[a:a + RUN * block].astype(np.int64)
+        ends = np.cumsum(n) + done
+        starts = ends - n
+        offsets.append(starts[::block])
         word = starts >> 6
         room = 64 - (starts & 63)                   # bits left in the word
-        c = code[ids].astype(np.uint64)
-        over = np.maximum(size - room, 0)           # bits that go on in the next word
-        high = np.where(over > 0, c >> over.astype(np.uint64), c << np.maximum(room - size, 0).astype(np.uint64))
+        c = code[ids[a:a + RUN * block]].astype(np.uint64)
+        over = np.maximum(n - room, 0)              # bits that go on in the next word
+        high = np.where(over > 0, c >> over.astype(np.uint64), c << np.maximum(room - n, 0).astype(np.uint64))
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        words[word[first]] = np.bitwise_or.reduceat(high, first)
+        words[word[first]] |= np.bitwise_or.reduceat(high, first)
         cross = np.flatnonzero(over)
         words[word[cross] + 1] |= c[cross] << (64 - over[cross]).astype(np.uint64)
+        done = int(ends[-1])
     stream = words.astype(">u8").tobytes()[:(bits + 7) // 8]
     null = np.array([d is None for d in doc_ids], np.uint8)
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    offsets = starts[::block].astype("<u4" if bits < 1 << 32 else "<u8")
+    offsets = np.concatenate(offsets or [np.zeros(0, np.int64)]).astype("<u4" if bits < 1 << 32 else "<u8")
     return b"".join([_HEAD.pack(MAGIC, VERSION, len(ids), len(doc_ids), block, bits), known.tobytes(), null.tobytes(),
                      np.array(sizes, "<u8").tobytes(), offsets.tobytes(), stream, bytes(8)])
 
@@ -150,33 +159,49 @@ def read_segment(blob: bytes, table: np.ndarray, top: int) -> tuple[list, np.nda
 
 
 def token_table(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id and ids (little-endian, two bytes an id if the vocabulary allows)."""
+    """doc_id, ids (little-endian, two bytes an id if the vocabulary allows), and a hash of the ids as ``tie``.
+
+    The last row of a task has no document but ``counts``, how often each id
+    occurs in the task's documents (unsigned, eight bytes an id).
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("tie", pa.int64()), ("counts", pa.binary())])
+
     def run(batches):
-        enc = encoder(path)
-        kind = "<u2" if enc.size <= 1 << 16 else "<u4"
+        enc = encoder(path, CACHE)
+        kind = np.dtype("<u2" if enc.size <= 1 << 16 else "<u4")
         tail = int(end_id).to_bytes(4, "little")
+        total = np.zeros(enc.size, np.int64)
         for b in batches:
-            ids = [np.frombuffer(enc.encode(t.as_py() or "") + tail, "<u4").astype(kind).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary")
-
-
-def id_counts(tokens: DataFrame, width: int) -> DataFrame:
-    """How often each id occurs: one partial count per task, then a sum."""
-    kind = "<u2" if width == 2 else "<u4"
-
+            coded = [enc.encode(t.as_py() or "") + tail for t in b.column(1)]
+            ids = np.frombuffer(b"".join(coded), "<u4").astype(kind)
+            total += np.bincount(ids, minlength=enc.size)
+            raw = ids.tobytes()
+            ends = np.cumsum([len(c) // 4 * kind.itemsize for c in coded]).tolist()
+            ids = [raw[a:z] for a, z in zip([0, *ends], ends)]
+            tie = [xxhash.xxh64_intdigest(x) >> 1 for x in ids]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(tie, pa.int64()),
+                                              pa.nulls(len(ids), pa.binary())], schema=schema)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()),
+                                              pa.array([total.tobytes()], pa.binary())], schema=schema)
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+        run, "doc_id long, ids binary, tie long, counts binary")
+
+
+def id_counts(tokens: DataFrame) -> DataFrame:
+    """How often each id occurs, from the tasks' counts."""
     def run(batches):
         total = np.zeros(0, np.int64)
         for b in batches:
-            n = np.bincount(np.frombuffer(b"".join(b.column(0).to_pylist()), kind))
-            if len(n) > len(total):
-                total, n = n, total
-            total[:len(n)] += n
+            for c in b.column(0):
+                n = np.frombuffer(c.as_py(), np.int64)
+                total = n.copy() if not len(total) else total + n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(total[at])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.filter("counts IS NOT NULL").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(
+        F.sum("n").alias("n"))
 
 
 def write_files(docs: DataFrame, path: str, end_id: int = 0, max_bits: int = MAX_BITS,
@@ -190,7 +215,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, max_bits: int = MAX
     spark = docs.sparkSession
     ids = staged(tokens, "tokens")
     width = 2 if encoder(path).size <= 1 << 16 else 4
-    rows = id_counts(ids, width).collect()  # at most the vocabulary
+    rows = id_counts(ids).collect()  # at most the vocabulary
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
@@ -207,7 +232,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, max_bits: int = MAX
 
         def close():
             sizes = [len(p) for p in parts]
-            ids = np.concatenate(parts).astype(np.int64)
+            ids = np.concatenate(parts)
             blob = write_segment(doc_ids, sizes, ids, length, code)
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([first], pa.int64()), pa.array([len(ids)], pa.int64()),
@@ -227,7 +252,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, max_bits: int = MAX
 
     n = max(1, min(100_000, input_bytes(ids) // (16 << 20) + 1))
     # a tie between repeated ids is broken by content, so equal ids need not share a task
-    dealt = (ids.withColumn("tie", F.xxhash64("ids")).repartitionByRange(n, "doc_id", "tie")
+    dealt = (ids.filter("counts IS NULL").select("doc_id", "ids", "tie").repartitionByRange(n, "doc_id", "tie")
              .sortWithinPartitions("doc_id", "tie").select("doc_id", "ids"))
     segments = staged(dealt.mapInArrow(run, "part int, first long, n long, blob binary"), "segments")
     released(ids)

@@ -65,13 +65,13 @@ def _packed(tokens: list) -> bytes:
 class _Parts(dict):
     """Part of the split pattern -> its ids."""
 
-    def __init__(self, model):
+    def __init__(self, model, cache: int):
         super().__init__()
-        self.tokenize, self.letters = model.tokenize, _byte_letters()
+        self.tokenize, self.letters, self.cache = model.tokenize, _byte_letters(), cache
 
     def __missing__(self, part: str) -> bytes:
         ids = _packed(self.tokenize(part.encode().decode("latin-1").translate(self.letters)))
-        if len(self) >= CACHE:
+        if len(self) >= self.cache:
             self.clear()
         self[part] = ids
         return ids
@@ -83,7 +83,7 @@ class _Words(dict):
     def __init__(self, parts: _Parts, pattern, lead: str):
         super().__init__()
         self.parts, self.findall, self.lead, self.old = parts, pattern.findall, lead, {}
-        self.tokenize, self.letters = parts.tokenize, parts.letters
+        self.tokenize, self.letters, self.cache = parts.tokenize, parts.letters, parts.cache
         self.mapped = lead.translate(self.letters)
 
     def __missing__(self, word: str) -> bytes:
@@ -102,7 +102,7 @@ class _Words(dict):
             ids = self[stem] + self.parts[word[len(stem):]]
             if not known:  # a rare word need not be kept with each of its marks
                 return ids
-        if len(self) >= CACHE:
+        if len(self) >= self.cache:
             self.old = dict(self)
             self.clear()
         self[word] = ids
@@ -112,7 +112,7 @@ class _Words(dict):
 class Encoder:
     """``encode(text)`` -> little-endian unsigned 32-bit ids, no special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
@@ -123,7 +123,7 @@ class Encoder:
         self.added = [t["content"] for t in spec.get("added_tokens", [])]
         self.size = self.tokenizer.get_vocab_size()
         self.pattern = regex.compile(SPLIT)
-        self.parts = _Parts(self.tokenizer.model)
+        self.parts = _Parts(self.tokenizer.model, cache)
         self.words = _Words(self.parts, self.pattern, " ")
         self.firsts = _Words(self.parts, self.pattern, "")
 
@@ -152,6 +152,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache: int = CACHE) -> Encoder:
     """The worker's encoder for a vocabulary file; caches live as long as the worker."""
-    return Encoder(path)
+    return Encoder(path, cache)
