@@ -56,6 +56,18 @@ def test_scores_equal_plain_counting(spark, monkeypatch, order):
     for k in range(1, order):
         for g, c in counts[k].items():
             contexts[k][g[:-1]] += c
+    # whatever the history, the probabilities of all words and one unknown word sum to one
+    histories = [tuple(rng) for rng in (["the", "cat"], ["w1", "the"], ["zz", "the"], ["the", "zz"], ["zz", "zz"], [" ", " "])]
+    for h in histories:
+        place = 0
+        seen = [contexts[k][h[len(h) - k:]] for k in range(1, order)]
+        for k, c in enumerate(seen):
+            place = 1 + k * lm.BUCKETS + int(math.log2(c)) if c else place
+        mass = 0.0
+        for x in [*[g[0] for g in counts[0]], "never said"]:
+            p = [1 / (v + 1), counts[0][(x,)] / n] + [counts[k][(*h[len(h) - k:], x)] / max(seen[k - 1], 1) for k in range(1, order)]
+            mass += sum(a * b for a, b in zip(held["weights"][place], p))
+        assert mass == pytest.approx(1, abs=1e-9)
     want = []
     for i, t, *_ in data:
         words, base, score = split(t), 0.0, 0.0
@@ -63,25 +75,51 @@ def test_scores_equal_plain_counting(spark, monkeypatch, order):
         for j in range(order - 1, len(w)):
             base += math.log10((counts[0][(w[j],)] + 1) / (n + v + 1))
             p = [1 / (v + 1), counts[0][(w[j],)] / n]
-            c = 0
+            place = 0
             for k in range(1, order):
                 c = contexts[k][tuple(w[j - k:j])]
                 p.append(counts[k][tuple(w[j - k:j + 1])] / max(c, 1))
-            score += math.log10(sum(a * b for a, b in zip(held["weights"][0 if not c else 1 + int(math.log2(c))], p)))
+                place = 1 + (k - 1) * lm.BUCKETS + int(math.log2(c)) if c else place
+            score += math.log10(sum(a * b for a, b in zip(held["weights"][place], p)))
         want.append((i, crc(i) == 2, len(words), sum(counts[0][(x,)] > 0 for x in words), n, base, score))
     got = sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in out)
     assert [g[:5] for g in got] == [x[:5] for x in sorted(want)]
     assert np.allclose([g[5:] for g in got], [x[5:] for x in sorted(want)], rtol=1e-9)
 
 
+def slow_em(place, times, p, places):
+    """EM in plain loops: all places together first, then each from there."""
+    def steps(weights, rows):
+        for _ in range(lm.STEPS):
+            got = [0.0] * len(weights)
+            for k in rows:
+                parts = [w * x for w, x in zip(weights, p[k])]
+                for j, x in enumerate(parts):
+                    got[j] += times[k] * x / sum(parts)
+            weights = [x / sum(got) for x in got] if rows else weights
+        return weights
+
+    pooled = steps([1 / p.shape[1]] * p.shape[1], list(range(len(p))))
+    out = []
+    for b in range(places):
+        start = [max(w, 1e-6) * (k < 2 or b > 0) for k, w in enumerate(pooled)]
+        w = steps([x / sum(start) for x in start], [k for k in range(len(p)) if place[k] == b])
+        w[0] = max(w[0], 1e-6)
+        out.append([x / sum(w) for x in w])
+    return np.array(out)
+
+
 def test_weights_are_a_mixture_that_beats_equal_weights():
     rng = np.random.default_rng(0)
     q1, q2 = rng.integers(20, 60, 500), rng.integers(2, 30, 500)
-    code = np.unique(rng.integers(0, 5, 500) << 16 | q1 << 8 | q2)
+    place = rng.integers(0, 5, 500)
+    code = np.unique(place << 16 | q1 << 8 | np.where(place > 0, q2, lm.NONE))
     times = rng.integers(1, 9, len(code))
     w = lm.learn(code, times, 2, 1000)
     assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 2] == 0
-    p = np.stack([np.full(len(code), 1 / 1001), 2.0 ** (-(code >> 8 & 255) / 4), 2.0 ** (-(code & 255) / 4)], 1)
+    q2 = code & 255
+    p = np.stack([np.full(len(code), 1 / 1001), 2.0 ** (-(code >> 8 & 255) / lm.STEP), np.where(q2 == lm.NONE, 0, 2.0 ** (-q2 / lm.STEP))], 1)
+    assert np.allclose(w[:5], slow_em(code >> 16, times, p, 5), atol=1e-9)
     keep = code >> 16 > 0
     gain = times * (np.log((w[code >> 16] * p).sum(1)) - np.log(p.mean(1)))
     assert gain[keep].sum() > 0

@@ -5,8 +5,10 @@ and the uniform distribution,
 
     P(w | h) = sum_k lambda_k(b) * c(h_k w) / c(h_k) + lambda_0(b) / (V + 1),
 
-with weights that depend on the bucket ``b`` of the longest context's
-frequency (by powers of two). The weights are learned by
+with weights that depend on the bucket ``b`` of the longest context that was
+seen: its length and its frequency (by powers of two). Orders whose context
+was not seen have no weight there, so the mixture sums to one over the
+vocabulary and one unknown word, whatever the history. The weights are learned by
 expectation-maximisation on held-out counts: the training documents of one
 fold are deleted from the counts and predicted from the rest.
 
@@ -16,7 +18,7 @@ up what all blocks sent it and answers every block; the block then looks its
 own tokens up. What is shuffled is one entry per block and different n-gram,
 so a word that makes up half the corpus is one entry a block. The learning
 sees a histogram of bounded size: occurrences by bucket and by the estimates,
-rounded to a quarter of a power of two.
+rounded to half a power of two.
 
 N-grams are identified by 64-bit hashes.
 """
@@ -39,6 +41,8 @@ RANGE_BYTES = 14 << 20
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
 BUCKETS = 34
 STEPS = 60
+#: Steps of an estimate's rounding to a power of two.
+STEP = 2
 #: Rounded logarithm of an estimate of zero.
 NONE = 255
 
@@ -104,20 +108,21 @@ def ranges(x: np.ndarray, n: int) -> np.ndarray:
 class Block:
     """The tokens of a block of documents, the same whenever it is read."""
 
-    def __init__(self, table: pa.Table, order: int):
+    def __init__(self, table: pa.Table, order: int, asked: range | None = None):
         rows = sorted(zip(table["doc_id"].to_pylist(), table["r"].to_pylist(), table["text"].to_pylist()),
                       key=lambda x: (x[0] is None, x[0] or 0, x[2] or ""))
         self.ids, self.residues, texts = [list(c) for c in zip(*rows)]
         h, self.first = tokens(texts)
         self.sizes = np.diff(np.append(self.first, len(h)))
         self.known, self.at = [], []
-        for g in grams(h, self.first, order):
-            known, at = np.unique(g, return_inverse=True)
+        for k, g in enumerate(grams(h, self.first, asked.stop if asked else order)):
+            known, at = np.unique(g, return_inverse=True) if asked is None or k in asked else (g[:0], g[:0])
             self.known.append(known)
             self.at.append(at.astype(np.int32))
-        self.end = int(np.searchsorted(self.known[0], np.uint64(_END)))
-        self.start_of_text = np.zeros(len(h), bool)
-        self.start_of_text[self.first] = True
+        if asked is None:
+            self.end = int(np.searchsorted(self.known[0], np.uint64(_END)))
+            self.start_of_text = np.zeros(len(h), bool)
+            self.start_of_text[self.first] = True
 
     def by_token(self, flags: list[bool]) -> np.ndarray:
         return np.repeat(np.array(flags), self.sizes)
@@ -133,7 +138,7 @@ class Block:
 
 def _requests(order: int, orders: range, n_ranges: int):
     def run(table: pa.Table) -> pa.Table:
-        b = Block(table, order)
+        b = Block(table, order, orders)
         train = b.by_token([r != HELD_OUT for r in b.residues])
         fold = b.by_token([r == EM_FOLD for r in b.residues])
         rows = []
@@ -178,9 +183,12 @@ def _counts(replies: pa.Table, column: str, order: int) -> list[np.ndarray]:
     return [np.concatenate([unplanes(raw, np.uint64) for k, _, raw in rows if k == j]).astype(np.float64) for j in range(order)]
 
 
-def bucket(context: np.ndarray) -> np.ndarray:
-    """0 for an unseen context, else one more than the power of two of its count."""
-    return np.where(context > 0, 1 + np.floor(np.log2(np.maximum(context, 1))), 0).astype(np.int64).clip(0, BUCKETS - 1)
+def bucket(contexts: list[np.ndarray]) -> np.ndarray:
+    """Of the contexts of one word, of two words, ...: 0 where none was seen, else by length and power of two of the longest seen."""
+    out = np.zeros(len(contexts[0]), np.int64)
+    for k, c in enumerate(contexts):
+        out = np.where(c > 0, 1 + k * BUCKETS + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64).clip(0, BUCKETS - 1), out)
+    return out
 
 
 def _evidence(order: int, n: int, n_fold: int):
@@ -190,14 +198,14 @@ def _evidence(order: int, n: int, n_fold: int):
         c, f = _counts(replies, "c", order), _counts(replies, "f", order)
         rest = [x - y for x, y in zip(c, f)]
         code = np.zeros(len(b.at[0]), np.int64)
-        for k in range(order):
+        contexts = [np.full(len(code), float(n - n_fold)), *[b.contexts(rest, k) for k in range(1, order)]]
+        for k, context in enumerate(contexts):
             total = rest[k][b.at[k]]
-            context = b.contexts(rest, k) if k else np.full(len(total), float(n - n_fold))
             with np.errstate(divide="ignore", invalid="ignore"):
                 p = np.where((total > 0) & (context > 0), total / context, 0)
-                q = np.where(p > 0, np.minimum(np.round(-4 * np.log2(p)), NONE - 1), NONE)
+                q = np.where(p > 0, np.minimum(np.round(-STEP * np.log2(p)), NONE - 1), NONE)
             code = code << 8 | q.astype(np.int64)
-        code |= bucket(context if order > 1 else np.zeros(len(code))) << 8 * order
+        code |= (bucket(contexts[1:]) if order > 1 else np.zeros(len(code), np.int64)) << 8 * order
         found, times = np.unique(code, return_counts=True)
         return pa.table({"code": pa.array(found), "n": pa.array(times.astype(np.int64))})
     return run
@@ -206,15 +214,19 @@ def _evidence(order: int, n: int, n_fold: int):
 def learn(code: np.ndarray, times: np.ndarray, order: int, types: int, steps: int = STEPS) -> np.ndarray:
     """Weights (bucket, uniform and orders 1 to ``order``) by EM on the evidence.
 
-    Every bucket starts from the weights of all buckets together; a bucket
-    without evidence keeps them.
+    Every bucket starts from the weights of all buckets together, without the
+    orders it cannot have seen; a bucket without evidence keeps them.
     """
     p = np.empty((len(code), order + 1))
     p[:, 0] = 1 / (types + 1)
     for k in range(order):
         q = code >> 8 * (order - 1 - k) & 255
-        p[:, k + 1] = np.where(q == NONE, 0, 2.0 ** (-q / 4))
+        p[:, k + 1] = np.where(q == NONE, 0, 2.0 ** (-q / STEP))
     place = code >> 8 * order
+    places = 1 + (order - 1) * BUCKETS
+    # of orders 2 and up, those whose context is longer than the longest seen have no estimate
+    length = (np.arange(places) + BUCKETS - 1) // BUCKETS
+    seen = np.concatenate([np.ones((places, 2)), length[:, None] > np.arange(order - 1)[None, :]], 1)
 
     def em(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
         for _ in range(steps):
@@ -226,12 +238,10 @@ def learn(code: np.ndarray, times: np.ndarray, order: int, types: int, steps: in
         return weights
 
     if not len(code):
-        return np.repeat([[1.0] + [0.0] * order] if not types else [[0.5, 0.5] + [0.0] * (order - 1)], BUCKETS, 0)
+        return np.repeat([[1.0] + [0.0] * order] if not types else [[0.5, 0.5] + [0.0] * (order - 1)], places, 0)
     pooled = em(np.full((1, order + 1), 1 / (order + 1)), np.zeros(len(code), np.int64))
-    out = em(np.repeat(pooled, BUCKETS, 0), place)
-    if order > 1:  # an unseen context has no estimate of the highest order
-        out[0, 0] += out[0, order]
-        out[0, order] = 0
+    start = np.maximum(pooled, 1e-6) * seen
+    out = em(start / start.sum(1, keepdims=True), place)
     out[:, 0] = np.maximum(out[:, 0], 1e-6)  # nothing is impossible
     return out / out.sum(1, keepdims=True)
 
@@ -244,13 +254,13 @@ def _scores(order: int, n: int, types: int, weights: np.ndarray):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         b = Block(docs, order)
         c = _counts(replies, "c", order)
-        total, context = c[0][b.at[0]], None
+        total = c[0][b.at[0]]
         base = np.log10((total + 1) / (n + types + 1))
         parts = [np.full(len(total), 1 / (types + 1)), total / max(n, 1)]
-        for k in range(1, order):
-            context = b.contexts(c, k)
+        contexts = [b.contexts(c, k) for k in range(1, order)]
+        for k, context in enumerate(contexts, 1):
             parts.append(c[k][b.at[k]] / np.maximum(context, 1))
-        w = weights[bucket(context if order > 1 else np.zeros(len(total)))]
+        w = weights[bucket(contexts) if contexts else np.zeros(len(total), np.int64)]
         p = sum(w[:, k] * x for k, x in enumerate(parts))
         return pa.table([
             pa.array(b.ids, pa.int64()), pa.array([r == HELD_OUT for r in b.residues]), pa.array(b.sizes),
