@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.score import accuracy, rescale
@@ -12,7 +14,9 @@ from ..operators.aggregate import (chart_metrics, dashboard_summary, discussion_
 from ..operators.joins import enrich_left, known_only
 from ..plans.serving import predictions_view, trending_now
 from ..plans.trend import trend_scores
+from ..session import checkpoint_dir
 from ..sources import testbed as tb
+from ..sources.log import log_index, read_range, read_tail
 from . import register, rounded
 from ._sql import lexicon_cte, sentiment_ctes, sround, with_trends
 
@@ -119,6 +123,35 @@ def q_tail_scan(spark, d):
     return tail_per_partition(ev, "event_type", "event_id", 200).select("event_id", "event_type", "value")
 
 
+def _log(spark, d) -> str:
+    """The events as a log of files in the order of their offsets (those of a partition have gaps)."""
+    path = f"{checkpoint_dir(spark)}/log/{uuid.uuid4().hex}"
+    tb.table(spark, d, "events").repartitionByRange(16, "event_id").sortWithinPartitions("event_id").write.parquet(path)
+    return path
+
+
+@register("log_tail", """
+SELECT event_id, event_type, value FROM events
+QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 200""")
+def q_log_tail(spark, d):
+    """The newest 200 messages of every partition, from the files that can hold them."""
+    path = _log(spark, d)
+    index = log_index(spark, path, "event_type", "event_id", stored=path + "-index")
+    return read_tail(spark, path, 200, "event_type", "event_id", index).select("event_id", "event_type", "value")
+
+
+@register("log_replay", """
+SELECT event_id, event_type, value FROM events WHERE CASE event_type
+  WHEN 'click' THEN event_id >= 1000 AND event_id < 3000 WHEN 'view' THEN event_id < 500
+  WHEN 'error' THEN event_id >= (SELECT max(event_id) - 100 FROM events) ELSE event_type = 'signup' END""")
+def q_log_replay(spark, d):
+    """Given offsets of some partitions, one from the earliest, one to the newest, one whole."""
+    last = tb.table(spark, d, "events").agg(F.max("event_id")).first()[0]
+    out = read_range(spark, _log(spark, d), {"click": (1000, 3000), "view": (None, 500), "error": (last - 100, None),
+                                             "signup": (None, None)}, "event_type", "event_id")
+    return out.select("event_id", "event_type", "value")
+
+
 # ------------------------------------------------------------- C2 and parts
 
 _C2_CTES = lexicon_cte() + """,
