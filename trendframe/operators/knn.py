@@ -74,6 +74,23 @@ def local_top(queries: np.ndarray, rows: np.ndarray, n: int, same: np.ndarray |
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
 
+def scorer(n: int, exclude_self: bool):
+    """Cogroup function: the ``n`` best rows (id, v) of the right for each query (id, v) of the left."""
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["qid", "cid", "similarity"]
+        kinds = [left["id"].type, right["id"].type, pa.float64()]
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], k) for k in kinds], names)
+        right = right.sort_by("id")  # a smaller index is a smaller id
+        same = None
+        if exclude_self:
+            place = {x: k for k, x in enumerate(right["id"].to_pylist())}
+            same = np.array([place.get(x, -1) for x in left["id"].to_pylist()], np.int64)
+        i, j, sim = local_top(_matrix(left["v"]), _matrix(right["v"]), n, same)
+        return pa.table([left["id"].take(pa.array(i)), right["id"].take(pa.array(j)), pa.array(sim)], names)
+    return scored
+
+
 def knn(queries: DataFrame, collection: DataFrame, n: int, q_id: str = "qid", q_vec: str = "qvec",
         c_id: str = "id", c_vec: str = "embedding", exclude_self: bool = False,
         blocks: int | None = None, slices: int | None = None) -> DataFrame:
@@ -97,18 +114,7 @@ def knn(queries: DataFrame, collection: DataFrame, n: int, q_id: str = "qid", q_
     c = dealt(collection, c_id, c_vec, "slice", slices, "block", blocks)
     q_type, c_type = queries.schema[q_id].dataType.simpleString(), collection.schema[c_id].dataType.simpleString()
 
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["qid", "cid", "similarity"]
-        kinds = [left["id"].type, right["id"].type, pa.float64()]
-        if not len(left) or not len(right):
-            return pa.table([pa.array([], k) for k in kinds], names)
-        right = right.sort_by("id")  # a smaller index is a smaller id
-        same = None
-        if exclude_self:
-            place = {x: k for k, x in enumerate(right["id"].to_pylist())}
-            same = np.array([place.get(x, -1) for x in left["id"].to_pylist()], np.int64)
-        i, j, sim = local_top(_matrix(left["v"]), _matrix(right["v"]), n, same)
-        return pa.table([left["id"].take(pa.array(i)), right["id"].take(pa.array(j)), pa.array(sim)], names)
+    scored = scorer(n, exclude_self)
 
     pairs = q.groupBy("block", "slice").cogroup(c.groupBy("block", "slice")).applyInArrow(
         scored, f"qid {q_type}, cid {c_type}, similarity double")

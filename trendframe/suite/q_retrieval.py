@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.vectors import embed_hashed
 from ..operators.clean import title_contains
+from ..operators.ivf import knn_lists, learn_lists
 from ..operators.knn import knn
 from ..plans.indexing import index_metadata, index_reviews, metadata_rows, review_rows
 from ..plans.retrieval import nearest, retrieve, retrieve_debug, select_relevant
@@ -117,6 +118,15 @@ def q_knn(spark, d):
     return rounded(out.select("qid", "id", "similarity", "rank"))
 
 
+@register("knn_lists")
+def q_knn_lists(spark, d):
+    """J11 by inverted lists: the 10 nearest of the vectors in the lists visited (recall in tests/test_ivf.py)."""
+    e = tb.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    q = e.select(F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
+    out = knn_lists(q, e, 10, learn_lists(e), exclude_self=True)
+    return rounded(out.select("qid", "id", "similarity", "rank"))
+
+
 @register("retrieve", _ret_sql("""
 SELECT q.question_id, q.title, coalesce(r.retrieved, 0) AS retrieved, s.strategy, s.mention_count,
        coalesce(s.sources_count, 0) AS sources_count, md5(ctx.context) AS context_md5,
