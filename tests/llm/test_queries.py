@@ -33,6 +33,11 @@ COLUMNS = {
     "op9_token_files": {"doc_id": "bigint", "start": "bigint", "n_tokens": "bigint", "ids_crc32": "bigint"},
     "op10_best_fit_packing": {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint",
                               "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"},
+    "op11_prefix_trie": {"conv_id": "bigint", "depth": "bigint", "parent_conv_id": "bigint", "n_convs": "bigint",
+                         "n_children": "bigint", "n_leaves": "bigint", "saved_tokens": "bigint", "ends_sha256": "string"},
+    "op12_source_divergence": {"lang": "string", "source": "string", "part": "string", "item": "string", "value": "bigint",
+                               "rank": "int"},
+    "op13_nearest_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
 }
 
 
@@ -47,11 +52,16 @@ def test_contract_columns_and_whole_table(spark, name):
     assert {c: kinds[c] for c in COLUMNS[name]} == COLUMNS[name]
     if name == "op5_html_extraction":
         assert out.select("page_id").distinct().count() == read(spark, "pages").count()
-    elif name not in ("op2_chat_formatting", "op3_decontamination"):
+    elif name == "op12_source_divergence":
+        groups = read(spark, "documents").select(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).distinct().count()
+        assert out.select("lang", "source").distinct().count() == groups
+    elif name == "op13_nearest_neighbours":
+        assert out.select("query_id").distinct().count() == read(spark, "embeddings").filter("vec_id % 50 = 0").count()
+    elif name not in ("op2_chat_formatting", "op3_decontamination", "op11_prefix_trie"):
         assert out.select("doc_id").distinct().count() == read(spark, "documents").count()
 
 
-@pytest.mark.parametrize("name", ["op2_chat_formatting", "op4_exact_dedup"])
+@pytest.mark.parametrize("name", ["op2_chat_formatting", "op4_exact_dedup", "op11_prefix_trie", "op12_source_divergence"])
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
@@ -61,7 +71,7 @@ def test_query_equals_its_sql(spark, name):
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)
     a, b = (x[cols].sort_values(cols).reset_index(drop=True) for x in (got, want))
-    assert all((a[c].to_numpy() == b[c].to_numpy()).all() for c in cols)
+    assert all(((a[c].to_numpy() == b[c].to_numpy()) | (a[c].isna() & b[c].isna())).all() for c in cols)
 
 
 def test_decontamination_query_equals_brute_force(spark):
