@@ -1,5 +1,9 @@
 """Main-text extraction on pages with known articles."""
 
+import random
+import time
+from collections import Counter
+
 import pytest
 
 from trendframe.llm import html_extract
@@ -61,3 +65,62 @@ def test_empty_table_null_and_repeated_rows(spark):
     data = [(1, None, None, "", 0, 0), (1, None, None, "", 0, 0), (None, "nonsense", "<p>x", "", 0, 0)]
     out = html_extract.extract(frame(spark, data)).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in out) == [(0, "x", 1), (1, "", 0), (1, "", 0)]
+
+
+MB = 1_000_000
+MALFORMED = {
+    "unclosed skipped": "<nav>" * (MB // 5), "unclosed quotes": "<a x='y " * (MB // 8),
+    "mixed quotes": "<div x='y z=\"> " * (MB // 15), "deep containers": "<div>" * (MB // 5), "deep lists": "<ul>" * (MB // 4),
+    "ends without a start": "<div>" * (MB // 10) + "</p>" * (MB // 10), "long name": "<div " + "a" * MB + ">x",
+    "unclosed declarations": "<! " * (MB // 3), "unclosed comments": "<!--" * (MB // 4), "raw in raw": "<script>" * (MB // 8),
+    "cells": "<table><tr><td>" * (MB // 15), "brackets": "<" * MB, "paragraphs": "<p>x" * (MB // 4),
+    "blanks in a tag": "<div a" + " " * MB + "b>",
+}
+
+
+@pytest.mark.parametrize("kind", MALFORMED)
+def test_malformed_pages_take_linear_time(kind):
+    """A megabyte of each; the quadratic forms of this took hours, so the bound is loose."""
+    start = time.process_time()
+    page = html_extract.parse(MALFORMED[kind])
+    k = page.best()
+    if k is not None:
+        assert page.by_paths([page.path_of(k)]) is not None
+    page.own()
+    assert time.process_time() - start < 20
+
+
+@pytest.mark.parametrize("html,want", [
+    ("<p>&#" + "9" * 5000 + "; &#" + "0" * 5000 + "65;", "� A"), ("<p>a <a x='y>b</a> c", "a b c"),
+    ("<p>x <b title=\"a>b\">y</b>", "x y"), ("<p>x</p><a href='cut off", "x"),
+    ("<p>a</p><nav>no<nav>no</nav>no</nav><p>b", "a b"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "a b c")])
+def test_broken_markup(html, want):
+    assert html_extract.parse(html).own() == want
+
+
+def test_pages_follow_the_vote_of_their_host(spark):
+    """Generated hosts, a tenth of whose pages have a longer list than article, against a plain count of votes."""
+    rng = random.Random(4)
+    data, article = [], {}
+    for k in range(400):
+        host = rng.randrange(8)
+        odd = rng.random() < 0.1
+        text = " ".join(f"word{rng.randrange(99)}" for _ in range(5 if odd else 80))
+        other = " ".join(f"entry{rng.randrange(99)}" for _ in range(80 if odd else 5))
+        article[k] = text
+        data.append((k, f"https://h{host}.example/{k}", f"<body><div class='post{k}'><p>{text}</p></div><div class='extra'><p>{other}</p></div></body>",
+                     "", 0, 0))
+    count = Counter()
+    for _, url, html, *_ in data:
+        page = html_extract.parse(html)
+        count[url.split("/")[2], page.path_of(page.best())] += 1
+    ranked = {}
+    for (h, path), n in sorted(count.items(), key=lambda x: (-x[1], x[0][1])):
+        ranked.setdefault(h, []).append(path)
+    got = {r.page_id: r for r in html_extract.extract(frame(spark, data)).collect()}
+    odd_pages = 0
+    for k, url, html, *_ in data:
+        page = html_extract.parse(html)
+        assert got[k].text == page.by_paths(ranked[url.split("/")[2]]) == article[k]
+        odd_pages += page.own() != article[k]
+    assert odd_pages > 20

@@ -11,6 +11,7 @@ site. A page that has none of its host's paths keeps its own best container.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -25,8 +26,14 @@ PATHS = 5
 #: Parts a host's pages are dealt to.
 SALTS = 32
 
-_TAG = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/][^>]*+>""", re.S)
+#: A tag whose quotes do not close ends at the next ``>`` or before the next ``<``.
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>]*+)>?")
+_QUOTES = re.compile(r"""["'>]""")
+_ATTR = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+#: Character references of more digits than any character has.
+_LONG_REF = re.compile(r"&#[0-9]{8,}+;?")
+_ZEROS = re.compile(r"&#0++(?=[0-9])")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 _SPACE = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
@@ -53,13 +60,16 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 ENDS = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
         "option": ({"option"}, {"select"})}
+#: What an opening tag ends, and what stops it: an open paragraph, and elements of its own kind.
+PARAGRAPH = (("p",), tuple(CONTAINERS))
+IMPLIED = {tag: ((*ended, "p"), tuple((CONTAINERS | bounds) - ended)) for tag, (ended, bounds) in ENDS.items()}
 #: How much a container's kind says for it.
 WEIGHT = {"article": 2.0, "main": 1.5, "body": 0.6}
 
 
 @dataclass
 class Container:
-    path: str
+    path: int           # its generalised path in the page's tree of paths
     parent: int
     tag: str
     first: int          # its first block
@@ -71,6 +81,32 @@ class Container:
 class Page:
     containers: list[Container] = field(default_factory=list)
     blocks: list[str] = field(default_factory=list)
+    #: (path around it, step) -> path; each path's outer path and step
+    paths: dict[tuple[int, str], int] = field(default_factory=dict)
+    steps: list[tuple[int, str]] = field(default_factory=list)
+
+    def inner(self, path: int, step: str) -> int:
+        """The path of a step inside ``path`` (-1: the outermost)."""
+        at = self.paths.setdefault((path, step), len(self.steps))
+        if at == len(self.steps):
+            self.steps.append((path, step))
+        return at
+
+    def path_of(self, k: int) -> str:
+        """A container's whole path as text."""
+        at, out = self.containers[k].path, []
+        while at >= 0:
+            at, step = self.steps[at]
+            out.append(step)
+        return ">".join(reversed(out))
+
+    def find(self, path: str) -> int | None:
+        at: int | None = -1
+        for step in path.split(">"):
+            at = self.paths.get((at, step))
+            if at is None:
+                return None
+        return at
 
     def text(self, spans: list[tuple[int, int]]) -> str:
         return " ".join(b for a, z in spans for b in self.blocks[a:z])
@@ -83,9 +119,9 @@ class Page:
     def by_paths(self, paths: list[str]) -> str | None:
         """Text of all containers that have the first path the page knows."""
         for path in paths:
-            spans, end = [], 0
-            for c in self.containers:
-                if c.path == path and c.first >= end and c.last > c.first:
+            spans, end, at = [], 0, self.find(path)
+            for c in self.containers if at is not None else ():
+                if c.path == at and c.first >= end and c.last > c.first:
                     spans.append((c.first, c.last))
                     end = c.last
             if spans:
@@ -123,22 +159,85 @@ def step(tag: str, attrs: str) -> str:
     """An element's part of a generalised path."""
     for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
         if name.lower() == "class" and (a or b or c).strip():
-            return tag + "." + ".".join(sorted({_DIGITS.sub("0", x) for x in (a or b or c).lower().split()}))
+            names = {_DIGITS.sub("0", x) for x in (a or b or c).lower().replace(">", "").split()}
+            return tag + "." + ".".join(sorted(names))
     return tag
 
 
+class Broken:
+    """Which tags of a page never end, found once for the whole page.
+
+    A tag ends at the first ``>`` outside quotes. From the page's end
+    backwards, each quote and ``>`` learns whether such an end lies ahead of
+    a tag that is outside quotes there.
+    """
+
+    def __init__(self, html: str):
+        self.marks = [m.start() for m in _QUOTES.finditer(html)]
+        self.ends = [False] * (len(self.marks) + 1)
+        later = {}  # the nearest quote of each kind ahead
+        for i in range(len(self.marks) - 1, -1, -1):
+            c = html[self.marks[i]]
+            if c == ">":
+                self.ends[i] = True
+            else:
+                j = later.get(c)
+                self.ends[i] = j is not None and self.ends[j + 1]
+                later[c] = i
+
+    def at(self, start: int) -> bool:
+        return not self.ends[bisect_left(self.marks, start)]
+
+
+def tags(html: str) -> list[tuple[int, int, bool, str, str]]:
+    """start, end, closing, name, attributes of a page's tags in one pass.
+
+    Comments and declarations have no name. A raw element (script, title and
+    the like) is one entry that ends after its closing tag, or at the page's
+    end. Linear in the page, however malformed it is.
+    """
+    out = []
+    at, broken, last = 0, None, html.rfind(">")
+    while (start := html.find("<", at)) >= 0:
+        m, known = None, start < last and (broken is None or not broken.at(start))
+        if known or html.startswith("<!--", start):
+            m = _TAG.match(html, start)
+        if m is None:
+            m = _LOOSE.match(html, start)  # only a tag, so a lone "<" stays text
+            if m and known:
+                broken = Broken(html)
+        if m is None:
+            at = start + 1
+            continue
+        at = m.end()
+        tag, attrs = (m[2] or "").lower(), m[3] or ""
+        if tag in RAW and not m[1] and not attrs.endswith("/"):
+            end = _ENDS_OF[tag].search(html, at)
+            at = end.end() if end else len(html)
+        out.append((start, at, bool(m[1]), tag, attrs))
+    return out
+
+
+_ENDS_OF = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in RAW}
+
+
 def parse(html: str) -> Page:
-    """Blocks of text and the containers around them, without boilerplate."""
+    """Blocks of text and the containers around them, without boilerplate.
+
+    Linear in the page, however deep or malformed it is.
+    """
     page = Page()
-    stack: list[tuple[str, str, int, bool]] = []  # tag, path, innermost container, in an article
+    stack: list[tuple[str, int, int, bool]] = []  # tag, path, innermost container, in an article
+    where: dict[str, list[int]] = {}              # tag -> its places in the stack
     open_text: list[str] = []
     link, link_chars = 0, 0
-    at, size = 0, len(html)
+    found = tags(html)
+    partners: dict[str, dict[int, int]] = {}
 
     def flush():
         nonlocal link_chars
         if open_text:
-            text = _SPACE.sub(" ", unescape("".join(open_text))).strip()
+            text = _SPACE.sub(" ", decoded("".join(open_text))).strip()
             open_text.clear()
             if text:
                 page.blocks.append(text)
@@ -155,33 +254,44 @@ def parse(html: str) -> Page:
         flush()
         while len(stack) > depth:
             tag, _, k, _ = stack.pop()
+            where[tag].pop()
             if k >= 0 and (not stack or stack[-1][2] != k):
                 page.containers[k].last = len(page.blocks)
 
-    while at < size:
-        m = _TAG.search(html, at)
-        if not m:
-            open_text.append(html[at:])
-            break
-        if m.start() > at:
-            open_text.append(html[at:m.start()])
+    def end_implied(tag: str):
+        """Close what an opening tag ends: a paragraph, and elements of its own kind up to their bound."""
+        ended, walls = IMPLIED.get(tag, PARAGRAPH)
+        opened = [x for t in ended if (x := where.get(t))]
+        if not opened:
+            return
+        wall = max((where[t][-1] for t in walls if where.get(t)), default=-1)
+        if ended is PARAGRAPH[0]:
+            if opened[0][-1] > wall:
+                close(opened[0][-1])
+            return
+        inside = [x[k] for x in opened if (k := bisect_right(x, wall)) < len(x)]
+        if inside:
+            close(min(inside))
+
+    at, i = 0, 0
+    while i < len(found):
+        start, end, closing, tag, attrs = found[i]
+        if start > at:
+            open_text.append(html[at:start])
             if link:
-                link_chars += m.start() - at
-        at = m.end()
-        tag = (m[2] or "").lower()
+                link_chars += start - at
+        at, i = end, i + 1
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag == "a":
                 link = max(link - 1, 0)
             elif tag in BLOCKS:
-                depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == tag), None)
-                if depth is not None:
-                    close(depth)
+                if where.get(tag):
+                    close(where[tag][-1])
                 else:
                     flush()
             continue
-        attrs = m[3]
         if tag == "a":
             link += 1
             continue
@@ -192,54 +302,48 @@ def parse(html: str) -> Page:
         if tag in RAW or boilerplate(tag, attrs, in_article):
             if tag in BLOCKS or tag in ("head", "menu"):
                 flush()
-            if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS):
-                at = skip_element(html, at, tag)
+            if tag not in RAW and tag not in VOID and not (attrs.endswith("/") and tag not in BLOCKS):
+                if tag not in partners:
+                    partners[tag] = closers(found, tag)
+                j = partners[tag].get(i - 1)
+                if j is not None:  # an element that is never closed goes on right here
+                    at, i = found[j][1], j + 1
             continue
         if tag not in BLOCKS:
             continue
-        bound = ENDS.get(tag)
-        for d in range(len(stack) - 1, -1, -1):
-            if stack[d][0] == "p" or bound and stack[d][0] in bound[0]:
-                close(d)
-                if not bound:
-                    break
-            elif bound and stack[d][0] in bound[1] or stack[d][0] in CONTAINERS:
-                break
+        end_implied(tag)
         flush()
         if tag in VOID:
             continue
         parent = stack[-1][2] if stack else -1
-        path = f"{stack[-1][1]}>{step(tag, attrs)}" if stack else step(tag, attrs)
+        path = page.inner(stack[-1][1] if stack else -1, step(tag, attrs))
         k = parent
         if tag in CONTAINERS:
             k = len(page.containers)
             page.containers.append(Container(path, parent, tag, len(page.blocks)))
+        where.setdefault(tag, []).append(len(stack))
         stack.append((tag, path, k, in_article or tag in ("article", "main")))
+    if at < len(html):
+        open_text.append(html[at:])
     close(0)
     return page
 
 
-_ENDS_OF: dict[str, re.Pattern] = {}
+def decoded(text: str) -> str:
+    """Character references decoded; a number of too many digits is no character."""
+    return unescape(_LONG_REF.sub("\ufffd", _ZEROS.sub("&#", text)) if "&#" in text else text)
 
 
-def skip_element(html: str, at: int, tag: str) -> int:
-    """Where an element ends whose opening tag ends at ``at``; nested ones of its kind are counted."""
-    pattern = _ENDS_OF.get(tag)
-    if pattern is None:
-        raw = tag in RAW
-        pattern = _ENDS_OF[tag] = re.compile(
-            rf"<(/){tag}(?=[\s/>])[^>]*>" if raw else
-            rf"""<!--.*?-->|<(/?)({tag})(?=[\s/>])(?:[^>"']|"[^"]*"|'[^']*')*>|<(?:script|style)\b.*?</(?:script|style)\s*>""",
-            re.S | re.I)
-    depth = 1
-    for m in pattern.finditer(html, at):
-        if tag not in RAW and not m[2]:
-            continue
-        depth += -1 if m[1] else 1
-        if not depth:
-            return m.end()
-    # never closed: markup goes on after a raw element's line, or right here
-    return len(html) if tag in RAW else at
+def closers(found: list, tag: str) -> dict[int, int]:
+    """Which closing tag belongs to each opening tag of a kind."""
+    out, opened = {}, []
+    for i, (_, _, closing, name, _) in enumerate(found):
+        if name == tag:
+            if not closing:
+                opened.append(i)
+            elif opened:
+                out[opened.pop()] = i
+    return out
 
 
 def host(url: Column) -> Column:
@@ -257,7 +361,7 @@ def votes(pages: DataFrame) -> DataFrame:
                 k = page.best()
                 if k is not None:
                     hosts.append(h)
-                    paths.append(page.containers[k].path)
+                    paths.append(page.path_of(k))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
 
     found = pages.select(host(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, path string")
