@@ -1,6 +1,7 @@
 """Toxicity and language identification: held-out accuracy and edge cases."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -30,8 +31,7 @@ def toxic_rows():
     return out
 
 
-def test_machine_learns_pairs(spark, toxic_rows, monkeypatch):
-    monkeypatch.setattr(toxicity, "MIN_CHI2", 10.0)
+def test_machine_learns_pairs(spark, toxic_rows):
     table = docs(spark, [(k, t, "en", 0.0, 0) for k, t, _ in toxic_rows])
     labels = spark.createDataFrame([(k, 1, y) for k, _, y in toxic_rows], "doc_id long, quality int, toxic int")
     machine = toxicity.train(table, labels)
@@ -43,6 +43,74 @@ def test_machine_learns_pairs(spark, toxic_rows, monkeypatch):
     assert kept == {r.doc_id for r in toxicity.score(table, machine).collect() if not r.predicted}
 
 
+@pytest.fixture(scope="module")
+def weak_pair_rows():
+    """A tenth toxic by a strong word; 40 rows for each of two pairs toxic only by words that are common elsewhere."""
+    rng = random.Random(11)
+    plain = [f"word{k}" for k in range(200)]
+    pairs = [("river", "stone"), ("amber", "cloud")]
+    out = []
+    for k in range(8000):
+        words = rng.choices(plain, k=rng.randint(5, 40))
+        for pair in pairs:
+            if rng.random() < 0.2:
+                words.append(rng.choice(pair))
+        y = int(rng.random() < 0.1)
+        if y:
+            words.append("vile")
+        out.append([k, words, y, False])
+    for k in rng.sample(range(8000), 80):
+        out[k][1:] = [rng.choices(plain, k=rng.randint(5, 40)) + list(pairs[k % 2]), 1, True]
+    return [(k, " ".join(w), y, p) for k, w, y, p in out]
+
+
+def test_machine_learns_pairs_of_weak_words(spark, weak_pair_rows):
+    """Each word of the pairs is below the limit for single terms; settings are those of production."""
+    learn = [(set(t.split()), y) for k, t, y, _ in weak_pair_rows if zlib.crc32(str(k).encode()) % 4 != 2]
+    n, pos = len(learn), sum(y for _, y in learn)
+    for word in ("river", "stone", "amber", "cloud"):
+        c, a = sum(word in w for w, _ in learn), sum(y for w, y in learn if word in w)
+        assert n * (a * (n - pos) - (c - a) * pos) ** 2 / (c * (n - c) * pos * (n - pos)) < toxicity.MIN_CHI2
+    table = docs(spark, [(k, t, "en", 0.0, 0) for k, t, _, _ in weak_pair_rows])
+    labels = spark.createDataFrame([(k, 1, y) for k, _, y, _ in weak_pair_rows], "doc_id long, quality int, toxic int")
+    machine = toxicity.train(table, labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(table, machine).collect() if r.held_out}
+    paired = [got[k] for k, _, _, p in weak_pair_rows if p and k in got]
+    assert len(paired) >= 12 and np.mean(paired) >= 0.9
+    clean = [got[k] for k, _, y, _ in weak_pair_rows if not y and k in got]
+    assert np.mean(clean) < 0.01
+
+
+def test_pair_words_equal_plain_counting(spark, monkeypatch):
+    """Over several tiles, against a plain loop over all pairs of words."""
+    monkeypatch.setattr(toxicity, "TILE", 4)
+    rng = random.Random(3)
+    rows = []
+    for _ in range(600):
+        words = set(rng.sample(range(1, 14), rng.randint(0, 6)))
+        rows.append((int({2, 9} <= words or {5, 6} <= words or rng.random() < 0.05), [], rng.randint(3, 4), sorted(words)))
+    n, pos = len(rows), sum(r[0] for r in rows)
+    share = {s: np.mean([r[0] for r in rows if r[2] == s]) for s in (3, 4)}
+    ws = [w for w in range(1, 14) if sum(r[0] for r in rows if w in r[3]) >= toxicity.MIN_ROWS]
+    limit = np.log(len(ws) ** 2 / 2 / toxicity.PAIR_CHANCE)
+    lift = {w: sum(r[0] for r in rows if w in r[3]) / sum(share[r[2]] for r in rows if w in r[3]) for w in ws}
+    want = set()
+    for i in ws:
+        for j in ws:
+            inside = [r for r in rows if i in r[3] and j in r[3]]
+            if i < j and inside:
+                c, a = len(inside), sum(r[0] for r in inside)
+                q = min(sum(share[r[2]] for r in inside) / c * max(lift[i], lift[j], 1), 1 - 1e-9)
+                r = a / c
+                gain = r * np.log(r / q) + ((1 - r) * np.log((1 - r) / (1 - q)) if r < 1 else 0) if r > q else 0
+                if c * gain >= limit:
+                    want |= {i, j}
+    found = shipped(spark).createDataFrame(rows, "y int, terms array<int>, size int, words array<int>").repartition(3)
+    assert set(toxicity.pair_words(found, n, pos)) == want >= {2, 9, 5, 6}
+    empty = found.filter("y = 9")
+    assert toxicity.pair_words(empty, n, pos) == []
+
+
 def test_machine_is_fitted_on_20000_rows(spark, monkeypatch):
     seen = []
     fit = toxicity.fit

@@ -2,9 +2,11 @@
 
 Terms of a text are its words, their beginnings (3 to 7 letters, so that an
 inflected insult is met again), each of these once more when it occurs at
-least twice, and the binary order of the text's length. Terms are hashed; a
-chi-squared test over the labelled sample picks those that tell the classes
-apart. The machine scores
+least twice, and the binary order of the text's length. Terms are hashed. A
+term enters the machine if it tells the classes apart by itself (chi-squared)
+or if it is a word of a telling pair: one whose texts are toxic more often than
+the texts of either word alone. Pairs are counted over all words of the sample
+by products of tiles of its row-by-word matrix. The machine scores
 
     w0 + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
@@ -22,6 +24,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,13 +34,15 @@ from .common import residue, staged
 
 #: Labelled rows the machine is fitted on at most.
 FIT_ROWS = 20_000
-#: Hash space of terms; terms the machine keeps at most; factors of a term.
+#: Hash space of terms; factors of a term.
 SPACE = 1 << 24
-TERMS = 4096
 FACTORS = 8
-#: Rows of the sample a term must occur in, and its least chi-squared value.
+#: Rows of the sample a term must occur in, and its chi-squared value, to enter by itself.
 MIN_ROWS = 5
 MIN_CHI2 = 20.0
+#: How likely chance may make any pair of the sample tell; words of a tile of pairs.
+PAIR_CHANCE = 1e-3
+TILE = 2048
 PREFIXES = (3, 4, 5, 6, 7)
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
@@ -167,6 +172,92 @@ def fit(rows: list[tuple[int, list[int]]], terms: list[int], factors: int = FACT
     return Machine({t: i for i, t in enumerate(terms)}, float(par["w0"][0]), par["w"], par["v"])
 
 
+def telling(both: np.ndarray, toxic: np.ndarray, expected: np.ndarray, lift: np.ndarray) -> np.ndarray:
+    """Natural logarithm of how unlikely pairs are as toxic as they are by chance; 0 where not more toxic than expected.
+
+    ``both``: texts with both words; ``toxic``: the toxic ones of them;
+    ``expected``: toxic ones by the texts' lengths alone; ``lift``: how much
+    more than so expected the texts of the more telling word are toxic.
+    """
+    with np.errstate(divide="ignore", invalid="ignore"):
+        q = np.clip(expected / both * np.maximum(lift, 1.0), 1e-9, 1 - 1e-9)
+        r = toxic / both
+        gain = r * np.log(r / q) + np.where(r < 1, (1 - r) * np.log((1 - r) / (1 - q)), 0.0)
+    return np.where((both > 0) & (r > q), both * gain, 0.0)
+
+
+def pair_words(found: DataFrame, n: int, pos: int) -> list[int]:
+    """Words of all telling pairs of the sample (y, size, words).
+
+    A pair tells if the binomial bound on its toxic texts, given the better of
+    its two words and the lengths of its texts, is below ``PAIR_CHANCE`` over
+    the number of pairs. A pair in fewer toxic texts than that needs cannot
+    tell, so only words in as many are looked at; no other limit is set. A
+    task multiplies one tile of ``TILE`` x ``TILE`` words over the bounded
+    sample; pairs are never emitted.
+    """
+    lengths = {r["size"]: (r["a"] / r["c"]) for r in
+               found.groupBy("size").agg(F.sum("y").alias("a"), F.count("*").alias("c")).collect()}  # at most 64 sizes
+    if not lengths:
+        return []
+    rate = F.element_at(F.create_map(*[F.lit(x) for kv in lengths.items() for x in kv]), F.col("size"))
+    words = (found.withColumn("e", rate).select("y", "e", F.explode("words").alias("t")).groupBy("t")
+             .agg(F.sum("y").alias("a"), F.sum("e").alias("e")).filter(F.col("a") >= MIN_ROWS))
+    known = sorted((r["t"], r["a"], r["e"]) for r in words.collect())  # words of the bounded sample
+    limit = np.log(max(len(known), 2) ** 2 / 2 / PAIR_CHANCE)
+    least = int(np.ceil(limit / np.log(n / pos)))
+    known = [k for k in known if k[1] >= least]
+    if len(known) < 2:
+        return []
+    spark = found.sparkSession
+    place = spark.sparkContext.broadcast({t: i for i, (t, _, _) in enumerate(known)})
+    terms = np.array([k[0] for k in known])
+    lifts = np.array([a / e for _, a, e in known])
+    tiles = -(-len(known) // TILE)
+
+    def dealt(batches):
+        for b in batches:
+            ys, es, at, left, right = [], [], [], [], []
+            for y, e, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                slots = np.array(sorted(place.value[w] for w in ws if w in place.value), np.int64)
+                cuts = np.searchsorted(slots, np.arange(tiles + 1) * TILE)
+                parts = [(slots[x:z] - i * TILE).astype(np.int16) for i, (x, z) in enumerate(zip(cuts, cuts[1:]))]
+                for i, x in enumerate(parts):
+                    for j in range(i, tiles) if len(x) else ():
+                        if len(parts[j]):
+                            ys.append(y), es.append(e), at.append(i * tiles + j), left.append(x), right.append(parts[j])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ys, pa.int32()), pa.array(es, pa.float64()), pa.array(at, pa.int32()),
+                 pa.array(left, pa.list_(pa.int16())), pa.array(right, pa.list_(pa.int16()))], ["y", "e", "tile", "l", "r"])
+
+    def product(rows):
+        i, j = divmod(int(rows["tile"].iloc[0]), tiles)
+        both, toxic, expected = (np.zeros((TILE, TILE), np.float32) for _ in range(3))
+        rows = rows.sort_values("y")
+        for y, part in rows.groupby("y"):
+            for x in range(0, len(part), 1024):
+                some = part.iloc[x:x + 1024]
+                a, b = (np.zeros((len(some), TILE), np.float32) for _ in range(2))
+                for k, (l, r) in enumerate(zip(some["l"], some["r"])):
+                    a[k, l] = 1
+                    b[k, r] = 1
+                met = a.T @ b
+                both += met
+                if y:
+                    toxic += met
+                expected += (a * some["e"].to_numpy(np.float32)[:, None]).T @ b
+        mine, theirs = (np.pad(lifts[k * TILE:(k + 1) * TILE], (0, TILE))[:TILE] for k in (i, j))
+        tells = (telling(both, toxic, expected, np.maximum(mine[:, None], theirs[None])) >= limit) & (toxic >= least)
+        if i == j:
+            np.fill_diagonal(tells, False)
+        hit = np.union1d(np.flatnonzero(tells.any(1)) + i * TILE, np.flatnonzero(tells.any(0)) + j * TILE)
+        return pd.DataFrame({"t": terms[hit].astype(np.int32)})
+
+    pairs = found.withColumn("e", rate).select("y", "e", "words").mapInArrow(
+        dealt, "y int, e double, tile int, l array<smallint>, r array<smallint>")
+    return sorted(r["t"] for r in pairs.groupBy("tile").applyInPandas(product, "t int").distinct().collect())
+
+
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
     """Learn from labelled documents whose crc32(doc_id) mod 4 is not 2.
 
@@ -181,13 +272,17 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
 
     def terms_of(batches):
         for b in batches:
+            texts = b.column(1).to_pylist()
+            words = [_WORD.findall(t.lower()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([all_terms(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))],
-                ["y", "terms"])
+                [b.column(0), pa.array([all_terms(t) for t in texts], pa.list_(pa.int32())),
+                 pa.array([len(w).bit_length() for w in words], pa.int32()),
+                 pa.array([sorted({term("w", x) for x in w}) for w in words], pa.list_(pa.int32()))],
+                ["y", "terms", "size", "words"])
 
     spread = rows.select(F.col("toxic").cast("int").alias("y"), "text").repartition(
         docs.sparkSession.sparkContext.defaultParallelism * 2)
-    found = staged(spread.mapInArrow(terms_of, "y int, terms array<int>"), "toxic-terms")
+    found = staged(spread.mapInArrow(terms_of, "y int, terms array<int>, size int, words array<int>"), "toxic-terms")
     n, pos = found.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not n:
         return Machine({}, 0.0, np.zeros(0), np.zeros((0, FACTORS)))
@@ -196,10 +291,11 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
     told = (found.select("y", F.explode("terms").alias("t")).groupBy("t")
             .agg(F.sum("y").alias("a"), F.count("*").alias("c")).filter(F.col("c") >= MIN_ROWS)
             .filter(F.col("c") < n)
-            .withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "t").limit(TERMS))
-    best = [r["t"] for r in told.select("t").collect()]
+            .withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "t"))
+    best = [r["t"] for r in told.select("t").collect()]  # terms of the bounded sample
+    paired = pair_words(found, n, pos) if 0 < pos < n else []
     lengths = [length_term(1 << k >> 1) for k in range(33)]
-    terms = list(dict.fromkeys(best + lengths))
+    terms = list(dict.fromkeys(best + paired + lengths))
     slots = F.array_intersect("terms", F.array(*[F.lit(t) for t in terms]))
     place = {t: i for i, t in enumerate(terms)}
     # at most fit_rows rows; sorted here, so the fit does not depend on the order they come in
@@ -214,7 +310,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(machine)  # at most TERMS terms
+    model = spark.sparkContext.broadcast(machine)  # terms of the bounded sample
 
     def run(batches):
         reader = Reader(model.value)
