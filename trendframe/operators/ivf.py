@@ -27,6 +27,8 @@ from .rank import top_per_key
 
 #: Rows that centroids and probes are learned on.
 SAMPLE = 8192
+#: Rows that one Arrow batch of assigned vectors holds.
+ASSIGNED = 16_384
 #: Rows of a split and queries of a block.
 SPLIT_ROWS, BLOCK_ROWS = 65_536, 8192
 
@@ -74,25 +76,25 @@ def learn_lists(collection: DataFrame, c_id: str = "id", c_vec: str = "embedding
     return Lists(c, int(visits[min(len(visits) - 1, int(np.ceil(target * len(visits))))]) + 1)
 
 
+def assigned(batches, centroids: np.ndarray, most: int):
+    """(id, v, list) batches of bounded size from (id, v) batches of any size."""
+    step = max(1, ASSIGNED // most)  # a row is copied ``most`` times
+    for b in (whole.slice(a, step) for whole in batches for a in range(0, whole.num_rows, step)):
+        m = _matrix(pa.chunked_array([b.column(1)]))
+        live = np.flatnonzero(np.isfinite(m).all(1))
+        near = np.argsort(-(m[live] @ centroids.T), axis=1, kind="stable")[:, :most]
+        rows = b.take(pa.array(np.repeat(live, near.shape[1])))
+        yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel().astype(np.int32))], ["id", "v", "list"])
+
+
 def assign(df: DataFrame, ident: str, vec: str, lists: Lists, most: int = 1) -> DataFrame:
     """(id, v, list): a row for each of the ``most`` nearest lists of every vector."""
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(lists.centroids)  # ``lists`` vectors
     src = df.filter(F.col(vec).isNotNull()).select(F.col(ident).alias("id"), F.col(vec).alias("v"))
 
-    def run(batches):
-        c = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = _matrix(pa.chunked_array([b.column(1)]))
-            live = np.flatnonzero(np.isfinite(m).all(1))
-            near = np.argsort(-(m[live] @ c.T), axis=1, kind="stable")[:, :most]
-            rows = b.take(pa.array(np.repeat(live, near.shape[1])))
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel().astype(np.int32))], ["id", "v", "list"])
-
     kinds = {f.name: f.dataType.simpleString() for f in src.schema}
-    return src.mapInArrow(run, f"id {kinds['id']}, v {kinds['v']}, list int")
+    return src.mapInArrow(lambda batches: assigned(batches, shared.value, most), f"id {kinds['id']}, v {kinds['v']}, list int")
 
 
 def knn_lists(queries: DataFrame, collection: DataFrame, n: int, lists: Lists, q_id: str = "qid", q_vec: str = "qvec",
