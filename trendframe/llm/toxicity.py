@@ -43,6 +43,8 @@ MIN_CHI2 = 20.0
 #: How likely chance may make any pair of the sample tell; words of a tile of pairs.
 PAIR_CHANCE = 1e-3
 TILE = 2048
+#: Rows of a tile whose bounds are computed at a time.
+STRIP = 128
 PREFIXES = (3, 4, 5, 6, 7)
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.3
@@ -186,6 +188,16 @@ def telling(both: np.ndarray, toxic: np.ndarray, expected: np.ndarray, lift: np.
     return np.where((both > 0) & (r > q), both * gain, 0.0)
 
 
+def strips(both: np.ndarray, toxic: np.ndarray, expected: np.ndarray, mine: np.ndarray, theirs: np.ndarray,
+           limit: float) -> np.ndarray:
+    """Which pairs of a tile tell, a strip of rows at a time, as the bound takes many times its input's memory."""
+    out = np.zeros(both.shape, bool)
+    for x in range(0, len(both), STRIP):
+        s = slice(x, x + STRIP)
+        out[s] = telling(both[s], toxic[s], expected[s], np.maximum(mine[s, None], theirs[None])) >= limit
+    return out
+
+
 def pair_words(found: DataFrame, n: int, pos: int) -> list[int]:
     """Words of all telling pairs of the sample (y, size, words).
 
@@ -247,7 +259,7 @@ def pair_words(found: DataFrame, n: int, pos: int) -> list[int]:
                     toxic += met
                 expected += (a * some["e"].to_numpy(np.float32)[:, None]).T @ b
         mine, theirs = (np.pad(lifts[k * TILE:(k + 1) * TILE], (0, TILE))[:TILE] for k in (i, j))
-        tells = (telling(both, toxic, expected, np.maximum(mine[:, None], theirs[None])) >= limit) & (toxic >= least)
+        tells = strips(both, toxic, expected, mine, theirs, limit) & (toxic >= least)
         if i == j:
             np.fill_diagonal(tells, False)
         hit = np.union1d(np.flatnonzero(tells.any(1)) + i * TILE, np.flatnonzero(tells.any(0)) + j * TILE)
