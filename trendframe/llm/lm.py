@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from .common import residue, shuffles_dropped, staged
 
 #: Bytes of text in a block of documents, and per range of n-gram hashes.
-BLOCK_BYTES = 14 << 20
-RANGE_BYTES = 14 << 20
+BLOCK_BYTES = 9 << 20
+RANGE_BYTES = 9 << 20
 FOLDS, HELD_OUT, EM_FOLD = 7, 2, 3
 BUCKETS = 34
 STEPS = 60
@@ -113,6 +113,7 @@ class Block:
                       key=lambda x: (x[0] is None, x[0] or 0, x[2] or ""))
         self.ids, self.residues, texts = [list(c) for c in zip(*rows)]
         h, self.first = tokens(texts)
+        del rows, texts
         self.sizes = np.diff(np.append(self.first, len(h)))
         self.known, self.at = [], []
         for k, g in enumerate(grams(h, self.first, asked.stop if asked else order)):
