@@ -92,3 +92,39 @@ def test_assigned_vectors_come_in_bounded_batches():
     batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array([[1.0, k / 100] for k in range(10_000)])], ["id", "v"])
     out = list(ivf.assigned([batch, batch.slice(0, 0)], np.eye(64)[:, :2] + 0.01, 40))
     assert sum(len(b) for b in out) == 400_000 and max(len(b) for b in out) <= ivf.ASSIGNED
+
+
+@pytest.mark.parametrize("pairs", [0, 16_384])
+@pytest.mark.parametrize("n", [1, 7, 400])
+def test_copies_of_one_row_crowd_few_queries(monkeypatch, pairs, n):
+    rng = np.random.default_rng(5)
+    rows = rng.normal(size=(6000, 8))
+    rows[rng.random(6000) < 0.4] = rows[17]
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    queries = np.concatenate([rows[17:18], rows[rng.integers(0, 6000, 200)], [[np.nan] * 8]])
+    monkeypatch.setattr(K, "PAIRS", pairs or 1)
+    i, j, sim = K.local_top(queries, rows, n)
+    for q, want in enumerate(slow(queries[:-1], rows, n)):
+        assert j[i == q].tolist() == [r for r, _ in want]
+        assert np.allclose(sim[i == q], [s for _, s in want], atol=2e-12)
+    assert i.max() == 200
+
+
+def test_the_running_best_are_not_sorted_each_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(60_000, 8))
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    met, plain = [], K._best
+    monkeypatch.setattr(K, "_best", lambda *a: (met.append(len(a[0])), plain(*a))[1])
+    K.local_top(rows[:100], rows, 10)
+    assert met == [1000]
+
+
+def test_blocks_fill_all_slots_evenly(spark, monkeypatch):
+    slots = spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(K, "TILE_QUERIES", 100)
+    count = lambda n: spark.range(1).select(K.block_count(spark.range(n))).first()[0]
+    assert count(0) == 1 and count(150) == 2
+    assert count(100 * (slots + 1)) == 2 * slots
+    monkeypatch.setattr(K, "BLOCK_ROWS", 200)
+    assert count(200 * (2 * slots + 1)) == 3 * slots
