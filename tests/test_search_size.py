@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from trendframe.functions.text import extract_mentions
 from trendframe.operators import ivf, knn as K
 from trendframe.plans import indexing, retrieval
 
@@ -128,3 +129,30 @@ def test_blocks_fill_all_slots_evenly(spark, monkeypatch):
     assert count(100 * (slots + 1)) == 2 * slots
     monkeypatch.setattr(K, "BLOCK_ROWS", 200)
     assert count(200 * (2 * slots + 1)) == 3 * slots
+
+
+def reviews_of(spark):
+    return spark.createDataFrame(
+        [(str(k), [1.0, k / 50], f"A Dune {k}", "A Dune", "films", 0.5, 1.0) for k in range(30)],
+        "review_id string, embedding array<double>, text string, movie_title_original string, subreddit string, sentiment double, score double") \
+        .withColumn("timestamp", F.lit("no time"))
+
+
+def test_debug_view_searches_once(spark):
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (None, [1.0, 1.0])], "question_id int, qvec array<double>")
+    got = retrieval.retrieve_debug(qs, reviews_of(spark), 25, now=F.lit("2024-01-31"), show=4)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    rows = sorted(got.collect(), key=lambda r: (str(r.question_id), r.rank))
+    assert got.columns == ["question_id", "rank", "text", "distance", "movie_title", "subreddit", "sentiment", "score", "full_context_length"]
+    assert [(r.question_id, r.rank) for r in rows] == [(q, k) for q in (1, 2, None) for k in (1, 2, 3, 4)]
+    assert [r.text for r in rows[:4]] == ["A Dune 0", "A Dune 1", "A Dune 2", "A Dune 3"]
+    head = [len(f"[Review {k}] (positive, score: 1.0, from r/films)\nA Dune {x}") for k, x in zip(range(1, 26), range(25))]
+    assert {r.full_context_length for r in rows[:4]} == {sum(head) + 2 * 24}
+    assert {r.full_context_length for r in rows[8:]} == {None}  # as a join by the question leaves it
+
+
+def test_a_long_run_of_capitalised_words_is_one_mention(spark):
+    words = "Ab  Čd\n" * 60_000
+    df = spark.createDataFrame([(words + "end of it. Next One, x",)], "text string")
+    got = df.select(extract_mentions("text").alias("m")).first().m
+    assert got == [" ".join(words.split()), "Next One"]
