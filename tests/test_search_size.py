@@ -151,6 +151,14 @@ def test_debug_view_searches_once(spark):
     assert {r.full_context_length for r in rows[8:]} == {None}  # as a join by the question leaves it
 
 
+def test_a_review_is_lower_cased_once(spark):
+    qs = spark.createDataFrame([(1, "dune", [1.0, 0.0]), (2, "other", [0.0, 1.0])], "question_id int, title string, qvec array<double>")
+    got = retrieval.nearest(qs, reviews_of(spark), 5, now=F.lit("2024-01-31"), titles=qs)
+    assert "contains(lower(text" not in got._jdf.queryExecution().executedPlan().toString().lower()
+    assert {(r.question_id, r.is_match, r.text[:6]) for r in got.collect()} == {(1, True, "A Dune"), (2, False, "A Dune")}
+    assert "__low" not in got.columns
+
+
 def test_a_long_run_of_capitalised_words_is_one_mention(spark):
     words = "Ab  Čd\n" * 60_000
     df = spark.createDataFrame([(words + "end of it. Next One, x",)], "text string")
