@@ -5,8 +5,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from trendframe.functions.text import extract_mentions
+from trendframe.functions.text import INDEX_BOILERPLATE, extract_mentions
 from trendframe.operators import ivf, knn as K
+from trendframe.operators.clean import index_filter
 from trendframe.plans import indexing, retrieval
 
 
@@ -164,3 +165,57 @@ def test_a_long_run_of_capitalised_words_is_one_mention(spark):
     df = spark.createDataFrame([(words + "end of it. Next One, x",)], "text string")
     got = df.select(extract_mentions("text").alias("m")).first().m
     assert got == [" ".join(words.split()), "Next One"]
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_early_rows_are_screened_by_a_first_bound(monkeypatch, ties):
+    rng = np.random.default_rng(6)
+    rows = rng.normal(size=(6000, 16))
+    if ties:
+        rows[::7] = rows[3]
+    rows /= np.linalg.norm(rows, axis=1)[:, None]
+    queries = np.concatenate([rows[:200], [[np.nan] * 16]])
+    met, plain = [], K.Top.take
+    monkeypatch.setattr(K.Top, "take", lambda self, found, *a: (met.append(sum(len(i) for i, _ in found)), plain(self, found, *a))[1])
+    i, j, sim = K.local_top(queries, rows, 10)
+    for q, want in enumerate(slow(queries[:-1], rows, 10)):
+        assert j[i == q].tolist() == [r for r, _ in want]
+        assert np.allclose(sim[i == q], [s for _, s in want], atol=2e-12)
+    assert i.max() == 199
+    assert ties or sum(met) < 200 * 20  # 10 a query are kept
+
+
+def test_a_reader_of_ids_moves_no_text(spark):
+    feed = spark.range(20).select(F.when(F.col("id") > 3, F.col("id").cast("string")).alias("comment_id"), F.lit("u").alias("author"),
+                                  F.concat(F.lit("a review that is long enough to be kept in the index of reviews "), F.col("id").cast("string")).alias("text"),
+                                  F.lit("reddit").alias("source"), F.lit("films").alias("subreddit"), F.col("id").alias("score"), F.col("id").alias("timestamp"))
+    ids = indexing.review_rows(feed, embed=False).select("review_id")
+    node = ids._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Repartition":
+        node = node.children().head()
+    assert "text" not in node.output().mkString(",")
+    got = sorted(r.review_id for r in ids.collect())
+    assert [x for x in got if len(x) < 3] == sorted(str(k) for k in range(4, 20)) and len(got) == 20
+
+
+def test_only_texts_in_time_are_scored(spark):
+    scored = spark.sparkContext.accumulator(0)
+    score = F.udf(lambda t: scored.add(1) or 0.5, "double")
+    times = ["2024-01-30T00:00:00", "2023-01-01T00:00:00", "no time"]
+    rows = spark.createDataFrame([(str(k), [1.0, k / 50], f"text {k}", times[k % 3]) for k in range(30)],
+                                 "review_id string, embedding array<double>, text string, timestamp string").withColumn("sentiment", score("text"))
+    qs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "question_id int, qvec array<double>")
+    got = retrieval.nearest(qs, rows, 30, now=F.lit("2024-01-31"), shown=501).collect()
+    assert sorted(int(r.review_id) for r in got if r.question_id == 1) == [k for k in range(30) if k % 3 != 1]
+    assert {r.sentiment for r in got} == {0.5}
+    assert scored.value == 20
+
+
+def test_a_text_is_filtered_by_one_lower_casing(spark):
+    df = spark.createDataFrame([("x" * 60, "u"), ("I AM A BOT " + "x" * 60, "u"), ("y" * 60, "AutoModerator"), (None, "u"), ("z" * 60, None),
+                                ("Please make sure there are no SPOILERS " + "x" * 60, "u")], "text string, author string")
+    got = index_filter(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(coalesce(text") == 1
+    assert not any(p in r.text.lower() for r in got.collect() for p in INDEX_BOILERPLATE)
+    assert {r.text[0] for r in got.collect()} >= {"x", "z"} and "y" not in {r.text[0] for r in got.collect()}
+    assert index_filter(df, phrases=()).count() == 4
