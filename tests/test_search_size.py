@@ -9,6 +9,7 @@ from trendframe.functions.text import INDEX_BOILERPLATE, extract_mentions
 from trendframe.operators import ivf, knn as K
 from trendframe.operators.clean import index_filter
 from trendframe.plans import indexing, retrieval
+from trendframe.suite import q_retrieval
 
 
 def slow(queries, rows, n):
@@ -219,3 +220,77 @@ def test_a_text_is_filtered_by_one_lower_casing(spark):
     assert not any(p in r.text.lower() for r in got.collect() for p in INDEX_BOILERPLATE)
     assert {r.text[0] for r in got.collect()} >= {"x", "z"} and "y" not in {r.text[0] for r in got.collect()}
     assert index_filter(df, phrases=()).count() == 4
+
+
+def asked_of(spark, n=40):
+    """Questions of three vectors; ids that come twice or are null, vectors that are null or zero."""
+    ids, vecs = [*range(n - 6), 1, 2, None, None, n, n + 1], [[1.0, 0.1], [0.1, 1.0], [1.0, 1.0]]
+    return spark.createDataFrame([(x, "dune" if k % 2 else None, None if x == n else [0.0, 0.0] if x == n + 1 else vecs[k % 3]) for k, x in enumerate(ids)],
+                                 "question_id int, title string, qvec array<double>")
+
+
+@pytest.mark.parametrize("part", [4, 10_000])
+def test_equal_vectors_are_searched_once(spark, monkeypatch, part):
+    c = spark.range(300).select((F.col("id") % 200).alias("id"), F.array(F.sin("id"), F.cos("id")).alias("embedding"))
+    want = K.knn(asked_of(spark), c, 5, q_id="question_id").collect()
+    monkeypatch.setattr(K, "SHARED", part)
+    met, plain = [], K.knn
+    monkeypatch.setattr(K, "knn", lambda q, *a, **k: (met.append(q.count()), plain(q, *a, **k))[1])
+    got = plain(asked_of(spark), c, 5, q_id="question_id", once=True)
+    assert got.columns == ["question_id", "id", "similarity", "rank"] and sorted(map(str, got.collect())) == sorted(map(str, want))
+    assert met == [4]  # three and the zero vector
+    assert max(r[0] for r in K.different(asked_of(spark), "qvec").select("__parts").collect()) == (4 if part == 4 else 1)
+    with pytest.raises(ValueError):
+        plain(asked_of(spark), c, 5, q_id="question_id", once=True, exclude_self=True)
+
+
+@pytest.mark.parametrize("order", ["after", "before"])
+def test_rows_of_a_shared_search_are_those_of_each_question(spark, order):
+    times = ["2024-01-30T00:00:00", "2023-01-01T00:00:00", "no time"]
+    reviews = spark.createDataFrame([(str(k % 24) if k != 9 else None, [1.0, k % 24 / 50], f"A Dune {k % 24}", times[k // 24 + k % 2]) for k in range(30)],
+                                    "review_id string, embedding array<double>, text string, timestamp string")
+    qs = asked_of(spark)
+    want, got = (retrieval.nearest(qs, reviews, 8, now=F.lit("2024-01-31"), titles=qs, shown=501, filter_order=order, once=once) for once in (False, True))
+    assert sorted(got.columns) == sorted(want.columns)
+    cols = ["question_id", "review_id", "rank", "similarity", "title", "is_match", "text"]
+    rows = sorted(map(str, got.select(cols).drop("rank").collect()))
+    assert rows == sorted(map(str, want.select(cols).drop("rank").collect())) and len(rows) > 100
+    twice = F.col("question_id").isNull() | F.col("question_id").isin(1, 2)  # their equal ranks may change places
+    assert sorted(map(str, got.filter(~twice).select("question_id", "rank").collect())) == sorted(map(str, want.filter(~twice).select("question_id", "rank").collect()))
+
+
+def test_expanded_questions_are_searched_once(spark, monkeypatch):
+    meta = spark.createDataFrame([("m1", [1.0, 0.0], "A,B", "G", "k"), ("m2", [0.0, 1.0], "C", "H", "l")],
+                                 "meta_id string, embedding array<double>, cast string, genres string, keywords string")
+    reviews = reviews_of(spark).withColumn("source", F.lit("reddit"))
+    qs = spark.range(40).select(F.col("id").alias("question_id"), F.concat(F.lit("tell me about dune"), F.col("id").cast("string")).alias("question"),
+                                F.array(F.lit(1.0), F.lit(0.0)).alias("qvec"))
+
+    def encode(df, text, out):  # by length, as the registered query does
+        return df.withColumn(out, F.array(F.pmod(F.length(text), F.lit(2)).cast("double"), F.lit(0.5)))
+
+    met, plain = [], K.knn
+    monkeypatch.setattr(K, "knn", lambda q, *a, **k: (met.append(q.count()), plain(q, *a, **k))[1])
+    summary, _ = retrieval.retrieve(qs, reviews, 20, now=F.lit("2024-01-31"), metadata=meta, encode=encode)
+    assert met == [2, 2]  # of 40 titles, of 40 expanded questions
+    assert summary._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # metadata are not searched for again
+    got = {r.question_id: r for r in summary.collect()}
+    assert len(got) == 40 and {r.retrieved for r in got.values()} == {20} and {r.strategy for r in got.values()} == {"semantic"}
+    for k, r in got.items():  # "dune7" and "dune17" have 5 and 6 characters
+        m, tail = ("m1", "A B G k") if len(r.title) % 2 else ("m2", "C H l")
+        assert (r.title, r.meta_id, r.expanded) == (f"dune{k}", m, f"tell me about dune{k} {tail}")
+
+
+def test_questions_are_dealt_out_before_their_titles_are_extracted(spark, tmpdir_path):
+    spark.range(30).select(F.col("id").alias("conv_id"), F.lit(1).alias("turn"), F.when(F.col("id") % 3 > 0, "user").alias("role"),
+                           F.lit("Tell me about Dune").alias("text")).coalesce(1).write.parquet(f"{tmpdir_path}/conversations.parquet")
+    spark.range(7).select(F.col("id").alias("vec_id"), F.array(F.col("id").cast("float")).alias("embedding")).write.parquet(f"{tmpdir_path}/embeddings.parquet")
+    qs = q_retrieval.questions(spark, tmpdir_path)
+    assert "Repartition" in qs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.question_id for r in qs.collect()) == [k * 1000 + 1 for k in range(30) if k % 3] + [q_retrieval.MORE, q_retrieval.MORE + 1]
+
+
+def test_a_long_text_is_stripped_by_its_beginning_only(spark):
+    texts = ["x" * 50, "x" * 49, " " * 300 + "x" * 50, " " * 300 + "x" * 49 + "\n" * 300, "x" + " " * 300 + "y", "　x" * 30, "x" * 5000, " " * 300, "", None]
+    df = spark.createDataFrame([(k, t, "u") for k, t in enumerate(texts)], "k int, text string, author string")
+    assert sorted(r.k for r in index_filter(df).collect()) == [k for k, t in enumerate(texts) if len((t or "").strip()) >= 50]
